@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z and nothing else.
@@ -54,7 +55,7 @@ def as_int64(unsigned: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, texts: str, limit: int = 8 << 20):
     """Cut a batch into pieces of about ``limit`` text bytes; one long text makes one piece."""
-    sizes = np.fromiter((0 if x is None else x for x in pa.compute.binary_length(batch.column(texts)).to_pylist()), np.int64, batch.num_rows)
+    sizes = np.fromiter((0 if x is None else x for x in pc.binary_length(batch.column(texts)).to_pylist()), np.int64, batch.num_rows)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:
