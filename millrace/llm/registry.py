@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, pieces, simhash
+from millrace.llm import decontaminate, merkle, pieces, simhash
 from millrace.llm.common import table
 
 
@@ -26,13 +26,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op5_sentencepiece, op6_decontamination, op10_token_counts)
+    f.__name__: f for f in (op1_simhash, op5_sentencepiece, op6_decontamination, op8_merkle, op10_token_counts)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.SQL, "op8_merkle": merkle.SQL}
