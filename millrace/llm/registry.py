@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, merkle, pieces, simhash
+from millrace.llm import decontaminate, merkle, pieces, simhash, urls
 from millrace.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.listing(spark, urls.LISTED))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,8 +39,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op5_sentencepiece, op6_decontamination, op8_merkle, op10_token_counts)
+    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_sentencepiece, op6_decontamination, op8_merkle, op10_token_counts)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.SQL, "op8_merkle": merkle.SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": urls.sql(), "op6_decontamination": decontaminate.SQL, "op8_merkle": merkle.SQL}
