@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import math
 import re
 
 import ahocorasick
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Units remembered by a worker; at the bound the memory starts anew.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 _UNIT = re.compile(" *[^ ]+| +$")
 
 
@@ -54,52 +56,77 @@ class Vocabulary:
 class Merger:
     """Score-ordered agenda of adjacent symbol pairs: best score first, leftmost among equals."""
 
+    #: Units of more symbols keep their agenda in a heap; below that, a list of each pair's cost is faster to search.
+    LONG = 48
+
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.cost = {p: -vocabulary.scores[i] for p, i in vocabulary.ids.items()}
+        self.plain = {i: p.replace(MARK, " ") for p, i in vocabulary.ids.items()}
 
     def encode(self, unit: str) -> list[int]:
-        v, ids, scores = self.v, self.v.ids, self.v.scores
-        symbols = list(MARK + unit.replace(" ", MARK))
-        n = len(symbols)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        agenda = []
-
-        def offer(left: int, right: int) -> None:
-            pair = symbols[left] + symbols[right]
-            if (i := ids.get(pair)) is not None:
-                agenda.append((-scores[i], left, right, pair)) if not started else heapq.heappush(agenda, (-scores[i], left, right, pair))
-
-        started = False
-        for k in range(n - 1):
-            offer(k, k + 1)
+        symbols = [MARK, *unit.replace(" ", MARK)]
+        ids = self.v.ids
+        try:
+            return [ids[s] for s in (self._short(symbols) if len(symbols) <= self.LONG else self._long(symbols))]
+        except KeyError:
+            return self._fallback(symbols)
+
+    def _short(self, symbols: list[str]) -> list[str]:
+        """Merges in place."""
+        get, never = self.cost.get, math.inf
+        costs = [get(a + b, never) for a, b in itertools.pairwise(symbols)]
+        while costs:
+            best = min(costs)
+            if best == never:
+                break
+            i = costs.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            costs.pop(i)
+            if i:
+                costs[i - 1] = get(symbols[i - 1] + symbols[i], never)
+            if i < len(costs):
+                costs[i] = get(symbols[i] + symbols[i + 1], never)
+        return symbols
+
+    def _long(self, symbols: list[str]) -> list[str]:
+        """Merges in place."""
+        get, n = self.cost.get, len(symbols)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        agenda = [(c, i, i + 1, pair) for i in range(n - 1) if (c := get(pair := symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
-        started = True
         while agenda:
             _, left, right, pair = heapq.heappop(agenda)
-            if symbols[left] + symbols[right] != pair or not symbols[left] or not symbols[right] or after[left] != right:
+            if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != pair:
                 continue
             symbols[left], symbols[right] = pair, ""
             after[left] = after[right]
             if after[right] < n:
                 before[after[right]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
-        out: list[int] = []
+            for a, b in ((before[left], left), (left, after[left])):
+                if a >= 0 and b < n and (c := get(pair := symbols[a] + symbols[b])) is not None:
+                    heapq.heappush(agenda, (c, a, b, pair))
+        symbols[:] = filter(None, symbols)
+        return symbols
+
+    def _fallback(self, symbols: list[str]) -> list[int]:
+        """Ids of merged symbols of which some are no pieces."""
+        v, out = self.v, []
         for s in symbols:
-            if s:
-                i = ids.get(s)
-                if i is not None:
-                    out.append(i)
-                elif v.bytes:
-                    out.extend(v.bytes[b] for b in s.encode())
-                else:
-                    out.append(v.unknown)
+            if (i := v.ids.get(s)) is not None:
+                out.append(i)
+            elif v.bytes:
+                out.extend(v.bytes[b] for b in s.encode())
+            else:
+                out.append(v.unknown)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, the first space mark included as a space."""
+        try:
+            return "".join([self.plain[i] for i in ids])
+        except KeyError:
+            pass
         v, out, held = self.v, [], bytearray()
         for i in ids:
             if i in v.special and self.v.library.is_byte(i):
@@ -137,32 +164,40 @@ class Encoder:
     def __init__(self, path: str):
         self.merger = Merger(Vocabulary(path))
         self.coded: dict[str, str] = {}
-        self.texts: dict[str, str] = {}
+        #: Decoded text of the units that don't come back as a space and themselves.
+        self.odd: dict[str, str] = {}
 
     def learn(self, units: set[str]) -> None:
         if len(self.coded) + len(units) > REMEMBER:
             self.coded.clear()
-            self.texts.clear()
+            self.odd.clear()
         units = list(units)
-        library = self.merger.v.library
+        library, encode, decode = self.merger.v.library, self.merger.encode, self.merger.decode
         # a unit is a text of its own to the library, which puts the first mark before it; the empty unit's mark stands alone
         for unit, known in zip(units, library.encode(units, num_threads=1)):
-            ids = self.merger.encode(unit)
+            ids = encode(unit)
             if unit and ids != known:
                 raise AssertionError(f"the agenda and the library differ on {unit!r}: {ids} and {known}")
             self.coded[unit] = ",".join(map(str, ids))
-            self.texts[unit] = self.merger.decode(ids)
+            if (text := decode(ids)) != " " + unit:
+                self.odd[unit] = text
 
-    def encode(self, texts: list[str]) -> tuple[list[list[str]], dict[str, str], dict[str, str]]:
-        """Units of each text, and for each unit its ids joined by commas and its decoded text."""
+    def encode(self, texts: list[str]) -> list[list[str]]:
+        """Units of each text; ``coded`` then has the ids of each, joined by commas, and ``text`` decodes them."""
         each = [self.merger.v.units(t) for t in texts]
         seen = set().union(*each)
-        new = {u for u in seen if u not in self.coded}
-        if new:
+        if new := seen - self.coded.keys():
             self.learn(new)
-            if missing := {u for u in seen if u not in self.coded}:  # the memory was cleared meanwhile
+            if missing := seen - self.coded.keys():  # the memory was cleared meanwhile
                 self.learn(missing)
-        return each, self.coded, self.texts
+        return each
+
+    def text(self, units: list[str]) -> str:
+        """Decoded text without the space that the encoder put first."""
+        if not self.odd or self.odd.keys().isdisjoint(units):
+            return " ".join(units)
+        odd = self.odd
+        return "".join([odd[u] if u in odd else " " + u for u in units])[1:]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -192,25 +227,20 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     Null texts count as empty: no ids, empty decoded text. New columns must not have the names of old ones.
     """
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
-    return _mapped(docs, model, text, added, lambda units, coded, texts: [[int(i) for u in units for i in coded[u].split(",")], *([_text(units, texts)] if decoded else [])])
+    return _mapped(docs, model, text, added, lambda units, code: [[int(i) for u in units for i in code.coded[u].split(",")], *([code.text(units)] if decoded else [])])
 
 
 def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of its ids and of its decoded text. Null texts count as empty."""
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-    def row(units, coded, texts):
-        joined = ",".join(map(coded.__getitem__, units))
-        return [joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(_text(units, texts).encode()).hexdigest()]
+    def row(units, code):
+        joined = ",".join(map(code.coded.__getitem__, units))
+        return [joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(code.text(units).encode()).hexdigest()]
 
     return _mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, "text", added, row).drop("text")
 
 
-def _text(units, texts) -> str:
-    """Decoded text without the space that the encoder put first."""
-    return "".join(map(texts.__getitem__, units))[1:]
-
-
 def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFrame:
     if clash := {f.name for f in added} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
@@ -223,8 +253,7 @@ def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFra
         for batch in batches:
             rows: list[list] = []
             for some in _some([t or "" for t in batch.column(place).to_pylist()]):
-                each, coded, texts = code.encode(some)
-                rows.extend(row(units, coded, texts) for units in each)
+                rows.extend(row(units, code) for units in code.encode(some))
             columns = [batch.column(i) if i != place or drop is None else pa.nulls(batch.num_rows, pa.string()) for i in range(batch.num_columns)]
             for k, f in enumerate(added):
                 columns.append(pa.array([r[k] for r in rows], _ARROW[f.dataType.simpleString()]))
