@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, merkle, pieces, simhash, urls
+from millrace.llm import decontaminate, html_text, merkle, pieces, simhash, urls
 from millrace.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_sentencepiece, op6_decontamination, op8_merkle, op10_token_counts)
+    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_sentencepiece, op6_decontamination, op7_html_text, op8_merkle, op10_token_counts)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
