@@ -221,8 +221,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def own(batches):
         for batch in batches:
-            rows = [list(page_hashes(u, page)) for u, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))], [*named.columns, "hashes"])
+            rows = [list(page_hashes(u, page)) for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.int64()))], ["_row", "hashes"])
 
     def cut(batches):
         for batch in batches:
@@ -231,13 +231,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
     held = materialise(named.withColumn("_row", F.monotonically_increasing_id()), "pages")
-    with_own = T.StructType([*held.select("page_id", "url", "html").schema.fields, T.StructField("hashes", T.ArrayType(T.LongType()))])
-    listed = held.select("page_id", "url", "html", "_row").mapInArrow(lambda batches: _with_row(own, batches), T.StructType([*with_own.fields, T.StructField("_row", T.LongType())]))
+    listed = held.select("url", "html", "_row").mapInArrow(own, "_row long, hashes array<long>")
     met = listed.select("_row", F.explode("hashes").alias("hash")).join(found, "hash").groupBy("_row").agg(F.collect_set("hash").alias("met"))
     return held.join(met, "_row", "left").select("page_id", "url", "html", "met").mapInArrow(cut, schema)
-
-
-def _with_row(function, batches):
-    for batch in batches:
-        for out in function([batch.select([0, 1, 2])]):
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3)], [*out.schema.names, "_row"])
