@@ -7,7 +7,8 @@ first paragraph that differ locate the edit. A fingerprint is the root and the s
 the likeness of two texts (0 to 1, the share of leaves they have in common) can be told from fingerprints alone.
 
 Null texts count as empty; an empty text has one empty paragraph and no leaf. Rows that repeat a doc_id are each kept,
-and as one another's neighbours count as one document, the one whose text sorts first. A null doc_id sorts first.
+and as one another's neighbours count as one document, the one whose text sorts first. Ids are whole numbers; a null one sorts first
+(the least 64-bit number stands for it).
 Columns besides those named are ignored. Nothing is collected but up to ``BUCKETS`` id bounds.
 """
 
@@ -24,6 +25,7 @@ SECTION = 8
 BUCKETS, IDS = 1024, 250
 _PIECE = r"(?: *+[^ ]++){1,4}+ *+"
 _ROOT, _LEAF = 32, 8
+_NULL = -(1 << 63)
 
 
 def _hash(x: Column, digits: int) -> Column:
@@ -105,7 +107,9 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs,
     n_sections, and the first section and paragraph that the edit changed (from 0; null if none).
     """
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # one key stands for the id, so both joins read the same columns and share one exchange of the texts
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own_id = F.when(F.col("key") != _NULL, F.col("key")).cast(docs.schema[doc_id].dataType)
     lengths = texts.groupBy("key").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("rows"))
     repeated = bool(lengths.where("rows > 1").take(1))
     links = neighbours(lengths.select("key")).join(lengths, "key").select(F.col("key").alias("to"), "next_key", F.floor(F.col("n") / 2).cast("int").alias("most"))
@@ -117,7 +121,7 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     both = texts.join(follower, texts["key"] == follower["to"]).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("head").substr(F.lit(1), half)))
     both = fingerprinted(fingerprinted(both, "text", "own"), "edited", "edited")
     return both.select(
-        "doc_id",
+        own_id.alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("own").alias("fingerprint"),

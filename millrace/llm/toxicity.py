@@ -32,7 +32,7 @@ MOST_FEATURES = 20_000
 #: Words remembered by a worker; at the bound the memory starts anew.
 REMEMBER = 500_000
 #: Least documents and standard deviations of a feature, strength of the penalty.
-LEAST_DOCS, LEAST_Z, RIDGE = 5, 4.0, 0.3
+LEAST_DOCS, LEAST_Z, RIDGE = 8, 4.0, 0.3
 #: Word beginnings that are features, besides the word itself.
 BEGINNINGS = (4, 5)
 
@@ -118,9 +118,8 @@ class Channel:
                 o = [("", 0.0), (" ", 2.0)]
             else:
                 o = [("", 0.2), (" ", 1.0)]
-            if c == before and c != " ":
-                longer = text[max(0, i - 2) : i + 2].count(c) > 2
-                o = [*o, ("", 0.3 if longer else 5.0)]
+            if c == before and c != " " and text[max(0, i - 2) : i + 2].count(c) > 2:
+                o = [*o, ("", 0.3)]
             out.append(o)
         return out
 
@@ -241,7 +240,7 @@ class Model:
         return score
 
 
-def regression(rows: list[list[int]], labels: np.ndarray, size: int, ridge: float = RIDGE, steps: int = 300) -> tuple[np.ndarray, float]:
+def regression(rows: list[list[int]], labels: np.ndarray, size: int, ridge: float = RIDGE, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Weights and intercept of a penalised logistic regression on sets of features, by accelerated gradient descent."""
     index = np.fromiter(itertools.chain.from_iterable(rows), np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
