@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html_text, merkle, pieces, simhash, toxicity, urls
+from millrace.llm import decontaminate, html_text, merkle, pieces, repair, simhash, toxicity, urls
 from millrace.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op3_toxicity, op4_url_filter, op5_sentencepiece, op6_decontamination, op7_html_text, op8_merkle, op10_token_counts)
+    f.__name__: f for f in (op1_simhash, op3_toxicity, op4_url_filter, op5_sentencepiece, op6_decontamination, op7_html_text, op8_merkle, op9_repair, op10_token_counts)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
