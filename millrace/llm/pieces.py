@@ -15,6 +15,7 @@ import math
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -227,16 +228,22 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     Null texts count as empty: no ids, empty decoded text. New columns must not have the names of old ones.
     """
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
-    return _mapped(docs, model, text, added, lambda units, code: [[int(i) for u in units for i in code.coded[u].split(",")], *([code.text(units)] if decoded else [])])
+    return _mapped(docs, model, text, added, lambda units, code: [_numbers(",".join(map(code.coded.__getitem__, units))), *([code.text(units)] if decoded else [])])
 
 
-def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, and SHA-256 of its ids and of its decoded text. Null texts count as empty."""
+def _numbers(joined: str) -> np.ndarray:
+    return np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32)
+
+
+def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, SHA-256 of its ids and of its decoded text and, if asked for, the ids. Null texts count as empty."""
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    added += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
 
     def row(units, code):
         joined = ",".join(map(code.coded.__getitem__, units))
-        return [joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(code.text(units).encode()).hexdigest()]
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (joined, code.text(units))]
+        return [joined.count(",") + 1 if joined else 0, *digests, *([_numbers(joined)] if ids else [])]
 
     return _mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, "text", added, row).drop("text")
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html_text, merkle, pieces, repair, simhash, toxicity, urls
+from millrace.llm import decontaminate, html_text, lm, merkle, pieces, repair, simhash, toxicity, urls
 from millrace.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op3_toxicity, op4_url_filter, op5_sentencepiece, op6_decontamination, op7_html_text, op8_merkle, op9_repair, op10_token_counts)
+    f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_toxicity, op4_url_filter, op5_sentencepiece, op6_decontamination, op7_html_text, op8_merkle, op9_repair, op10_token_counts)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
