@@ -27,17 +27,17 @@ def let(value: Column, use) -> Column:
 
 
 def top_p(values: Column, p: float) -> Column:
-    """Nucleus filter: sorted tokens stay while the mass before the one ahead of them is within p, the first two always."""
+    """Nucleus filter: sorted tokens stay while the mass before them is within p, the first two always."""
     ranked = F.sort_array(F.transform(values, lambda x, i: F.struct(x.cast("double").alias("x"), (-i).alias("i"))), asc=False)
 
     def kept(ranked: Column, total: Column) -> Column:
         biggest = ranked[0]["x"]
-        start = F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("before"), F.lit(0).alias("n"), F.lit(0).alias("kept"))
+        start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n"), F.lit(0).alias("kept"))
 
         def step(a: Column, r: Column) -> Column:
-            stays = ((a["n"] < 2) | (a["before"] <= p)).cast("int")
+            stays = ((a["n"] < 2) | (a["mass"] <= p)).cast("int")
             mass = a["mass"] + F.exp(r["x"] - biggest) / total
-            return F.struct(mass.alias("mass"), a["mass"].alias("before"), (a["n"] + 1).alias("n"), (a["kept"] + stays).alias("kept"))
+            return F.struct(mass.alias("mass"), (a["n"] + 1).alias("n"), (a["kept"] + stays).alias("kept"))
 
         return F.aggregate(ranked, start, step)["kept"]
 

@@ -317,7 +317,7 @@ def m4_top_k(spark, sf):
 
 @query("""WITH e AS (SELECT vec_id, u.i, embedding[u.i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)),
 p AS (SELECT vec_id, i, x, exp(x - max(x) OVER w) / sum(exp(x - (SELECT 0))) OVER w * exp(max(x) OVER w) AS q, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM e WINDOW w AS (PARTITION BY vec_id)),
-c AS (SELECT vec_id, i, r, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS before FROM p)
+c AS (SELECT vec_id, i, r, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT vec_id, count(*) AS kept, sum(i)::BIGINT AS places FROM c WHERE r <= 2 OR before <= 0.5 GROUP BY vec_id""")
 def m5_top_p(spark, sf):
     kept = F.transform(arrays.top_p(F.col("embedding"), 0.5), lambda x, i: F.when(x > arrays.LOWEST, (i + 1).cast("long")))
