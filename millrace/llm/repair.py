@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialise, shared_dir, slices, utf8
+from millrace.llm.common import LOWER, materialise, shared_dir, slices, utf8
 
 END = 2
 SHARD_IDS = 2_000_000
 #: Rules of a round at most, occurrences of a pair at least, and rounds.
 ROUND_RULES, LEAST_COUNT, ROUNDS = 16_384, 24, 6
 #: Units remembered by a worker; at the bound the memory starts anew.
-REMEMBER = 600_000
+REMEMBER = 1_500_000
 _MAGIC, _HEAD = b"RPR1", struct.Struct("<4s4IQ2I")
 
 
@@ -51,17 +51,27 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, units: set[bytes]) -> None:
-        if len(self.known) + len(units) > REMEMBER:
-            self.known.clear()
-        units = list(units)
-        for start in range(0, len(units), 20_000):
-            some = units[start : start + 20_000]
+        known = self.known
+        if len(known) + len(units) > REMEMBER:
+            known.clear()
+        # letters and the mark after them are never one token, so such a unit is its word and the mark
+        marked = {u for u in units if u[-1:] in (b",", b".") and u[:-1].isalpha()}
+        cores = {u[:-1] for u in marked} | {u[-1:] for u in marked}
+        plain = [*((units - marked) | (cores - known.keys()))]
+        for start in range(0, len(plain), 20_000):
+            some = plain[start : start + 20_000]
             for u, e in zip(some, self.library.encode_batch_fast([u.decode("utf-8", "replace") for u in some], add_special_tokens=False)):
-                self.known[u] = np.array(e.ids, "<u4").tobytes()
+                known[u] = np.array(e.ids, "<u4").tobytes()
+        for u in marked:
+            known[u] = known[u[:-1]] + known[u[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        each = [t.split() for t in texts]
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        The tokenizer lower-cases, so A-Z are lowered first, which makes fewer units; not where a special token's
+        spelling could appear by that.
+        """
+        each = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
         seen = set().union(*each)
         if new := seen - self.known.keys():
             self.learn(new)
@@ -90,8 +100,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if len(symbols) < 2 or first + len(rules) + ROUND_RULES >= 1 << 24:
             break
         key = (symbols[:-1] << 24) | symbols[1:]
+        slot = _slot(key)
         inside = ~last[:-1]
-        pairs = np.sort(key[inside & (_crowded(key))])
+        crowded = np.bincount(slot, minlength=1 << _SLOTS) >= LEAST_COUNT  # of slots, which frequent pairs fill
+        pairs = np.sort(key[inside & crowded[slot]])
         if not len(pairs):
             break
         starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
@@ -100,13 +112,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if not len(often):
             break
         often = often[np.argsort(-counts[often], kind="stable")[:ROUND_RULES]]
-        chosen = np.sort(pairs[starts[often]])
-        slot, table = _slots(chosen)
-        chosen = chosen[np.sort(table[table >= 0])]  # of two that share a slot, one waits for the next round
-        slot, table = _slots(chosen)
-        which = table[_mix(key, slot)]
-        hit = inside & (which >= 0)
-        at = np.flatnonzero(hit)
+        chosen = pairs[starts[often[::-1]]]
+        table = np.full(1 << _SLOTS, -1, np.int32)
+        table[_slot(chosen)] = np.arange(len(chosen))  # of two in a slot the more frequent stays, the other waits for the next round
+        chosen = np.sort(chosen[table[table >= 0]])
+        table[_slot(chosen)] = np.arange(len(chosen))
+        which = table[slot]
+        at = np.flatnonzero(inside & (which >= 0))
         at = at[chosen[which[at]] == key[at]]
         # leftmost first: within a run of overlapping pairs, every other one
         run = np.r_[True, np.diff(at) != 1] if len(at) else np.zeros(0, bool)
@@ -122,21 +134,12 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return symbols, np.diff(np.r_[0, ends]), rules, first
 
 
-def _mix(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _crowded(key: np.ndarray) -> np.ndarray:
-    """Whether a pair shares its hash with enough others to be frequent."""
-    slot = _mix(key, 20)
-    return (np.bincount(slot, minlength=1 << 20) >= LEAST_COUNT)[slot]
+_SLOTS = 20
 
 
-def _slots(chosen: np.ndarray) -> tuple[int, np.ndarray]:
-    bits = 20
-    table = np.full(1 << bits, -1, np.int64)
-    table[_mix(chosen, bits)] = np.arange(len(chosen))
-    return bits, table
+def _slot(key: np.ndarray) -> np.ndarray:
+    """A multiplicative hash of pairs."""
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
 
 
 def _expansions(rules: np.ndarray, first: int) -> list[np.ndarray]:
