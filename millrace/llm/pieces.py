@@ -275,11 +275,11 @@ _ARROW = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa
 class Counter:
     """Piece counts of the best segmentation under a unigram vocabulary.
 
-    Aho-Corasick lists the pieces that end at each place. The dynamic programme carries best score and count only.
-    Ties follow the tokenizer: of equal scores the candidate that starts first, that is the longest piece, wins. A
-    character that is no piece costs the smallest score less ten and counts as its bytes if the vocabulary has byte
-    pieces, else runs of such characters count as one. Units are scored apart only where scores are whole numbers,
-    whose sums are exact in any order.
+    Aho-Corasick lists the pieces that start at each place. The dynamic programme goes through the places in order and
+    carries best score and count only. Ties follow the tokenizer: of equal scores the candidate that starts first, that
+    is the longest piece, wins; and scores are single-precision numbers relative to that of the place reached, so what
+    is equal depends on their rounding. A character that is no piece costs the smallest score less ten and counts as its
+    bytes if the vocabulary has byte pieces, else runs of such characters count as one.
     """
 
     PENALTY = 10.0
@@ -288,40 +288,45 @@ class Counter:
         v = self.v = Vocabulary(path)
         self.trie = ahocorasick.Automaton()
         for piece, i in v.ids.items():
-            self.trie.add_word(piece, (len(piece), v.scores[i]))
+            self.trie.add_word(piece, (len(piece), _single(v.scores[i])))
         self.trie.make_automaton()
-        self.unknown = min(v.scores) - self.PENALTY
-        self.apart = v.splits and bool(v.bytes) and all(float(s).is_integer() for s in v.scores)
+        self.unknown = _single(min(v.scores) - self.PENALTY)
+        self.whole = all(float(s).is_integer() for s in v.scores)  # sums below 2 ** 24 are then exact
         self.known: dict[str, int] = {}
 
     def count(self, unit: str) -> int:
         text = MARK + unit.replace(" ", MARK)
         n = len(text)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for end, found in self.trie.iter(text):
-            ends[end + 1].append(found)
-        best, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        loose = [False] * (n + 1)
-        for end in range(1, n + 1):
-            top = None
-            single = False
-            for length, score in sorted(ends[end], reverse=True):
-                single |= length == 1
-                s = best[end - length] + score
-                if top is None or s > top:
-                    top, count, is_loose = s, pieces[end - length] + 1, False
-            if not single:
-                s = best[end - 1] + self.unknown
-                if top is None or s > top:
-                    c = text[end - 1]
-                    cost = len(c.encode()) if self.v.bytes else int(not loose[end - 1])
-                    top, count, is_loose = s, pieces[end - 1] + cost, True
-            best[end], pieces[end], loose[end] = top, count, is_loose
+        starts: list[list] = [[] for _ in range(n)]
+        for end, (length, score) in self.trie.iter(text):
+            starts[end + 1 - length].append((end + 1, score))
+        best: list = [None] * (n + 1)
+        pieces, loose = [0] * (n + 1), [False] * (n + 1)
+        best[0] = 0.0
+        most = 0  # the last place with a score
+        exact = 16777216.0 if self.whole else 0.0
+        for s in range(n):
+            here = best[s]
+            if here:
+                for e in range(s + 1, most + 1):
+                    if (b := best[e]) is not None:
+                        b -= here
+                        best[e] = b if -exact < b < exact else _single(b)
+            one = pieces[s] + 1
+            found = starts[s]
+            for e, score in found:
+                if (b := best[e]) is None or score > b:
+                    best[e], pieces[e], loose[e] = score, one, False
+                    if e > most:
+                        most = e
+            e = s + 1
+            if (not found or found[0][0] != e) and ((b := best[e]) is None or self.unknown > b):
+                best[e], loose[e] = self.unknown, True
+                pieces[e] = pieces[s] + (len(text[s].encode()) if self.v.bytes else int(not loose[s]))
+                most = max(most, e)
         return pieces[n]
 
     def counts(self, texts: list[str]) -> list[int]:
-        if not self.apart:
-            return [self.count(t.replace(MARK, " ")) if t else 0 for t in texts]
         each = [self.v.units(t) for t in texts]
         seen = set().union(*each)
         if len(self.known) + len(seen) > REMEMBER:
@@ -333,6 +338,10 @@ class Counter:
         return [sum(map(known.__getitem__, units)) for units in each]
 
 
+def _single(x: float) -> float:
+    return float(np.float32(x))
+
+
 _counters: dict[str, Counter] = {}
 
 
