@@ -81,3 +81,13 @@ def load_balance(rows: DataFrame, expert: str) -> DataFrame:
     """Largest share of rows over the mean share of experts."""
     counts = rows.groupBy(expert).count()
     return counts.agg(F.count("*").alias("experts"), F.sum("count").alias("rows"), (F.max("count") / F.avg("count")).alias("imbalance"))
+
+
+def trailing_mean(rows: DataFrame, order: str, value: str, last: int, name: str) -> DataFrame:
+    """Adds the mean of this and the rows before it, ``last`` in all, in the order of a dense whole number.
+
+    Each row goes to the sums of the ``last`` places it counts for, so the work is spread over places, not one window.
+    """
+    spread = rows.select(F.explode(F.sequence(F.col(order), F.col(order) + last - 1)).alias(order), F.col(value).alias("_v"))
+    means = spread.groupBy(order).agg(F.avg("_v").alias(name))
+    return rows.join(means, order)

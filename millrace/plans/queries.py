@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, schedules
 from millrace.operators import documents, instances, metrics, mixing, ordering, repetition
 from millrace.operators.sums import running_sum
 from millrace.sources.tables import table
+from millrace.streaming import spikes as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -352,3 +353,45 @@ def o11_schedules(spark, sf):
 @query("""SELECT c_custkey, sum(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS running FROM customer""")
 def l1_running_sum(spark, sf):
     return running_sum(table(spark, sf, "customer"), ["c_nationkey"], "c_custkey", "c_acctbal", "running").select("c_custkey", "running")
+
+
+@query(f"{SPIKE} SELECT user_id, event_id, spike FROM spiked")
+def p8_streaming_spikes(spark, sf):
+    return streams.drained(streams.spikes(streams.replay(spark, f"{sf}/events.parquet"), "user_id", "event_id", "value", 8, 2.0))
+
+
+@query(f"""{TOK}, ranked AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM docs),
+shape AS (SELECT count(*) AS k_all, min(c) AS least FROM (SELECT source, count(*) AS c FROM docs GROUP BY source))
+SELECT doc_id, r * k_all + k AS position FROM ranked, shape WHERE r < least""")
+def h3_interleaved_sources(spark, sf):
+    t = docs(spark, sf).select("doc_id", "source").withColumn("one", F.lit(1))
+    sizes = t.groupBy("source").count()
+    sources, least = sizes.agg(F.count("*"), F.min("count")).first()
+    named = sizes.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("k"))  # a row a source
+    ranked = running_sum(t, ["source"], "doc_id", "one", "n").withColumn("r", F.col("n") - 1).join(named, "source")
+    return ordering.interleaved_sources(ranked, "k", "r", sources, least).select("doc_id", "position")
+
+
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS b, n_nationkey FROM nation) SELECT n_nationkey, (1003 // 25 + CASE WHEN b < 1003 % 25 THEN 1 ELSE 0 END)::BIGINT AS size FROM n""")
+def h8_near_equal(spark, sf):
+    buckets = table(spark, sf, "nation").select("n_nationkey", F.col("n_nationkey").cast("long").alias("b"))
+    return ordering.near_equal(1003, buckets, "b").select("n_nationkey", "size")
+
+
+@query(f"""{TOK}{CHUNK}, full_ AS (SELECT source, instance, list(token ORDER BY place) AS ids FROM chunked GROUP BY ALL HAVING count(*) = 64)
+SELECT source, instance, (p - 1)::INT AS part, {SUM.format('ids[(p - 1) * 16 + 1:p * 16]')} AS checksum FROM full_, unnest(range(1, 5)) AS v(p)""")
+def j2_melted(spark, sf):
+    rows = instances.concat_and_chunk(docs(spark, sf), 64, ["source"], "doc_id")
+    parts = rows.select("source", "instance", F.posexplode(arrays.melted(F.col("input_ids"), 16)).alias("part", "ids"))
+    return parts.select("source", "instance", "part", checksum(F.col("ids")).alias("checksum"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, sum(c_acctbal) AS total FROM customer GROUP BY ALL")
+def g10_distinct_labels(spark, sf):
+    return table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders)
+SELECT id, avg(price) OVER (ORDER BY r ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean FROM o WHERE id % 1 = 0""")
+def k6_trailing_mean(spark, sf):
+    return metrics.trailing_mean(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), "id", "price", 10, "mean").select("id", "mean")
