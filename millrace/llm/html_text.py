@@ -100,8 +100,15 @@ def parse(page: str) -> Element:
     return top
 
 
+def holds_article(e: Element) -> bool:
+    return any(isinstance(c, Element) and (c.tag in ("article", "main") or holds_article(c)) for c in e.children)
+
+
 def dropped(e: Element) -> bool:
-    return e.tag in _DROP or e.role in _ROLES or (bool(e.marks) and e.tag not in ("html", "body", "article", "main") and bool(_MARKED.search(e.marks)))
+    """Whether the markup says that an element is no part of an article; marks don't count on what holds the article."""
+    if e.tag in _DROP or e.role in _ROLES:
+        return True
+    return bool(e.marks) and e.tag not in ("html", "body", "article", "main") and bool(_MARKED.search(e.marks)) and not holds_article(e)
 
 
 def hashes(host: str, e: Element, out: set[int]) -> bytes:

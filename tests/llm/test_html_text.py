@@ -9,6 +9,7 @@ from millrace.llm import html_text
     ("<p>a<script>if (x < 1) '</p>'</script>b</p><style>p{}</style><form><input>q</form>", "ab"),
     ("<main><p>x</p><div class='comments'><p>no</p></div><div id=ad-1>no</div><p>y</main><p>outside", "x\ny"),
     ("<div class=load><p>kept</div><aside>no</aside><div role=navigation>no</div>", "kept"),
+    ("<div class='page no-sidebar'><article><p>in</article></div>", "in"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"),
     ("a < b <!-- no --> & c &copy; &#233;&nbsp;<br>d", "a < b & c © é d"),
     ("<p>unclosed <b>bold<p>next</p>", "unclosed bold\nnext"), ("<div>" * 5000 + "deep", "deep"), ("<a href='x>y", "<a href='x>y"),
