@@ -187,9 +187,9 @@ class Encoder:
         """Units of each text; ``coded`` then has the ids of each, joined by commas, and ``text`` decodes them."""
         each = [self.merger.v.units(t) for t in texts]
         seen = set().union(*each)
-        if new := seen - self.coded.keys():
+        if new := {u for u in seen if u not in self.coded}:
             self.learn(new)
-            if missing := seen - self.coded.keys():  # the memory was cleared meanwhile
+            if missing := {u for u in seen if u not in self.coded}:  # the memory was cleared meanwhile
                 self.learn(missing)
         return each
 
