@@ -57,7 +57,7 @@ class Encoder:
         # letters and the mark after them are never one token, so such a unit is its word and the mark
         marked = {u for u in units if u[-1:] in (b",", b".") and u[:-1].isalpha()}
         cores = {u[:-1] for u in marked} | {u[-1:] for u in marked}
-        plain = [*((units - marked) | (cores - known.keys()))]
+        plain = [*((units - marked) | {c for c in cores if c not in known})]
         for start in range(0, len(plain), 20_000):
             some = plain[start : start + 20_000]
             for u, e in zip(some, self.library.encode_batch_fast([u.decode("utf-8", "replace") for u in some], add_special_tokens=False)):
@@ -73,9 +73,9 @@ class Encoder:
         """
         each = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
         seen = set().union(*each)
-        if new := seen - self.known.keys():
+        if new := {u for u in seen if u not in self.known}:
             self.learn(new)
-            if missing := seen - self.known.keys():
+            if missing := {u for u in seen if u not in self.known}:
                 self.learn(missing)
         return [b"".join(map(self.known.__getitem__, units)) for units in each]
 
