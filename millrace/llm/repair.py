@@ -142,11 +142,12 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
 
 
-def _expansions(rules: np.ndarray, first: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    part = lambda s: out[s - first] if s >= first else np.array([s], np.int64)
+def _expansions(rules: np.ndarray, first: int) -> list[bytes]:
+    """What each rule stands for, as little-endian unsigned 32-bit integers."""
+    out: list[bytes] = []
     for a, b in rules.tolist():
-        out.append(np.concatenate([part(a), part(b)]))
+        left = out[a - first] if a >= first else a.to_bytes(4, "little")
+        out.append(left + (out[b - first] if b >= first else b.to_bytes(4, "little")))
     return out
 
 
@@ -154,9 +155,7 @@ def pack(doc_ids: list[int | None], ids: list[bytes], task: int, shard: int) ->
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     flat = np.frombuffer(b"".join(ids), "<u4")
     symbols, per, rules, first = compress(flat, lengths)
-    sizes = np.zeros(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        sizes[i] = (sizes[a - first] if a >= first else 1) + (sizes[b - first] if b >= first else 1)
+    sizes = np.array([len(x) // 4 for x in _expansions(rules, first)], np.int64)
     head = _HEAD.pack(_MAGIC, len(ids), len(rules), len(symbols), first, len(flat), task, shard)
     return b"".join([
         head, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
@@ -193,7 +192,7 @@ class Shard:
         parts = _expansions(self.rules, first)
         self.sizes = np.r_[np.ones(first, np.int64), sizes]
         self.starts = np.r_[np.arange(first), first + np.r_[0, np.cumsum(sizes)[:-1]]] if rules else np.arange(first)
-        self.flat = np.concatenate([np.arange(first), *parts]).astype("<u4")
+        self.flat = np.concatenate([np.arange(first, dtype="<u4"), np.frombuffer(b"".join(parts), "<u4")])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.sizes[symbols]
