@@ -6,9 +6,9 @@ each chunk is then scored on its own, with the counts of just its words.
 
 The model reads SentencePiece ids through a small set of classes: frequent ids alone, rarer ones by bands of equal mass;
 pieces that start a word and pieces that go on never share a class. One attention layer and a table of the last class
-predict the kind of the next class and which of its kind it is; the id within its class follows the corpus's counts. It is trained in numpy on a window of every
-training document, so on more data the larger the corpus: ``TRAINERS`` tasks go through their share and their parameters
-are averaged, three times. Texts are scored whole by windows that overlap: each token is scored once, with at least
+predict the kind of the next class and which of its kind it is; the id within its class follows the corpus's counts. It is trained in numpy on all of every
+training document, cut into consecutive windows: each task goes through a third of the windows of its chunks, the tasks'
+parameters are averaged, and that three times, so the number of trainers grows with the corpus. Texts are scored whole by windows that overlap: each token is scored once, with at least
 ``CONTEXT`` tokens before it where there are as many, in masked batches.
 
 A word's probability is the even mixture of its share of the training tokens and of the model's probability of its
@@ -41,7 +41,9 @@ ROWS = 1024
 WORDS = 100_000
 #: Classes of single ids and of bands of ids, of each kind (starting a word, going on).
 SINGLE, BANDS = 112, 16
-TRAINERS, ROUNDS, LEAST_STEPS, BATCH = 16, 3, 60, 32
+ROUNDS, LEAST_STEPS, BATCH = 3, 60, 32
+#: Parameters of trainers are summed in so many groups before the driver reads them.
+GROUPS = 16
 MIXTURE = 0.5
 _BEGIN, _END = 1, 2
 
@@ -79,7 +81,7 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
         T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("windows", T.BinaryType()),
+        T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("windows", T.ArrayType(T.BinaryType())),
     ])
     kinds = {"words": pa.list_(pa.binary()), "counts": pa.list_(pa.int32()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32())}
 
@@ -92,7 +94,6 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
         ids: list = []
         held: list[bool] = []
         docs_: list[np.ndarray] = []
-        windows: list[tuple[bool, list[bytes], bool]] = []
         size = 0
 
         def flush():
@@ -102,12 +103,13 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
             rank = np.empty(len(place), np.int32)
             rank[order] = np.arange(len(place))
             words = [*place]
+            windows = training_windows(pieces, words, [d for d, rest in zip(docs_, held) if not rest])
             flat = rank[flat]  # frequent words get small numbers, which pack well
             trained = np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=len(place))
             row = {
                 "chunk": pa.array([number], pa.int64()), "words": pa.array([[words[i] for i in order]], kinds["words"]), "counts": pa.array([trained], kinds["counts"]),
                 "ids": pa.array([ids], pa.list_(id_arrow)), "held": pa.array([held], kinds["held"]), "sizes": pa.array([sizes], kinds["sizes"]),
-                "low": [(flat & 0xFFFF).astype("<u2").tobytes()], "high": [(flat >> 16).astype(np.uint8).tobytes()], "windows": [training_windows(pieces, windows).tobytes()],
+                "low": [(flat & 0xFFFF).astype("<u2").tobytes()], "high": [(flat >> 16).astype(np.uint8).tobytes()], "windows": pa.array([[windows[i : i + BATCH].tobytes() for i in range(0, len(windows), BATCH)]], pa.list_(pa.binary())),
             }
             return pa.RecordBatch.from_pydict(row)
 
@@ -121,35 +123,39 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
                     docs_.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
                     ids.append(d)
                     held.append(rest == 1)
-                    if rest != 1:
-                        windows.append(window_words(words, len(ids)))
                     size += len(t or b"")
                     if size >= chunk:
                         yield flush()
-                        place, ids, held, docs_, windows, size, number = {}, [], [], [], [], 0, number + 1
+                        place, ids, held, docs_, size, number = {}, [], [], [], 0, number + 1
         if ids:
             yield flush()
 
     return docs.select(F.col(doc_id).alias("doc_id"), remainder(F.col(doc_id)).alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def window_words(words: list[bytes], salt: int) -> tuple[bool, list[bytes], bool]:
-    """Words of a document's training window, from a place that varies with its size and number; whether it begins and ends the text."""
-    start = (len(words) * 2654435761 + salt * 40503) % max(1, len(words) - WINDOW // 3)
-    return not start, words[start : start + WINDOW], start + WINDOW >= len(words)
+def training_windows(pieces: Pieces, words: list[bytes], docs: list[np.ndarray]) -> np.ndarray:
+    """Rows of ``WINDOW`` + 1 ids that cover documents of word numbers whole, the largest value where there are none.
 
+    Each row begins with the last id of the one before, so every id and every end is predicted once.
+    """
+    ids, per = pieces.encode(words)
+    ids, per = np.r_[ids, _BEGIN, _END].astype(id_kind(pieces.size)), np.r_[per, 1, 1]
+    offset = np.cumsum(per) - per
+    lengths = np.array([len(d) + 2 for d in docs], np.int64)
+    flat = np.concatenate([np.r_[len(words), d, len(words) + 1] for d in docs]) if docs else np.zeros(0, np.int64)
+    seq = ids[ragged(offset[flat], per[flat])]
+    ends = np.cumsum(np.r_[0, per[flat]])
+    bounds = ends[np.cumsum(np.r_[0, lengths])]  # of documents, in ids
+    count = -(-(np.diff(bounds) - 1) // WINDOW)
+    nth = ragged(np.zeros(len(count), np.int64), count)
+    at = (np.repeat(bounds[:-1], count) + nth * WINDOW)[:, None] + np.arange(WINDOW + 1)
+    inside = at < np.repeat(bounds[1:], count)[:, None]
+    return np.where(inside, seq[np.minimum(at, len(seq) - 1)], np.iinfo(seq.dtype).max) if docs else seq.reshape(0, WINDOW + 1)
 
-def training_windows(pieces: Pieces, windows: list[tuple[bool, list[bytes], bool]]) -> np.ndarray:
-    """Rows of ``WINDOW`` + 1 ids, -1 where there are none."""
-    ids, per = pieces.encode([w for _, words, _ in windows for w in words])
-    ends = np.cumsum(np.r_[0, per])
-    out, at = np.full((len(windows), WINDOW + 1), -1, "<i4"), 0
-    for row, (begins, words, finishes) in zip(out, windows):
-        own = ids[ends[at] : ends[at + len(words)]]
-        own = np.concatenate([[_BEGIN] if begins else [], own, [_END] if finishes else []])[: WINDOW + 1]
-        row[: len(own)] = own
-        at += len(words)
-    return out
+
+def id_kind(size: int) -> np.dtype:
+    """Type of ids in windows; its largest value is no id."""
+    return np.dtype("<u2" if size < 0xFFFF else "<u4")
 
 
 class Classes:
@@ -274,35 +280,42 @@ def loaded(raw: bytes, classes: int) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(packed: DataFrame, classes: Classes, model: str) -> dict[str, np.ndarray]:
-    """Parameters averaged over trainers, which each go through their share of all training windows, a third at a time."""
+def fit(packed: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
+    """Parameters averaged over tasks, which each go through all training windows of their chunks, a third at a time."""
     spark = packed.sparkSession
-    width = (WINDOW + 1) * 4
-    cut = F.expr(f"transform(sequence(0, cast(length(windows) / {width} as int) - 1), i -> substring(windows, i * {width} + 1, {width}))")
-    rows = packed.where(F.length("windows") > 0).select(F.explode(cut).alias("window"))
-    dealt = materialise(rows.withColumn("trainer", F.pmod(F.xxhash64("window"), F.lit(TRAINERS))).repartition(TRAINERS, "trainer").select("window"), "windows")
-    m = initial(classes.count)
+    kind = id_kind(len(classes.of))
+    width = (WINDOW + 1) * kind.itemsize
+    cut = F.expr(f"transform(sequence(0, cast(length(block) / {width} as int) - 1), i -> substring(block, i * {width} + 1, {width}))")
+    rows = packed.select(F.explode("windows").alias("block")).select(F.explode(cut).alias("window"))  # short blocks, as each cut copies its block
+    m, count = initial(classes.count), classes.count
+
+    def add(found: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p.as_py(), np.float32).astype(np.float64) * n.as_py() for p, n in zip(found.column("parameters"), found.column("windows")))
+        return pa.table({"total": pa.array([total.tobytes()]), "windows": pa.array([sum(found.column("windows").to_pylist())])})
+
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((dumped(m), classes.of))
 
         def run(batches, turn=turn):
+            from pyspark import TaskContext
+
             raw, of = shared.value
-            own, seen = loaded(raw, len(initial_classes)), 0
+            own, seen = loaded(raw, count), 0
             for batch in batches:
-                ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(-1, WINDOW + 1)[turn::ROUNDS]
+                ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind).reshape(-1, WINDOW + 1).astype(np.int32)
+                ids = ids[np.random.default_rng(len(ids)).permutation(len(ids))[turn::ROUNDS]]  # windows of one text apart
                 if len(ids):
                     seen += len(ids)
-                    own = train(own, np.where(ids >= 0, of[np.maximum(ids, 0)], -1), max(LEAST_STEPS, -(-len(ids) // BATCH)), 0.03 / (1 + turn))
+                    own = train(own, np.where(ids < len(of), of[np.minimum(ids, len(of) - 1)], -1), max(LEAST_STEPS, -(-len(ids) // BATCH)), 0.03 / (1 + turn))
             if seen:
-                yield pa.RecordBatch.from_pydict({"parameters": [dumped(own)], "windows": [seen]})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), "parameters": [dumped(own)], "windows": [seen]})
 
-        initial_classes = range(classes.count)
-        found = dealt.mapInArrow(run, "parameters binary, windows long").collect()
+        trained = rows.mapInArrow(run, "part int, parameters binary, windows long")
+        found = trained.groupBy("part").applyInArrow(add, "total binary, windows long").collect()
         if not found:
-            break
-        weights = np.array([r["windows"] for r in found], np.float64)
-        mean = sum(w * np.frombuffer(r["parameters"], np.float32).astype(np.float64) for w, r in zip(weights, found)) / weights.sum()
-        m = loaded(mean.astype(np.float32).tobytes(), classes.count)
+            continue  # fewer windows than rounds
+        mean = sum(np.frombuffer(r["total"], np.float64) for r in found) / sum(r["windows"] for r in found)
+        m = loaded(mean.astype(np.float32).tobytes(), count)
     return m
 
 
@@ -392,7 +405,7 @@ def scores(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         seen[i] = n
     seen[_END] = ends
     classes = Classes(seen, pieces.starts())
-    parameters = fit(packed, classes, model)
+    parameters = fit(packed, classes)
     shared = spark.sparkContext.broadcast((dumped(parameters), classes.of, classes.share, classes.count))
     known = rows.join(counts, "word").select(F.col("chunk").alias("to"), "at", "c")
     log10 = math.log(10)

@@ -103,3 +103,16 @@ def test_no_training_documents(spark):
 
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_training_windows_cover_whole_texts():
+    pieces = lm.Pieces(MODEL)
+    rng = np.random.default_rng(2)
+    words = [f"word{i}".encode() for i in range(50)]
+    docs = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 5000, 47, 300)]
+    rows = lm.training_windows(pieces, words, docs)
+    none = np.iinfo(rows.dtype).max
+    got = [int(x) for r in rows for x in r[1:] if x != none]
+    ids = [[i for w in d for i in pieces.library.encode(words[w].decode())] for d in docs]
+    assert got == [i for own in ids for i in [*own, lm._END]]  # every id and end is a target once, in order
+    assert [r[0] for r in rows if r[0] == lm._BEGIN] == [lm._BEGIN] * len(docs)
