@@ -44,6 +44,16 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a DataFrame once to the shared folder in as many buckets by ``key`` as a shuffle has, so grouping by it moves no row."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def utf8(column) -> list[bytes | None]:
     """A string column of a batch as UTF-8 bytes, nulls kept."""
     return column.cast(pa.large_binary()).to_pylist()
