@@ -26,11 +26,12 @@ names; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.common import LOWER, bucketed, materialise, slices, utf8
+from millrace.llm.common import bucketed, materialise
 
 CHUNK = 8 << 20
 #: Words that a window predicts, ids that it sees, and width of the model.
@@ -52,8 +53,6 @@ SPELLED = 0.05
 WEIGHTS = (0.05, 0.3, 0.8)
 #: Trainers that one task averages.
 AVERAGED = 16
-#: Words whose ids a worker remembers; at the bound the memory starts anew.
-REMEMBER = 300_000
 _UNKNOWN, _BEGIN, _END = 0, 1, 2
 _LEARNED = ("e", "u", "q", "x", "c")
 
@@ -65,22 +64,11 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.library.vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has, at least one."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = words
-        nothing = np.array([_UNKNOWN], self.kind).tobytes()
-        for start in range(0, len(new), 50_000):
-            some = new[start : start + 50_000]
-            for w, ids in zip(some, self.library.encode([w.decode("utf-8", "replace") for w in some], num_threads=1)):
-                known[w] = np.array(ids, self.kind).tobytes() or nothing
-        each = [known[w] for w in words]
-        return np.frombuffer(b"".join(each), self.kind).astype(np.int32), np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+        each = [ids or [_UNKNOWN] for ids in self.library.encode(words, num_threads=1)]
+        return np.fromiter(itertools.chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -93,13 +81,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def numbered() -> defaultdict:
-    """A dictionary that gives each new key the next number."""
-    out: defaultdict = defaultdict()
-    out.default_factory = out.__len__
-    return out
-
-
 def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """Rows of packed documents: word list with training counts and ids, word numbers of the documents, counts of ids.
 
@@ -114,7 +95,6 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
         T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
         T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()),
     ])
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
     named = docs.select(F.col(doc_id).alias("doc_id"), remainder(F.col(doc_id)).alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -123,19 +103,24 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
 
     def run(batches):
         pieces = Pieces(model)
-        place, ids, held, docs_, size, group, part = numbered(), [], [], [], 0, None, 0
+        parts, size, group, part = [], 0, None, 0
 
         def flush():
-            flat = np.concatenate([*docs_, np.zeros(0, np.int32)])
-            sizes = np.array([len(d) for d in docs_], np.int32)
-            order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
-            rank = np.empty(len(place), np.int32)
-            rank[order] = np.arange(len(place))
-            words = [*place]
-            words = [words[i] for i in order]
+            held = pa.concat_arrays([p.column("rest") for p in parts]).to_numpy() == 1
+            texts = pc.ascii_lower(pa.concat_arrays([p.column("text") for p in parts]).cast(pa.large_string()))
+            each = pc.ascii_split_whitespace(texts)
+            flat = each.flatten()
+            kept = pc.greater(pc.binary_length(flat), 0)  # white space at the ends leaves empty words
+            owner = each.value_parent_indices().filter(kept).to_numpy()
+            coded = flat.filter(kept).dictionary_encode()
+            flat, words = coded.indices.to_numpy(), coded.dictionary
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words))
+            words = words.take(pa.array(order))
             flat = rank[flat]  # frequent words get small numbers, which pack well
-            trained = np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=len(place))
-            seq, per = pieces.encode(words)
+            trained = np.bincount(flat[~held[owner]], minlength=len(words))
+            seq, per = pieces.encode(words.to_pylist())
             ends = np.cumsum(per)
             seen = np.repeat(trained > 0, per)
             first = np.zeros(len(seq), bool)
@@ -146,28 +131,29 @@ def chunks(docs: DataFrame, model: str, doc_id: str, text: str, chunk: int = CHU
             tally = [np.bincount(seq[first], trained, pieces.size).astype(np.int64), count(seen & ~first), count(seen & last), count(seen)]
             used = np.flatnonzero(tally[3])
             arrow = pa.StructArray.from_arrays([pa.array(used), *(pa.array(t[used]) for t in tally)], of_ids.names)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            sizes = np.bincount(owner, minlength=len(held)).astype(np.int32)
             row = [
-                pa.array([group + groups * part], pa.int64()), one(words, pa.binary()), one(trained, pa.int32()), pa.array([seq.astype(pieces.kind).tobytes()]),
-                pa.array([per.astype("<u4").tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), arrow), one(ids, id_arrow),
-                one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([(flat & 0xFFFF).astype("<u2").tobytes()]), pa.array([(flat >> 16).astype(np.uint8).tobytes()]),
+                pa.array([group + groups * part], pa.int64()), one(words.cast(pa.large_binary()).cast(pa.binary())), one(pa.array(trained.astype(np.int32))), pa.array([seq.astype(pieces.kind).tobytes()]),
+                pa.array([per.astype("<u4").tobytes()]), one(arrow), one(pa.concat_arrays([p.column("doc_id") for p in parts])), one(pa.array(held)), one(pa.array(sizes)),
+                pa.array([(flat & 0xFFFF).astype("<u2").tobytes()]), pa.array([(flat >> 16).astype(np.uint8).tobytes()]),
             ]
             return pa.RecordBatch.from_arrays(row, schema.names)
 
-        for whole in batches:
-            id_arrow = whole.schema.field(0).type
-            for batch in slices(whole, "text", 1 << 20):
-                for d, rest, t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
-                    if ids and (g != group or size >= 2 * chunk):
-                        yield flush()
-                        part = part + 1 if g == group else 0
-                        place, ids, held, docs_, size = numbered(), [], [], [], 0
-                    group = g
-                    words = (t or b"").translate(LOWER).split()
-                    docs_.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-                    ids.append(d)
-                    held.append(rest == 1)
-                    size += len(t or b"")
-        if ids:
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            start = 0
+            for i, (g, n) in enumerate(zip(batch.column("group").to_pylist(), lengths)):
+                if (parts or i > start) and (g != group or size + n > 2 * chunk):
+                    parts.append(batch.slice(start, i - start))
+                    yield flush()
+                    part = part + 1 if g == group else 0
+                    parts, size, start = [], 0, i
+                group = g
+                size += n
+            if start < batch.num_rows:
+                parts.append(batch.slice(start))
+        if parts:
             yield flush()
 
     return dealt.select("doc_id", "rest", "text", "group").mapInArrow(run, schema)
@@ -325,7 +311,7 @@ class Paths:
 
     def logits(self, m: dict[str, np.ndarray], tree: Tree, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signed logits, of states in the order of the paths, and the nodes' parameters."""
-        u, z = np.take(m["u"], self.nodes, axis=0), np.empty(len(self.nodes), np.float32)
+        u, z = np.take(m["u"], self.nodes, axis=0), np.empty(len(self.nodes), states.dtype)
         for a, b in self.steps:
             np.einsum("ij,ij->i", states[: b - a], u[a:b], out=z[a:b])
         z += tree.bias[self.nodes]
