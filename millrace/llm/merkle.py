@@ -1,15 +1,15 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and their pieces, in DataFrame functions only.
 
-A text's paragraphs are its lines. The leaves are pieces of up to four words, with the spaces around them, so leaves
-cover every character. A paragraph's hash is taken over its leaves and its length, a section's over eight paragraphs,
-the root's over the sections. Equal roots mean equal texts; where roots differ, the first section and, within it, the
-first paragraph that differ locate the edit. A fingerprint is the root and the smallest 64 distinct leaves, in hex, so
-the likeness of two texts (0 to 1, the share of leaves they have in common) can be told from fingerprints alone.
-
-Null texts count as empty; an empty text has one empty paragraph and no leaf. Rows that repeat a doc_id are each kept,
-and as one another's neighbours count as one document, the one whose text sorts first. Ids are whole numbers; a null one sorts first
-(the least 64-bit number stands for it).
-Columns besides those named are ignored. Nothing is collected but up to ``BUCKETS`` id bounds.
+A text's paragraphs are its lines. A paragraph's hash is the MD5 of its text, a section's that of eight paragraph hashes,
+the root's that of the sections', all of full width, so equal roots mean equal texts as surely as MD5 does for texts that
+nobody forges; where roots differ, the first section and, within it, the first paragraph that differ locate the edit. A
+fingerprint is the root and the smallest 64 distinct hashes (32 bits) of the text's pieces of up to four words, in hex, so
+the likeness of two texts (0 to 1, the share of pieces they have in common) can be told from fingerprints alone.
+
+Null texts count as empty; an empty text has one empty paragraph and no piece. Rows that repeat a doc_id are each kept,
+and as one another's neighbours count as one document, the one whose text sorts first. Ids are whole numbers; a null one
+sorts first (the least 64-bit number stands for it). Texts are read whole, however long. Columns besides those named are
+ignored, whatever their names; an empty table gives no rows. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -17,50 +17,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialise
+
 #: Smallest leaves that a fingerprint keeps.
 KEPT = 64
 #: Paragraphs in a section.
 SECTION = 8
-#: Buckets of ids at most, each of about ``IDS`` ids until their number reaches it.
-BUCKETS, IDS = 1024, 250
-_PIECE = r"(?: *+[^ ]++){1,4}+ *+"
-_ROOT, _LEAF = 32, 8
+_PIECE = r"(?: *+[^ \n]++){1,4}+ *+"
 _NULL = -(1 << 63)
 
 
-def _hash(x: Column, digits: int) -> Column:
-    return F.left(F.md5(x.cast("binary")), F.lit(digits))
-
-
-def leaves(text: Column) -> Column:
-    """Leaf hashes by paragraph: array of arrays of strings."""
-    pieces = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_PIECE), F.lit(0)), lambda x: _hash(x, _LEAF))
-    return F.transform(F.split(text, "\n"), lambda p: F.struct(pieces(p).alias("leaves"), F.char_length(p).alias("n")))
+def _hash(x: Column) -> Column:
+    return F.md5(x.cast("binary"))
 
 
-def tree(paragraphs: Column) -> Column:
-    """Hashes of paragraphs, from ``leaves``."""
-    return F.transform(paragraphs, lambda p: _hash(F.concat_ws(":", F.array_join(p["leaves"], ""), p["n"].cast("string")), 16))
+def tree(text: Column) -> Column:
+    """Hashes of paragraphs."""
+    return F.transform(F.split(text, "\n"), _hash)
 
 
 def sections(hashes: Column) -> Column:
     """Hashes of sections, from ``tree``."""
     count = F.ceil(F.size(hashes) / SECTION).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _hash(F.array_join(F.slice(hashes, i * SECTION + 1, SECTION), ""), 16))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _hash(F.array_join(F.slice(hashes, i * SECTION + 1, SECTION), "")))
 
 
 def root(section_hashes: Column) -> Column:
-    return _hash(F.array_join(section_hashes, ""), _ROOT)
+    return _hash(F.array_join(section_hashes, ""))
 
 
-def sketch(paragraphs: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.flatten(paragraphs["leaves"]))), 1, KEPT)
+def sketch(text: Column) -> Column:
+    """The smallest hashes of pieces; a piece lies in one paragraph and has the spaces around its words."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(pieces, lambda x: F.left(_hash(x), F.lit(8))))), 1, KEPT)
 
 
 def fingerprinted(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``{name}_tree`` (paragraph hashes), ``{name}_sections``, ``{name}_root`` and ``{name}_sketch`` of a column without nulls."""
-    df = df.withColumn("_paragraphs", leaves(F.col(text)))
-    df = df.withColumns({f"{name}_tree": tree(F.col("_paragraphs")), f"{name}_sketch": sketch(F.col("_paragraphs"))}).drop("_paragraphs")
+    df = df.withColumns({f"{name}_tree": tree(F.col(text)), f"{name}_sketch": sketch(F.col(text))})
     df = df.withColumn(f"{name}_sections", sections(F.col(f"{name}_tree")))
     return df.withColumn(f"{name}_root", root(F.col(f"{name}_sections")))
 
@@ -86,19 +80,15 @@ def first_difference(a: Column, b: Column) -> Column:
 def neighbours(ids: DataFrame) -> DataFrame:
     """For distinct longs ``key``: rows (key, next_key), the next key in ascending order, the first one after the last.
 
-    Keys are dealt by their quantiles to buckets. The smallest key of a bucket also goes, as a guest, to the bucket
-    before, so each bucket's window knows the next key of all its own; the smallest key of all is a guest in the last.
+    Keys are sorted by ranges. Each range finds the next key of all its own but the last one, whose next is the smallest
+    of the range after it; only these, one a range, go through one task.
     """
-    rows, least = ids.agg(F.count("*"), F.min("key")).first()
-    buckets = max(1, min(BUCKETS, rows // IDS))
-    cuts = ids.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else []
-    bounds = F.array(*(F.lit(x).cast("long") for x in sorted({*cuts} - {least}))) if {*cuts} - {least} else F.array().cast("array<long>")
-    dealt = ids.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col("key"))))
-    guest = F.when(F.col("key") == F.lit(least), F.size(bounds)).when(F.array_contains(bounds, F.col("key")), F.col("_bucket") - 1)
-    dealt = dealt.select("key", F.explode(F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(True).alias("guest")))))).alias("at"))
-    order = Window.partitionBy("bucket").orderBy(F.col("guest") & (F.col("key") == F.lit(least)), "key", "guest")
-    dealt = dealt.select("key", F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"))
-    return dealt.withColumn("next_key", F.lead("key").over(order)).where(~F.col("guest")).select("key", "next_key")
+    dealt = materialise(ids.orderBy("key").withColumn("part", F.spark_partition_id()), "ids")
+    heads = dealt.groupBy("part").agg(F.min("key").alias("head"))
+    first = F.first("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("part", F.coalesce(F.lead("head").over(Window.orderBy("part")), first).alias("after"))
+    following = F.lead("key").over(Window.partitionBy("part").orderBy("key"))
+    return dealt.withColumn("following", following).join(F.broadcast(heads), "part").select("key", F.coalesce("following", "after").alias("next_key"))
 
 
 def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,20 +129,16 @@ SQL = """
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 pair AS (SELECT doc_id, n, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM doc),
 both_texts AS (SELECT doc_id, n, text, next_text, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM pair),
-paragraph AS (SELECT *, string_split(text, chr(10)) AS p0, string_split(edited, chr(10)) AS p1, string_split(next_text, chr(10)) AS p2 FROM both_texts),
-leaf AS (SELECT doc_id, n, edited,
-  list_transform(p0, lambda p: list_transform(regexp_extract_all(p, '(?: *[^ ]+){1,4} *'), lambda x: left(md5(x), 8))) AS l0,
-  list_transform(p1, lambda p: list_transform(regexp_extract_all(p, '(?: *[^ ]+){1,4} *'), lambda x: left(md5(x), 8))) AS l1,
-  list_transform(p2, lambda p: list_transform(regexp_extract_all(p, '(?: *[^ ]+){1,4} *'), lambda x: left(md5(x), 8))) AS l2, p0, p1, p2 FROM paragraph),
-hashed AS (SELECT *,
-  list_transform(range(1, len(p0) + 1), lambda i: left(md5(array_to_string(l0[i], '') || ':' || length(p0[i])), 16)) AS t0,
-  list_transform(range(1, len(p1) + 1), lambda i: left(md5(array_to_string(l1[i], '') || ':' || length(p1[i])), 16)) AS t1,
-  list_transform(range(1, len(p2) + 1), lambda i: left(md5(array_to_string(l2[i], '') || ':' || length(p2[i])), 16)) AS t2 FROM leaf),
+hashed AS (SELECT doc_id, n, edited, list_transform(string_split(text, chr(10)), lambda p: md5(p)) AS t0,
+  list_transform(string_split(edited, chr(10)), lambda p: md5(p)) AS t1, list_transform(string_split(next_text, chr(10)), lambda p: md5(p)) AS t2,
+  list_transform(regexp_extract_all(text, '(?: *[^ \\n]+){1,4} *'), lambda x: left(md5(x), 8)) AS l0,
+  list_transform(regexp_extract_all(edited, '(?: *[^ \\n]+){1,4} *'), lambda x: left(md5(x), 8)) AS l1,
+  list_transform(regexp_extract_all(next_text, '(?: *[^ \\n]+){1,4} *'), lambda x: left(md5(x), 8)) AS l2 FROM both_texts),
 cut AS (SELECT *,
-  list_transform(range(0, (len(t0) + 7) // 8), lambda i: left(md5(array_to_string(t0[i * 8 + 1:i * 8 + 8], '')), 16)) AS s0,
-  list_transform(range(0, (len(t1) + 7) // 8), lambda i: left(md5(array_to_string(t1[i * 8 + 1:i * 8 + 8], '')), 16)) AS s1,
-  list_transform(range(0, (len(t2) + 7) // 8), lambda i: left(md5(array_to_string(t2[i * 8 + 1:i * 8 + 8], '')), 16)) AS s2,
-  list_sort(list_distinct(flatten(l0)))[1:64] AS k0, list_sort(list_distinct(flatten(l1)))[1:64] AS k1, list_sort(list_distinct(flatten(l2)))[1:64] AS k2 FROM hashed),
+  list_transform(range(0, (len(t0) + 7) // 8), lambda i: md5(array_to_string(t0[i * 8 + 1:i * 8 + 8], ''))) AS s0,
+  list_transform(range(0, (len(t1) + 7) // 8), lambda i: md5(array_to_string(t1[i * 8 + 1:i * 8 + 8], ''))) AS s1,
+  list_transform(range(0, (len(t2) + 7) // 8), lambda i: md5(array_to_string(t2[i * 8 + 1:i * 8 + 8], ''))) AS s2,
+  list_sort(list_distinct(l0))[1:64] AS k0, list_sort(list_distinct(l1))[1:64] AS k1, list_sort(list_distinct(l2))[1:64] AS k2 FROM hashed),
 rooted AS (SELECT *, md5(array_to_string(s0, '')) AS r0, md5(array_to_string(s1, '')) AS r1, md5(array_to_string(s2, '')) AS r2,
   list_sort(list_distinct(list_concat(k0, k1)))[1:64] AS u1, list_sort(list_distinct(list_concat(k0, k2)))[1:64] AS u2 FROM cut),
 met AS (SELECT *, len(list_intersect(list_intersect(u1, k0), k1)) AS m1, len(list_intersect(list_intersect(u2, k0), k2)) AS m2 FROM rooted)
