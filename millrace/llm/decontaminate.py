@@ -5,10 +5,14 @@ length form one search: a table holds, for each block of two words, how far the
 could end there; where that is nothing, the bucket of the block's hash, split by the pattern's first block, selects the
 patterns to compare, and direct comparison confirms each occurrence.
 
-Null and empty texts have no words. Items without words have no pattern; items that share a window are all reported.
-Documents are read whole; equal rows get equal results. Columns besides those named are kept by ``decontaminate`` and
-ignored by ``contamination``. The patterns of a task are bounded by ``block_bytes`` of benchmark text: beyond it the
-benchmark is searched block after block.
+Null and empty texts have no words. Items without words have no pattern; items that share a window, or have the same id,
+are all reported, an id once. Documents are read whole, however long; repeated rows are each reported, with equal results;
+an empty benchmark finds nothing, an empty table gives no rows. Columns besides those named, whatever their names, are
+kept by ``search`` and ``decontaminate`` and ignored by ``contamination``.
+
+The benchmark is cut into blocks of ``MOST_WINDOWS`` windows, an item of more into several with the windows between them.
+Every block is a broadcast of its own, and tasks search one block after another in each batch of texts, so the tables of
+one block are all that a task holds, and documents are gone through once whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import LOWER, materialise, slices, utf8
+from millrace.llm.common import LOWER, slices, utf8
 
 WINDOW = 10
-#: Benchmark text that one task holds as patterns at a time.
-BLOCK_BYTES = 16 << 20
+#: Windows that one task holds as patterns at a time, less than 1 KB each.
+MOST_WINDOWS = 100_000
 #: Lower-cases A-Z and turns every byte that isn't a digit, a letter or beyond ASCII into a space.
 _FOLD = bytes(LOWER[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -106,70 +110,84 @@ _HITS = [
 ]
 
 
-def _search(docs: DataFrame, text: str, items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    """Adds or extends the columns of ``_HITS``; ``_ranges`` holds starts and ends by turns."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    before = "_ranges" in docs.columns
-    kept = [c for c in docs.columns if c not in {f.name for f in _HITS}]
-    names = docs.columns
-    place = names.index(text)
-    schema = T.StructType([*(docs.schema[c] for c in kept), *_HITS])
+def blocks(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = MOST_WINDOWS):
+    """Lists of (id, text) of about ``most`` windows, read from the table one after another."""
+    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    held: list[tuple[str, bytes]] = []
+    size = 0
+    for r in named.toLocalIterator():
+        w = words(r["text"].encode())
+        for i in range(0, max(min(len(w), 1), len(w) - window + 1), most):
+            part = w[i : i + most + window - 1]
+            if size and size + len(part) > most + window - 1:
+                yield held
+                held, size = [], 0
+            held.append((r["id"], b" ".join(part)))
+            size += len(part)
+    yield held
+
+
+def _search(docs: DataFrame, text: str, shared: list, window: int) -> DataFrame:
+    """Adds the columns of ``_HITS``; ``_ranges`` holds starts and ends by turns."""
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *_HITS])
 
     def run(batches):
-        patterns = Patterns(shared.value, window)
+        one = Patterns(shared[0].value, window) if len(shared) == 1 else None
         for whole in batches:
-            for batch in slices(whole, names[place]):
-                n_words, all_ranges, all_items = [], [], []
-                old = zip(batch.column(names.index("_ranges")).to_pylist(), batch.column(names.index("_items")).to_pylist()) if before else None
-                for t in utf8(batch.column(place)):
-                    w = words(t)
-                    ranges, found = patterns.find(w)
-                    if old is not None:
-                        flat, more = next(old)
-                        ranges, found = merge(ranges + list(zip(flat[::2], flat[1::2]))), found | set(more)
-                    n_words.append(len(w))
-                    all_ranges.append([x for r in ranges for x in r])
-                    all_items.append(sorted(found))
-                hits = [pa.array(n_words, pa.int64()), pa.array(all_ranges, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *hits], schema.names)
+            for batch in slices(whole, text):
+                texts = [words(t) for t in utf8(batch.column(place))]
+                ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+                items: list[set[str]] = [set() for _ in texts]
+                for block in shared:
+                    patterns = one or Patterns(block.value, window)
+                    for w, r, i in zip(texts, ranges, items):
+                        found, names = patterns.find(w)
+                        r += found
+                        i |= names
+                    if one is None:
+                        vars(block).pop("_value", None)  # loaded again for the next batch
+                hits = [pa.array(map(len, texts), pa.int64()), pa.array([[x for r in merge(rs) for x in r] for rs in ranges], pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *hits], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of ``docs``, which must not start with an underscore, and those of ``_HITS``."""
-    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    found = docs
-    for k in range(blocks):
-        part = named.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else named
-        items = [(r["id"], r["text"].encode()) for r in part.toLocalIterator()]
-        if k:
-            found = materialise(found, "hits")
-        found = _search(found, text, items, window)
-    return found
+def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
+    """The columns of ``docs`` and three more, after them: words, places of hits (starts and ends by turns), and items found.
+
+    They are named ``n_words``, ``ranges`` and ``items``, with underscores after that where ``docs`` has such a column.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names of the caller can't clash with ours
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text, window, most)]
+    found = _search(docs.toDF(*own), own[docs.columns.index(text)], shared, window)
+    names = [*docs.columns]
+    for name in ("n_words", "ranges", "items"):
+        while name in names:
+            name += "_"
+        names.append(name)
+    return found.toDF(*names)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside occurrences), n_items, items_sha256 and contaminated."""
     found = search(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, **how)
-    hit = F.aggregate("_ranges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("sign")), lambda s, x: F.struct((s["n"] + s["sign"] * x).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"])
+    hit = F.aggregate("ranges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("sign")), lambda s, x: F.struct((s["n"] + s["sign"] * x).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"])
     return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
+        "n_words",
         hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("_ranges") > 0).alias("contaminated"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("ranges") > 0).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents in which no benchmark window occurs, with their columns as they were."""
+    found = search(docs, benchmark, text=text, **how)
     own = [f"c{i}" for i in range(len(docs.columns))]
-    found = search(docs.toDF(*own), benchmark, text=own[docs.columns.index(text)], **how)
-    return found.where(F.size("_ranges") == 0).select(*own).toDF(*docs.columns)
+    return found.toDF(*own, "n_words", "ranges", "items").where(F.size("ranges") == 0).select(*own).toDF(*docs.columns)
 
 
 SQL = """

@@ -50,7 +50,26 @@ def test_matches_brute_force(spark):
 
 
 def test_blocks_of_patterns(spark):
-    check(spark, block_bytes=200)
+    for most in (1, 7, 40):
+        check(spark, most=most)
+
+
+def test_blocks_are_bounded_and_whole(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500))), (2, "a b c"), (3, ""), (4, None), (5, " ".join(f"v{i}" for i in range(10)))], "item_id long, text string")
+    found = list(decontaminate.blocks(items, most=50))
+    windows = lambda t: {tuple(w[i : i + 10]) for w in [decontaminate.words(t)] for i in range(max(len(w) - 9, min(1, len(w))))}
+    assert all(sum(len(windows(t)) for _, t in b) <= 50 for b in found)
+    assert set().union(*(windows(t) for b in found for _, t in b)) == set().union(*(windows((r.text or "").encode()) for r in items.collect()))
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    item = " ".join(f"word{i}" for i in range(10))
+    long = "filler " * 60_000 + item
+    d = spark.createDataFrame([(1, long, 5), (1, long, 5), (2, "filler", 6)], "doc_id long, text string, ranges int").withColumnRenamed("doc_id", "items")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.search(d, b)
+    assert found.columns == ["items", "text", "ranges", "n_words", "ranges_", "items_"]
+    assert sorted((r["items"], r["ranges"], r["n_words"], r["ranges_"], r["items_"]) for r in found.collect()) == [(1, 5, 60_010, [60_000, 60_010], ["1"])] * 2 + [(2, 6, 1, [], [])]
 
 
 def test_decontaminate_keeps_clean_rows(spark):
