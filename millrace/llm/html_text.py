@@ -1,24 +1,31 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and removed.
 
-Every page is parsed into elements. A subtree's hash covers its tags, its marks (class, id and role) and its text. Spark
-counts, per host, the pages in which each subtree occurs; subtrees that recur on many pages of a host are its template
-and are deleted. What the markup itself names as no part of an article (menus, headers, footers, asides, forms, scripts,
-styles, and blocks whose class, id or role says advert, notice, comment and the like) goes as well, so that a host with
-few pages is treated alike. Paragraphs and headings inside an article are never counted as template.
-
-Null and empty html, and pages without article text, give an empty text. Pages of one url, repeated rows and ties are
-all kept; each is counted once per page. A page without a host counts with others of the same kind. Columns besides
-those named are ignored. Pages are read whole. The template set goes to tasks as a sorted array only while it has
-``MOST_TEMPLATES`` entries at most; a larger one is joined to the pages instead.
+Every page is parsed into elements. A subtree's hash covers its host, its tags, its marks (class, id and role) and its
+text. Spark counts, for each subtree of a containing element (``div``, ``nav``, ``section``, lists, tables, ...), in how
+many contexts it occurs, the context being the two longest pieces of text on the page outside the subtree. A menu or a
+notice stands beside many different articles; the parts of an article that is repeated on a host stand beside the same
+one each time, and so count once. A subtree with ``LEAST_PAGES`` contexts is template and is deleted, except what holds an
+article (``article``, ``main``, ``h1``), what lies within one and isn't mostly links, and what is most of the page's text
+other than links, unless it stands on most pages of its host. The least number doesn't grow with the host.
+
+What doesn't recur, as on a host of few pages, is judged by its markup after that: elements that the page itself calls
+menus, headers, footers, asides, forms, scripts, styles, and blocks whose class, id or role says advert, notice, comment
+and the like go, and where the page names its article, the rest. Paragraphs and headings are never counted as template,
+and what stands inside a sentence goes with the sentence, whatever its class.
+
+Null and empty html, and pages without article text, give an empty text. Pages of one url, repeated rows and ties are all
+kept; copies of a page are one context. A page without a host counts with others of the same kind. Columns besides those
+named are ignored, whatever their names; an empty table gives no rows. Pages are read whole, however long. Found templates
+go to pages by a join on a key of url and html, salted so that a page with very many copies is spread; nothing is collected.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,9 +34,10 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import materialise
 
-#: A subtree is template if it occurs on this many pages of a host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
-MOST_TEMPLATES = 4_000_000
+#: A subtree is template if it occurs in this many contexts on a host.
+LEAST_PAGES = 5
+#: Parts that pages of one key are dealt to.
+SALTS = 8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -40,6 +48,8 @@ _FRAME = frozenset("div section ul ol dl table nav header footer aside form figu
 #: Elements that the start of one of the second kind closes.
 _CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _MARKED = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|cookies?|consent|notices?|popup|modal|comments?|disqus|respond|share|sharing|social|related|newsletter|subscribe|widget|pagination|pager)(?![a-z])")
+#: What marks inside an article don't tell against: its own header.
+_OWN = re.compile("header")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']+)*+)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -54,6 +64,12 @@ class Element:
     marks: str = ""
     role: str = ""
     children: list = field(default_factory=list)  # elements and strings
+    #: Of the subtree, once measured: hash, places of its pieces of text, their characters, and those in links.
+    hash: int = 0
+    first: int = 0
+    last: int = 0
+    chars: int = 0
+    links: int = 0
 
 
 def parse(page: str) -> Element:
@@ -100,29 +116,87 @@ def parse(page: str) -> Element:
     return top
 
 
-def holds_article(e: Element) -> bool:
-    return any(isinstance(c, Element) and (c.tag in ("article", "main") or holds_article(c)) for c in e.children)
+def holds(e: Element, tags: tuple[str, ...]) -> bool:
+    return any(isinstance(c, Element) and (c.tag in tags or holds(c, tags)) for c in e.children)
 
 
-def dropped(e: Element) -> bool:
-    """Whether the markup says that an element is no part of an article; marks don't count on what holds the article."""
-    if e.tag in _DROP or e.role in _ROLES:
+def dropped(e: Element, inside: bool, amid: bool) -> bool:
+    """Whether the markup says that an element is no part of an article; marks don't count on what holds the article.
+
+    ``inside`` an article its own header stays; ``amid`` text of its parent an inline element is part of that.
+    """
+    if e.tag in _DROP and not (inside and e.tag == "header") or e.role in _ROLES:
         return True
-    return bool(e.marks) and e.tag not in ("html", "body", "article", "main") and bool(_MARKED.search(e.marks)) and not holds_article(e)
+    if not e.marks or e.tag in ("html", "body", "article", "main") or amid and e.tag in _INLINE:
+        return False
+    marks = _OWN.sub("", e.marks) if inside else e.marks
+    return bool(_MARKED.search(marks)) and not holds(e, ("article", "main"))
+
+
+def measure(host: str, top: Element) -> list[tuple[int, int]]:
+    """Fills in what is measured of all elements; lengths and hashes of the page's pieces of text, in order."""
+    pieces: list[tuple[int, int]] = []
+    salt = xxhash.xxh64_digest(host.encode("utf-8", "replace"))
+
+    def walk(e: Element, link: bool) -> bytes:
+        parts = [salt, e.tag.encode(), e.marks.encode(), e.role.encode()]
+        e.first = len(pieces)
+        link = link or e.tag in ("a", "button")
+        for c in e.children:
+            if isinstance(c, Element):
+                parts.append(walk(c, link))
+                e.chars += c.chars
+                e.links += c.links
+            else:
+                text = _SPACE.sub(" ", c).strip().encode("utf-8", "replace")
+                parts.append(text)
+                if text and e.tag not in _RAW:
+                    pieces.append((len(text), xxhash.xxh64_intdigest(text)))
+                    e.chars += len(text)
+                    e.links += len(text) if link else 0
+        e.last = len(pieces)
+        digest = xxhash.xxh64_digest(b"\0".join(parts))
+        e.hash = int.from_bytes(digest, "big", signed=True)
+        return digest
+
+    walk(top, False)
+    return pieces
+
+
+def subtrees(host: str, page: str) -> set[tuple[int, int]]:
+    """Hashes of the subtrees that can be template, each with that of its context."""
+    top = parse(page)
+    pieces = measure(host, top)
+    longest = sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], i))
+    out: set[tuple[int, int]] = set()
+
+    def walk(e: Element) -> None:
+        for c in e.children:
+            if isinstance(c, Element):
+                if c.tag in _FRAME:
+                    outside = itertools.islice((pieces[i][1] for i in longest if not c.first <= i < c.last), 2)
+                    out.add((c.hash, xxhash.xxh64_intdigest(repr(list(outside))) - (1 << 63)))
+                walk(c)
+
+    walk(top)
+    return out
 
 
-def hashes(host: str, e: Element, out: set[int]) -> bytes:
-    """A digest of the subtree; adds the hashes of those that can be template, salted with the host."""
-    parts = [e.tag.encode(), e.marks.encode(), e.role.encode()]
+def without(e: Element, template: dict[int, bool], whole: int, inside: bool = False) -> None:
+    """Deletes template subtrees, given with whether they stand on most pages; ``whole`` is the page's text other than links."""
+    kept: list = []
     for c in e.children:
-        parts.append(hashes(host, c, out) if isinstance(c, Element) else _SPACE.sub(" ", c).strip().encode("utf-8", "replace"))
-    digest = xxhash.xxh64_digest(b"\0".join(parts))
-    if e.tag in _FRAME:
-        out.add(xxhash.xxh64_intdigest(host.encode("utf-8", "replace") + b"\0" + digest) - (1 << 63))
-    return digest
+        if isinstance(c, Element):
+            if c.tag in _FRAME and (common := template.get(c.hash)) is not None and not holds(c, ("article", "main", "h1")):
+                if 2 * c.links > c.chars or not inside and (common or 2 * (c.chars - c.links) <= whole):
+                    kept.append(Element("hr"))  # what stood on either side doesn't become one block
+                    continue
+            without(c, template, whole, inside or c.tag in ("article", "main"))
+        kept.append(c)
+    e.children = kept
 
 
-def blocks(host: str, top: Element, template: set[int] | frozenset[int]) -> list[str]:
+def blocks(top: Element, marks: bool = True) -> list[str]:
     """Texts of the blocks that stay, in page order."""
     out: list[str] = []
     held: list[str] = []
@@ -134,29 +208,24 @@ def blocks(host: str, top: Element, template: set[int] | frozenset[int]) -> list
                 out.append(text)
             held.clear()
 
-    def walk(e: Element) -> None:
+    def walk(e: Element, inside: bool) -> None:
+        amid = any(isinstance(c, str) and not c.isspace() for c in e.children)
         for c in e.children:
             if not isinstance(c, Element):
                 held.append(c)
             elif c.tag == "br":
                 held.append(" ")
-            elif dropped(c) or (template and c.tag in _FRAME and template & own(c)):
+            elif c.tag in _RAW or c.tag == "head" or marks and dropped(c, inside, amid):
                 if c.tag not in _INLINE and c.tag not in _RAW:
                     flush()
             elif c.tag in _INLINE:
-                walk(c)
+                walk(c, inside)
             else:
                 flush()
-                walk(c)
+                walk(c, inside or c.tag in ("article", "main"))
                 flush()
 
-    def own(e: Element) -> set[int]:
-        found: set[int] = set()
-        digest = hashes(host, e, set())
-        found.add(xxhash.xxh64_intdigest(host.encode("utf-8", "replace") + b"\0" + digest) - (1 << 63))
-        return found
-
-    walk(top)
+    walk(top, False)
     flush()
     return out
 
@@ -165,16 +234,20 @@ def articles(e: Element) -> list[Element]:
     """The outermost article or main elements that aren't inside something dropped."""
     found: list[Element] = []
     for c in e.children:
-        if isinstance(c, Element) and not dropped(c):
+        if isinstance(c, Element) and not dropped(c, False, False):
             found.extend([c] if c.tag in ("article", "main") else articles(c))
     return found
 
 
-def text_of(host: str, page: str, template: set[int] | frozenset[int] = frozenset()) -> str:
+def text_of(host: str, page: str, template: dict[int, bool] | None = None, marks: bool = True) -> str:
+    """Text of a page; without ``marks`` only the template decides, and what is never shown."""
     top = parse(page)
-    if found := articles(top):
+    if template:
+        measure(host, top)
+        without(top, template, top.chars - top.links)
+    if marks and (found := articles(top)):
         top = Element("", children=found)
-    return "\n".join(blocks(host, top, template))
+    return "\n".join(blocks(top, marks))
 
 
 def host_of(url: str | None) -> str:
@@ -182,62 +255,36 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def page_hashes(url: str | None, page: str | None) -> set[int]:
-    found: set[int] = set()
-    hashes(host_of(url), parse(page or ""), found)
-    return found
-
+def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Of rows (host, hash, key, context): hashes of the subtrees that recur in many contexts, and whether on most pages of their host."""
+    contexts = found.select("host", "hash", "context").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    pages = found.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    return contexts.join(pages, "host").select("hash", (F.col("n") * 2 > F.col("pages")).alias("common"))
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Hashes (hash) of the subtrees that recur on many pages of their host; the host is part of the hash."""
 
-    def run(batches):
-        for batch in batches:
-            hosts, found = [], []
-            for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = host_of(u)
-                rows = page_hashes(u, page)
-                hosts.extend([h] * (len(rows) + 1))
-                found.extend(rows)
-                found.append(None)  # the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
-
-    seen = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "host string, hash long")
-    counted = seen.groupBy("host", "hash").count()
-    counted = materialise(counted.where((F.col("count") >= least_pages) | F.col("hash").isNull()), "subtrees")
-    sizes = counted.where("hash IS NULL").select("host", F.col("count").alias("pages"))
-    return counted.where("hash IS NOT NULL").join(sizes, "host").where(F.col("count") >= F.col("pages") * least_share).select("hash")
-
-
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", most_templates: int = MOST_TEMPLATES, **how) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", marks: bool = True, **how) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
     schema = T.StructType([T.StructField("page_id", pages.schema[page_id].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    found = materialise(templates(named, **how), "templates")
-    if found.count() <= most_templates:
-        shared = pages.sparkSession.sparkContext.broadcast(np.array([r[0] for r in found.toLocalIterator()], np.int64).tobytes())
-
-        def run(batches):
-            known = frozenset(np.frombuffer(shared.value, np.int64).tolist())
-            for batch in batches:
-                urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                texts = [text_of(host_of(u), page or "", known) for u, page in zip(urls, htmls)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
-
-        return named.mapInArrow(run, schema)
+    named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("key", F.xxhash64("url", "html"))
 
-    def own(batches):
+    def spread(batches):
         for batch in batches:
-            rows = [list(page_hashes(u, page)) for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.int64()))], ["_row", "hashes"])
+            rows = []
+            for k, u, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                host = host_of(u)
+                number = xxhash.xxh64_intdigest(host.encode("utf-8", "replace")) - (1 << 63)
+                rows += [(k, number, *r) for r in subtrees(host, page or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["key", "host", "hash", "context"])
+
+    found = materialise(named.select("key", "url", "html").mapInArrow(spread, "key long, host long, hash long, context long"), "subtrees")
+    met = found.select("key", "hash").join(templates(found, **how), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "common")).alias("met"))
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
 
     def cut(batches):
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
-            texts = [text_of(host_of(u), page or "", frozenset(met or ())) for u, page, met in rows]
+            texts = [text_of(host_of(u), page or "", {r["hash"]: r["common"] for r in own or ()}, marks) for u, page, own in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
-    held = materialise(named.withColumn("_row", F.monotonically_increasing_id()), "pages")
-    listed = held.select("url", "html", "_row").mapInArrow(own, "_row long, hashes array<long>")
-    met = listed.select("_row", F.explode("hashes").alias("hash")).join(found, "hash").groupBy("_row").agg(F.collect_set("hash").alias("met"))
-    return held.join(met, "_row", "left").select("page_id", "url", "html", "met").mapInArrow(cut, schema)
+    return salted.join(met, ["key", "salt"], "left").select("page_id", "url", "html", "met").mapInArrow(cut, schema)
