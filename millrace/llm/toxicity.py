@@ -2,14 +2,15 @@
 
 A character language model (trigrams, counted over every text) and a channel say how a word could have been written:
 letters as look-alike digits and signs, letters apart, letters repeated. Tokens that look altered become a lattice of
-readings; Viterbi decoding finds the most likely one. The restored words are scored by a logistic regression over words
+readings; Viterbi decoding, over all of its states, finds the most likely one. The restored words are scored by a logistic regression over words
 and word beginnings, fitted in numpy on a bounded sample of labelled rows (``MOST_TOXIC`` and ``MOST_CLEAN``, taken in
 the order of a hash of the id); its features are those whose document frequency differs significantly with the label.
 
 Null and empty texts have no words and get the score of the intercept. Labels that are null are skipped; repeated
 labels of an id count once, as toxic if any is. Without labels of both kinds every score is the smoothed share of toxic
-ones. Equal texts get equal scores. Texts are scored whole. Columns besides those named are ignored by ``scores`` and
-kept by ``drop_toxic``.
+ones. Equal texts, and so repeated rows, get equal scores. Texts are scored whole, however long; an empty table gives no
+rows. Columns besides those named, whatever their names, are ignored by ``scores`` and kept by ``drop_toxic``. Labels name
+their rows by a column of the same name as the documents' id.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ from millrace.llm.common import materialise, slices
 
 #: Labelled rows of each kind that the regression is fitted on, at most.
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
-MOST_FEATURES = 20_000
 #: Words remembered by a worker; at the bound the memory starts anew.
-REMEMBER = 500_000
+REMEMBER = 100_000
 #: Least documents and standard deviations of a feature, strength of the penalty.
-LEAST_DOCS, LEAST_Z, RIDGE = 8, 4.0, 0.3
+LEAST_DOCS, LEAST_Z, RIDGE = 8, 4.0, 0.004
 #: Word beginnings that are features, besides the word itself.
 BEGINNINGS = (4, 5)
 
@@ -92,8 +92,6 @@ def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
 class Channel:
     """Reads altered tokens by the most likely path through their lattice."""
 
-    BEAM = 48
-
     def __init__(self, counts: np.ndarray):
         n3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
         n2 = n3.sum(0)
@@ -126,10 +124,10 @@ class Channel:
     def decode(self, text: str) -> str:
         """The likeliest reading: words apart by spaces."""
         log = self.log
-        beam = {(_EDGE, _EDGE): (0.0, "")}
+        best = {(_EDGE, _EDGE): (0.0, "")}  # of all paths that end in two symbols, which is what the trigrams see
         for options in [*self.options(text), [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, read) in beam.items():
+            for (a, b), (score, read) in best.items():
                 for letter, cost in options:
                     if letter:
                         c = int(CODES[min(ord(letter), _BEYOND)])
@@ -138,8 +136,8 @@ class Channel:
                         s, key, now = score - cost, (a, b), read
                     if key not in new or s > new[key][0]:
                         new[key] = (s, now)
-            beam = dict(sorted(new.items(), key=lambda x: -x[1][0])[: self.BEAM])
-        return max(beam.values())[1].strip()
+            best = new
+        return max(best.values())[1].strip()
 
     def words(self, token: str) -> tuple[str, ...]:
         """Restored words of a lower-case token without white space."""
@@ -162,13 +160,13 @@ class Channel:
             letters = sum(map(str.isalpha, p))
             if letters == len(p) and not _REPEATED.search(p):
                 out += [p] if p else []
-            elif letters >= 2 and letters * 3 >= len(p) or letters and any(c in SIGNS and not c.isdigit() for c in p):
+            elif letters >= 2 and letters * 3 >= len(p) or letters and any(c in SIGNS for c in p) or len(p) > 2 and any(c in SIGNS and not c.isdigit() for c in p):
                 out += self.decode(p).split()
         return tuple(out)
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of runs of single characters."""
-        return [w for m in _SPACED.finditer(text) for w in self.decode(m[0]).split()]
+        return [w for m in _SPACED.finditer(text) for w in self.decode(" ".join(m[0].split())).split()]
 
 
 _ALIKE = re.compile("[" + "".join(ALIKE) + "]")
@@ -177,7 +175,7 @@ _REPEATED = re.compile(r"(.)\1\1")
 _ENDS = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _BETWEEN = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _PUNCTUATION = ".,;:?\"'()[]{}<>…«»„“”‘’`´=&%^~"
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]| [@$!|]){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s+(?:[^\W_]|[@$!|+])){2,}(?!\S)")
 
 
 def features(channel: Channel, text: str | None) -> set[str]:
@@ -267,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = np.zeros(SYMBOLS**3, np.int64)
     for code, n in trigrams(named).collect():
         counts[code] = n
-    chosen = sample(labels)
+    chosen = sample(labels, doc_id)
     taken = materialise(named.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
     shared = spark.sparkContext.broadcast(counts)
 
@@ -287,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     per = sets.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     share = (F.col("a") + F.col("b")) / (toxic + clean)
     z = F.abs(F.col("a") / toxic - F.col("b") / clean) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
-    picked = [r[0] for r in per.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature").collect()]
+    picked = [r[0] for r in per.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").select("feature").collect()]
     place = {f: i for i, f in enumerate(picked)}
     known = spark.sparkContext.broadcast(place)
 

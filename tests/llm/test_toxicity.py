@@ -1,3 +1,4 @@
+import pathlib
 import zlib
 
 import numpy as np
@@ -72,6 +73,39 @@ def test_viterbi_is_the_best_path():
         assert channel.decode(token) == max(paths, key=lambda p: score(*p))[0]
 
 
+def test_scores_match_brute_force(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels)
+    channel = toxicity.Channel(model.counts)
+    long = "fine " * 40_000 + "1d10t"
+    rows = [("".join(t), i) for i, t in enumerate(["an 1d10t", "an 1d10t", "i\td  i o\nt here", "$ c u m", long, "", "the weather 1 2 3 4"])] + [(None, 99)]
+    df = spark.createDataFrame(rows, "text string, doc_id long").withColumn("_score", F.lit("x"))
+    scored = toxicity._scored(df.select("doc_id", "text"), "text", model)
+    got = {r.doc_id: r._score for r in scored.collect()}
+    for t, i in rows:
+        x = model.intercept + sum(model.weights.get(f, 0.0) for f in toxicity.features(channel, t))
+        assert abs(got[i] - 1 / (1 + np.exp(-x))) < 1e-9
+    assert got[0] == got[1] > 0.5 and min(got[2], got[3], got[4]) > 0.5 and max(got[5], got[6], got[99]) < 0.5
+    assert toxicity.drop_toxic(df, labels).columns == ["text", "doc_id", "_score"]
+
+
+def test_finds_held_out_rows_of_the_test_tables(spark):
+    folder = pathlib.Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.scores(docs, labels).join(labels.where("toxic IS NOT NULL"), "doc_id").where("held_out").collect()
+    found = [r for r in rows if r.predicted]
+    # of 97 rows labelled toxic nine hold no word that marks any other
+    assert sum(r.toxic for r in found) >= 0.97 * len(found) and sum(r.toxic for r in found) >= 0.88 * sum(r.toxic for r in rows)
+
+
+def test_other_id_columns(spark, corpus):
+    docs, labels = corpus
+    named = toxicity.scores(docs.withColumnRenamed("doc_id", "name"), labels.withColumnRenamed("doc_id", "name"), doc_id="name")
+    assert named.where("predicted = 1").count() >= 80
+
+
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0)]):
