@@ -19,18 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
+    """The folder of this application in the one that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is missing, as in local tests, a temporary folder takes its place.
+    In local mode, where one machine is all there is, a temporary folder takes its place if the setting is missing.
+    Anywhere else that is an error, as rows written to an executor's own disk would be lost.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
-            return current.get()
-        named = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+            named = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="millrace-")
+            spark.sparkContext.setCheckpointDir(named)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{named.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table that this application wrote; what was computed from them can't be read after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -39,7 +49,7 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     Later jobs read it, so work in Python runs once and lost executors cost a rerun of single tasks only.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +58,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write a DataFrame once to the shared folder in as many buckets by ``key`` as a shuffle has, so grouping by it moves no row."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/millrace/{name}"
+    path = f"{shared_dir(spark)}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
