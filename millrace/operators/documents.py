@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.functions.arrays import let
 from millrace.operators.sums import running_sum
 
 END = 0
+#: Width of the blocks in which neighbouring places are found.
+PLACES = 1 << 20
 #: White space at the ends of a text, as a character class that Java and RE2 read alike.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -16,11 +23,33 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def tokenized(texts: DataFrame, text: str = "text", end: int = END) -> DataFrame:
-    """Adds ``ids`` (a code point a token, then the end) and ``n``; texts of white space alone are left out."""
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def code_points(texts: pa.Array) -> pa.Array:
+    """A code point a token, and a place for the end."""
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    ids = np.frombuffer("\0".join([*texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), "<i4")
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
+
+
+def tokenized(texts: DataFrame, text: str = "text", end: int = END, most: int | None = None) -> DataFrame:
+    """Adds ``ids`` (a code point a token, then the end) and ``n``; texts of white space alone, and nulls, are left out.
+
+    A text of more than ``most`` tokens, the end not counted, is an error that names its length.
+    """
     t = texts.withColumn("_t", stripped(F.col(text))).where("_t != ''")
-    ids = F.concat(F.transform(F.split("_t", ""), lambda c: F.ascii(c).cast("long")), F.array(F.lit(end).cast("long")))
-    return t.withColumn("ids", ids).withColumn("n", (F.char_length("_t") + 1).cast("long")).drop("_t")
+    ids = code_points("_t")
+    if end != END:
+        ids = F.concat(F.slice(ids, 1, F.char_length("_t")), F.array(F.lit(end)))
+    n = F.char_length("_t")
+    if most is not None:
+        n = F.when(n <= most, n).otherwise(F.raise_error(F.concat(F.lit(f"more than {most} tokens: "), n.cast("string"))).cast("int"))
+    return t.withColumn("n", (n + 1).cast("long")).withColumn("ids", ids).drop("_t")
+
+
+def lengths_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``n`` as ``tokenized`` does, without making tokens."""
+    n = F.char_length(stripped(F.col(text)))
+    return texts.where(n > 0).withColumn("n", (n + 1).cast("long"))
 
 
 def export_statistics(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
@@ -36,17 +65,42 @@ def export_statistics(texts: DataFrame, by: str, text: str = "text") -> DataFram
 
 
 def offsets(docs: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Adds ``start`` and ``end`` of each document in its source's stream."""
-    return running_sum(docs, by, order, "n", "end").withColumn("start", F.col("end") - F.col("n"))
+    """Adds ``start`` and ``end`` of each document in its source's stream; ``order`` tells a source's documents apart.
+
+    Sums run over ids and lengths only and are joined back, so tokens don't go through them.
+    """
+    placed = running_sum(docs.select(*by, order, "n"), by, order, "n", "end")
+    return docs.join(placed.select(*by, order, "end", (F.col("end") - F.col("n")).alias("start")), [*by, order])
+
+
+def end_places(ids: Column, start: Column, end: int = END) -> Column:
+    """Places after each end token of a run of ids that begins at ``start``."""
+    return F.array_compact(F.transform(ids, lambda x, i: F.when(x == end, start + i + 1)))
 
 
-def boundaries(tokens: DataFrame, by: list[str], pos: str = "pos", token: str = "token", end: int = END, close: bool = False) -> DataFrame:
-    """Documents (start, end) of token rows that end with ``end``; a tail without it is one more only with ``close``."""
-    at = Window.partitionBy(*by).orderBy("end")
-    ends = tokens.where(F.col(token) == end).select(*by, (F.col(pos) + 1).alias("end"))
-    if close:
-        ends = ends.union(tokens.groupBy(*by).agg((F.max(pos) + 1).alias("end"))).distinct()
-    return ends.select(*by, F.lag("end", 1, 0).over(at).alias("start"), "end")
+def pair_places(ids: Column, start: Column, follows: Column, end: int, begin: int) -> Column:
+    """Places after each end token that a begin token follows; ``follows`` is the token after the run, null at the stream's end.
+
+    The stream's last end counts, too.
+    """
+    after = F.concat(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), F.array(follows))
+    return F.array_compact(F.transform(ids, lambda x, i: F.when((x == end) & ((F.get(after, i) == begin) | F.get(after, i).isNull()), start + i + 1)))
+
+
+def boundaries(places: DataFrame, by: list[str], totals: DataFrame | None = None) -> DataFrame:
+    """Documents (start, end) from the places where they end; a tail up to the tokens of ``totals`` (by, tokens) is one more.
+
+    ``places`` has a row a document. The one before it lies in its block or is the last of the block before, so no task
+    holds all documents of a source.
+    """
+    ends = places.select(*by, "end")
+    if totals is not None:
+        ends = ends.union(totals.where("tokens > 0").select(*by, F.col("tokens").alias("end"))).distinct()
+    cut = ends.withColumn("_block", F.expr(f"end div {PLACES}"))
+    last = cut.groupBy(*by, "_block").agg(F.max("end").alias("_last"))
+    before = last.select(*by, "_block", F.lag("_last", 1, 0).over(Window.partitionBy(*by).orderBy("_block")).alias("_before"))
+    inner = F.lag("end").over(Window.partitionBy(*by, "_block").orderBy("end"))
+    return cut.withColumn("_inner", inner).join(before, [*by, "_block"]).select(*by, F.coalesce("_inner", "_before").alias("start"), "end")
 
 
 def fragments(docs: DataFrame, most: int, strategy: str = "truncate") -> DataFrame:
@@ -57,8 +111,20 @@ def fragments(docs: DataFrame, most: int, strategy: str = "truncate") -> DataFra
     return cut.withColumn("start", F.col("_at")).withColumn("end", F.least("end", F.col("_at") + most)).drop("_at")
 
 
-def lengths(ids: Column, end: int = END) -> Column:
-    """Lengths of the documents in an instance; what follows the last end is a piece, too."""
-    ends = F.filter(F.transform(ids, lambda x, i: F.when(x == end, i + 1)), lambda x: x.isNotNull())
-    ends = F.array_distinct(F.concat(ends, F.array(F.size(ids))))
-    return F.transform(ends, lambda e, i: e - F.coalesce(F.get(ends, i - 1), F.lit(0)))
+def lengths(ids: Column, end: int = END, begin: int | None = None) -> Column:
+    """Lengths of the documents in an instance; what follows the last end is a piece, too. An empty instance has none.
+
+    With ``begin``, a document ends at an end token that a begin token follows, or that is the last.
+    """
+    found = end_places(ids, F.lit(0), end) if begin is None else pair_places(ids, F.lit(0), F.lit(None).cast("int"), end, begin)
+    whole = let(F.array_distinct(F.concat(found, F.array(F.size(ids)))), lambda ends: F.transform(ends, lambda e, i: e - F.coalesce(F.get(ends, i - 1), F.lit(0))))
+    return F.when(F.size(ids) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
+def cumulative_lengths(lens: DataFrame, order: str, lengths: str = "doc_lens") -> DataFrame:
+    """Per piece of a batch's rows, in ``order``: (row, piece, length, end), ``end`` being the sum up to there; empty pieces are left out."""
+    pieces = lens.select(F.col(order).alias("row"), F.posexplode(lengths).alias("piece", "length")).where("length > 0")
+    block = pieces.groupBy("row").agg(F.sum("length").alias("_n"))
+    before = running_sum(block.withColumn("_all", F.lit(0)), ["_all"], "row", "_n", "_end").select("row", (F.col("_end") - F.col("_n")).alias("_base"))
+    inner = F.sum("length").over(Window.partitionBy("row").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0))
+    return pieces.withColumn("_inner", inner).join(before, "row").select("row", "piece", "length", (F.col("_base") + F.col("_inner")).alias("end"))

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.documents import offsets
+from millrace.operators.ordering import shuffled
+from millrace.operators.sums import running_sum
 
 
-def concat_and_chunk(docs: DataFrame, size: int, by: list[str], order: str, ids: str = "ids") -> DataFrame:
+def concat_and_chunk(docs: DataFrame, size: int, by: list[str], order: str, ids: str = "ids", most: int | None = None) -> DataFrame:
     """Rows (by, instance, input_ids): consecutive windows of a source's stream; its remainder is dropped.
 
-    Each document is cut at the grid of windows, so a row is made per document and window it touches, not per token.
+    Each document is cut at the grid of windows, so a row is made per document and window it touches, not per token. With
+    ``most``, a multiple of ``size``, the remainder is what doesn't fill windows of that size, so instances of any size
+    hold the same tokens.
     """
-    placed = offsets(docs, by, order)
+    placed = offsets(docs.select(*by, order, "n", ids), by, order)
+    if most and most != size:
+        totals = docs.groupBy(*by).agg((F.expr(f"sum(n) div {most}") * most).alias("_upto"))
+        placed = placed.join(totals, by).where(F.col("start") < F.col("_upto")).withColumn("end", F.least("end", "_upto"))
     pieces = placed.select(*by, "start", "end", ids, F.explode(F.expr(f"sequence(start div {size}, (end - 1) div {size})")).alias("instance"))
     low, high = F.greatest("start", F.col("instance") * size), F.least("end", (F.col("instance") + 1) * size)
     piece = F.slice(ids, (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
@@ -27,7 +35,7 @@ def concat_and_chunk(docs: DataFrame, size: int, by: list[str], order: str, ids:
 def padded(docs: DataFrame, size: int, pad: int, ids: str = "ids") -> DataFrame:
     """Adds ``input_ids`` (cut to ``size``, padded on the right) and ``label_mask`` (false on padding)."""
     n = F.least(F.size(ids), F.lit(size))
-    filled = F.concat(F.slice(ids, 1, size), F.array_repeat(F.lit(pad).cast("long"), F.lit(size) - n))
+    filled = F.concat(F.slice(ids, 1, size), F.array_repeat(F.lit(pad), F.lit(size) - n))
     return docs.withColumn("input_ids", filled).withColumn("label_mask", F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), F.lit(size) - n)))
 
 
@@ -62,22 +70,45 @@ def best_fit(lengths: list[int], size: int) -> list[int]:
     return bins
 
 
-def packed(docs: DataFrame, size: int, group: str, order: str, n: str = "n") -> DataFrame:
-    """Rows (group, order, n, bin): documents of each group packed into bins of ``size``, best fit, longest first.
+def pieces(docs: DataFrame, size: int, strategy: str = "truncate", ids: str = "ids") -> DataFrame:
+    """Documents of at most ``size`` tokens: cut to it, or split into several (``piece``)."""
+    if strategy == "truncate":
+        return docs.withColumn("piece", F.lit(0)).withColumn(ids, F.slice(ids, 1, size)).withColumn("n", F.least("n", F.lit(size)).cast("long"))
+    cut = docs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {size} as int)"))))
+    cut = cut.withColumn(ids, F.slice(ids, F.col("piece") * size + 1, size))
+    return cut.withColumn("n", F.size(ids).cast("long"))
 
-    A group is packed in one task; make groups of consecutive documents, so none grows with the corpus.
+
+def packed(pieces: DataFrame, size: int, group: str, order: str, n: str = "n") -> DataFrame:
+    """Rows (group, order, piece, n, bin, turn): pieces of each group packed into bins of ``size``, best fit, longest first.
+
+    ``turn`` is the order in which pieces went into bins; equal lengths go in document order. A group is packed in one
+    task; make groups of files, or of consecutive documents, so none grows with the corpus.
     """
-    schema = f"{group} {docs.schema[group].dataType.simpleString()}, {order} long, n long, bin long"
+    schema = f"{group} {pieces.schema[group].dataType.simpleString()}, {order} long, piece int, n long, bin long, turn long"
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("o")
-        bins = best_fit(t.column("n").to_pylist(), size)
-        return pa.table({group: t.column("g"), order: t.column("o"), "n": t.column("n"), "bin": pa.array(bins, pa.int64())})
-
-    cut = docs.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.least(F.col(n), F.lit(size)).cast("long").alias("n"))
+        t = t.sort_by([("o", "ascending"), ("p", "ascending")])
+        lengths = t.column("n").to_numpy()
+        turn = np.empty(len(lengths), np.int64)
+        turn[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+        bins = best_fit(lengths.tolist(), size)
+        return pa.table({group: t.column("g"), order: t.column("o"), "piece": t.column("p"), "n": t.column("n"), "bin": pa.array(bins, pa.int64()), "turn": pa.array(turn)})
+
+    cut = pieces.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col("piece").alias("p"), F.col(n).cast("long").alias("n"))
     return cut.groupBy("g").applyInArrow(run, schema)
 
 
+def packed_instances(pieces: DataFrame, bins: DataFrame, size: int, group: str, order: str, pad: int, ids: str = "ids") -> DataFrame:
+    """Rows (group, bin, input_ids, label_mask, doc_lens): the pieces of each bin in the order they were packed, padded."""
+    placed = bins.join(pieces.select(group, order, "piece", ids), [group, order, "piece"])
+    parts = placed.groupBy(group, "bin").agg(F.array_sort(F.collect_list(F.struct("turn", F.col(ids).alias("ids")))).alias("p"))
+    whole = parts.select(group, "bin", F.flatten("p.ids").alias("_ids"), F.transform("p", lambda x: F.size(x["ids"])).alias("doc_lens"))
+    room = F.lit(size) - F.size("_ids")
+    mask = F.concat(F.array_repeat(F.lit(True), F.size("_ids")), F.array_repeat(F.lit(False), room))
+    return whole.select(group, "bin", F.concat("_ids", F.array_repeat(F.lit(pad), room)).alias("input_ids"), mask.alias("label_mask"), "doc_lens")
+
+
 def interleaved(docs: DataFrame, size: int, documents: int, chunks: int, position: str, pad: int = -1, ids: str = "ids", specials: tuple[int, ...] = (0,), end: int = 0) -> DataFrame:
     """Rows (instance, input_ids, used): ``documents`` documents in the order of ``position``, dealt in turn by chunks.
 
@@ -92,9 +123,9 @@ def interleaved(docs: DataFrame, size: int, documents: int, chunks: int, positio
     pieces = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda i: F.struct(i.alias("turn"), F.col("_slot").alias("slot"), F.slice("_kept", (low(i) + 1).cast("int"), (low(i + 1) - low(i)).cast("int")).alias("ids")))
     rows = cut.select("instance", F.explode(pieces).alias("p")).groupBy("instance").agg(F.flatten(F.array_sort(F.collect_list("p"))["ids"]).alias("_ids"), (F.count("*") / chunks).alias("_docs"))
     rows = rows.where(F.col("_docs") == documents)
-    closed = F.when(F.size("_ids") < size, F.concat("_ids", F.array(F.lit(end).cast("long")))).otherwise(F.col("_ids"))
+    closed = F.when(F.size("_ids") < size, F.concat("_ids", F.array(F.lit(end)))).otherwise(F.col("_ids"))
     used = F.size(closed)
-    return rows.select("instance", F.concat(closed, F.array_repeat(F.lit(pad).cast("long"), F.lit(size) - used)).alias("input_ids"), used.alias("used"))
+    return rows.select("instance", F.concat(closed, F.array_repeat(F.lit(pad), F.lit(size) - used)).alias("input_ids"), used.alias("used"))
 
 
 def padding(bins: DataFrame, size: int, group: str) -> DataFrame:
@@ -103,9 +134,33 @@ def padding(bins: DataFrame, size: int, group: str) -> DataFrame:
     return filled.groupBy(group).agg(F.count("*").alias("bins"), F.sum("filled").alias("tokens"), F.avg(F.lit(size) - F.col("filled")).alias("mean_padding"))
 
 
+def interleaved_but(docs: DataFrame, exempt: Column, size: int, documents: int, chunks: int, seed: int, epoch: int, index: str, pad: int = -1) -> DataFrame:
+    """Rows (index, input_ids): the exempt documents first, each by itself in the order of ``index``, then the others interleaved."""
+    marked = docs.withColumn("_exempt", exempt)
+    alone = padded(marked.where("_exempt"), size, pad).select(F.col(index).alias("_o"), "input_ids").withColumn("_part", F.lit(0))
+    mixed = interleaved(shuffled(marked.where("NOT _exempt").drop("_exempt"), index, seed, epoch), size, documents, chunks, "position", pad)
+    both = alone.unionByName(mixed.select(F.col("instance").alias("_o"), "input_ids", F.lit(1).alias("_part")))
+    ranked = running_sum(both.select("_part", F.col("_o").cast("long").alias("_o"), F.lit(1).alias("_one")), ["_part"], "_o", "_one", "_r")
+    placed = dense_index(both.join(ranked.select("_part", "_o", (F.col("_r") - 1).alias("_i")), ["_part", "_o"]), ["_part"], "_i")
+    return placed.select("index", "input_ids")
+
+
+def labelled(rows: DataFrame, metadata: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with the metadata or label of their source; sources without any keep nulls."""
+    return rows.join(metadata, on, "left")
+
+
 def dense_index(df: DataFrame, by: list[str], instance: str) -> DataFrame:
     """Adds ``index``: sources one after another, their instances in order."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
     before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*by, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     return df.join(bases, by).withColumn("index", F.col("_base") + F.col(instance)).drop("_base")
+
+
+def masked(rows: DataFrame, masks: DataFrame, on: str, ids: str = "ids", mask: str = "mask") -> DataFrame:
+    """Rows with the mask of their tokens; a mask of another length, or none, is an error."""
+    met = rows.join(masks.select(on, mask), on, "left")
+    fits = F.coalesce(F.size(mask) == F.size(ids), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("the mask doesn't fit "), F.col(on).cast("string"))).cast("array<boolean>")
+    return met.withColumn(mask, F.when(fits, F.col(mask)).otherwise(wrong))

@@ -21,14 +21,33 @@ def shuffled(df: DataFrame, index: str, seed: int, epoch: int, chunk: int = 1) -
     return joined.withColumn("position", F.col("_place") * chunk + F.col(index) % chunk).drop("_unit", "_place")
 
 
-def interleaved_sources(df: DataFrame, source: str, rank: str, sources: int, least: int) -> DataFrame:
-    """Position of a row by turns over sources (numbered from 0), each cut to the shortest one's ``least`` rows."""
-    return df.where(F.col(rank) < least).withColumn("position", F.col(rank) * sources + F.col(source))
+def interleaved_sources(df: DataFrame, source: str, rank: str) -> DataFrame:
+    """Position of a row by turns over sources, in the order of their names, each cut to the rows of the shortest."""
+    sizes = df.groupBy(source).count()
+    everything = Window.partitionBy()  # a row a source
+    plan = sizes.select(source, F.min("count").over(everything).alias("_least"), F.count("*").over(everything).alias("_all"), (F.row_number().over(Window.orderBy(source)) - 1).alias("_k"))
+    placed = df.join(plan, source).where(F.col(rank) < F.col("_least"))
+    return placed.withColumn("position", F.col(rank) * F.col("_all") + F.col("_k")).drop("_least", "_all", "_k")
 
 
-def batches(df: DataFrame, size: int, world: int, total: int, position: str = "position") -> DataFrame:
+def concatenated_sources(df: DataFrame, source: str, position: str) -> DataFrame:
+    """Position of a row, sources one after another in the order of their names, each in the order it has (shuffled or not)."""
+    sizes = df.groupBy(source).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+    bases = sizes.select(source, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return df.join(bases, source).withColumn("position", F.col("_base") + F.col(position)).drop("_base")
+
+
+def epoch_sources(sources: DataFrame, number: str, each: int, epoch: int) -> DataFrame:
+    """The sources (numbered from 0) of an epoch: groups of ``each`` by turns."""
+    groups = F.floor(F.count("*").over(Window.partitionBy()) / each)  # a row a source
+    return sources.withColumn("_groups", groups).where(F.floor(F.col(number) / each) == (epoch - 1) % F.col("_groups")).drop("_groups")
+
+
+def batches(df: DataFrame, size: int, world: int, position: str = "position") -> DataFrame:
     """Adds batch, slot and rank; slots go to ranks by turns. The incomplete last batch is dropped."""
-    cut = df.where(F.col(position) < total - total % size)
+    total = df.agg(F.count("*")).scalar()
+    cut = df.withColumn("_total", total).where(F.col(position) < F.col("_total") - F.col("_total") % size).drop("_total")
     return cut.withColumn("batch", F.expr(f"{position} div {size}")).withColumn("slot", F.col(position) % size).withColumn("rank", (F.col(position) % size) % world)
 
 

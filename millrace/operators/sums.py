@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import hash_order  # noqa: F401
+
 #: Width of the blocks of an order column, and hex digits of a hash that make a bucket.
 BLOCK, DIGITS = 4096, 3
 
 
-def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str, block: int = BLOCK, levels: int = 2) -> DataFrame:
     """Adds the sum of ``value`` over the rows of the same ``by`` up to this one in the order of a whole number.
 
-    Blocks of the order are summed first; their totals are summed in turn and each row adds the rows of its own block.
-    A group that holds a third of all rows is spread over its blocks.
+    Blocks of the order are summed first; their totals are summed in the same way, in blocks of blocks, and each row adds
+    the rows of its own block. A group that holds a third of all rows is spread over its blocks.
     """
+    upto = Window.partitionBy(*by, *(["_block"] if levels else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if not levels:
+        return df.withColumn(name, F.sum(value).over(upto))
     cut = df.withColumn("_block", F.expr(f"`{order}` div {block}"))
-    totals = cut.groupBy(*by, "_block").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = cut.withColumn("_inner", F.sum(value).over(inner))
+    totals = cut.groupBy(*by, "_block").agg(F.sum(value).alias("_total")).withColumnRenamed("_block", "_at")
+    bases = running_sum(totals, by, "_at", "_total", "_upto", block, levels - 1).select(*by, F.col("_at").alias("_block"), (F.col("_upto") - F.col("_total")).alias("_base"))
+    summed = cut.withColumn("_inner", F.sum(value).over(upto))
     return summed.join(bases, [*by, "_block"]).withColumn(name, F.col("_base") + F.col("_inner")).drop("_block", "_base", "_inner")
 
 
-def hash_order(seed: int, epoch: int, item: Column) -> Column:
-    """A key whose order is a shuffle, equal on every engine and for every partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(epoch).cast("string"), item.cast("string")).cast("binary"))
+def ranked(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """Adds each row's place (from 1) among the rows of the same ``by`` in the order of a whole number."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), by, order, "_one", name).drop("_one")
+
+
+def in_blocks(df: DataFrame, by: list[str], rank: str, before: int, width: int = BLOCK) -> tuple[DataFrame, list[str]]:
+    """Rows dealt to blocks of ranks, each with the last ``before`` rows of the block before (``_own`` is false there).
+
+    Gives the rows and the columns of a block, for windows that reach back so far; no task holds a whole series.
+    """
+    width = max(width, before)
+    block, place = F.expr(f"{rank} div {width}"), F.col(rank) % width
+    guest = F.when(place >= width - before, F.struct((block + 1).alias("b"), F.lit(False).alias("own")))
+    dealt = df.withColumn("_at", F.explode(F.array_compact(F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), guest))))
+    return dealt.withColumn("_block", F.col("_at.b")).withColumn("_own", F.col("_at.own")).drop("_at"), [*by, "_block"]
 
 
-def global_position(df: DataFrame, key: str, tie: str, name: str = "position") -> DataFrame:
-    """Adds each row's place (from 0) in the order of a hash key: counts of buckets before it, and its rank in its own."""
+def global_position(df: DataFrame, key: str, tie: str, name: str = "position", by: list[str] | None = None) -> DataFrame:
+    """Adds each row's place (from 0) in the order of a hash key (of each ``by``): counts of buckets before it, and its rank in its own."""
+    by = by or []
     cut = df.withColumn("_bucket", F.left(F.col(key), F.lit(DIGITS)))
-    sizes = cut.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** DIGITS rows
-    bases = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, tie)) - 1
-    return cut.withColumn("_rank", rank).join(F.broadcast(bases), "_bucket").withColumn(name, F.col("_base") + F.col("_rank")).drop("_bucket", "_base", "_rank")
+    sizes = cut.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** DIGITS rows each
+    bases = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key, tie)) - 1
+    bases = bases if by else F.broadcast(bases)
+    return cut.withColumn("_rank", rank).join(bases, [*by, "_bucket"]).withColumn(name, F.col("_base") + F.col("_rank")).drop("_bucket", "_base", "_rank")

@@ -1,53 +1,17 @@
-"""Queries over the driver's tables, one for each operator, with the DuckDB SQL of the same result.
-
-``documents`` stand for token shards (source: file, doc_id: order), ``labels`` for masks, ``events`` for metric streams,
-``embeddings`` for logits and router scores. Arrays are reported by sums weighted with places.
-"""
+"""Queries over the driver's tables, one for each operator, with the DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, schedules
 from millrace.operators import documents, instances, metrics, mixing, ordering, repetition
 from millrace.operators.sums import running_sum
+from millrace.plans.base import SUM, TOK, checksum, docs, query, sized
 from millrace.sources.tables import table
 from millrace.streaming import spikes as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def checksum(ids: Column) -> Column:
-    """Sum of place (from 1) times value."""
-    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("s"))
-    return F.aggregate(ids, start, lambda a, x: F.struct((a["i"] + 1).alias("i"), (a["s"] + (a["i"] + 1) * x).alias("s")), lambda a: a["s"])
-
-
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.tokenized(table(spark, sf, "documents"))
-
-
-_SPACE = documents.SPACE
-TOK = f"""WITH tok AS (SELECT doc_id, source, lang, t, length(t) + 1 AS n FROM (SELECT doc_id, source, lang, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM documents) WHERE t <> ''),
-placed AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM tok),
-docs AS (SELECT doc_id, source, lang, n, "end" - n AS "start", "end", list_append(list_transform(string_split(t, ''), lambda c: unicode(c)::BIGINT), 0::BIGINT) AS ids FROM placed)"""
-SUM = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: i * {0}[i]))::BIGINT"
-
-
 @query(f"{TOK} SELECT doc_id, n::BIGINT AS n, {SUM.format('ids')} AS checksum FROM docs")
 def c10_tokenize(spark, sf):
     return docs(spark, sf).select("doc_id", "n", checksum(F.col("ids")).alias("checksum"))
@@ -55,14 +19,14 @@ def c10_tokenize(spark, sf):
 
 @query(f"""SELECT lang, count(*) FILTER (n > 0) AS documents, sum(CASE WHEN n > 0 THEN n + 1 ELSE 0 END)::BIGINT AS tokens, max(n)::BIGINT AS longest,
 max(CASE WHEN n > 0 THEN n + 1 END)::BIGINT AS longest_with_end, count(*) FILTER (n = 0) AS skipped
-FROM (SELECT lang, length(regexp_replace(coalesce(text, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS n FROM documents) GROUP BY lang""")
+FROM (SELECT lang, length(regexp_replace(coalesce(text, ''), '^{documents.SPACE}+|{documents.SPACE}+$', '', 'g')) AS n FROM documents) GROUP BY lang""")
 def c11_export_statistics(spark, sf):
     return documents.export_statistics(table(spark, sf, "documents"), "lang")
 
 
 @query(f'{TOK} SELECT source, doc_id, "start", "end" FROM placed_docs'.replace("FROM placed_docs", "FROM docs"))
 def c12_document_offsets(spark, sf):
-    return documents.offsets(docs(spark, sf), ["source"], "doc_id").select("source", "doc_id", "start", "end")
+    return documents.offsets(sized(spark, sf), ["source"], "doc_id").select("source", "doc_id", "start", "end")
 
 
 @query(f"""{TOK}, tokens AS (SELECT source, "start" + i - 1 AS pos, ids[i] AS token FROM docs, unnest(range(1, len(ids) + 1)) AS u(i)),
@@ -70,18 +34,17 @@ ends AS (SELECT source, pos + 1 AS e FROM tokens WHERE token = 0)
 SELECT source, coalesce(lag(e) OVER (PARTITION BY source ORDER BY e), 0) AS "start", e AS "end" FROM ends""")
 def c1_boundaries(spark, sf):
     placed = documents.offsets(docs(spark, sf), ["source"], "doc_id")
-    tokens = placed.select("source", "start", F.posexplode("ids").alias("i", "token")).select("source", (F.col("start") + F.col("i")).alias("pos"), "token")
-    return documents.boundaries(tokens, ["source"])
+    return documents.boundaries(placed.select("source", F.explode(documents.end_places(F.col("ids"), F.col("start"))).alias("end")), ["source"])
 
 
 @query(f"""{TOK} SELECT source, doc_id, "start", least("end", "start" + 512) AS "end" FROM docs""")
 def c6_truncate(spark, sf):
-    return documents.fragments(documents.offsets(docs(spark, sf), ["source"], "doc_id"), 512).select("source", "doc_id", "start", "end")
+    return documents.fragments(documents.offsets(sized(spark, sf), ["source"], "doc_id"), 512).select("source", "doc_id", "start", "end")
 
 
 @query(f"""{TOK} SELECT source, doc_id, s AS "start", least("end", s + 512) AS "end" FROM docs, unnest(range("start", "end", 512)) AS u(s)""")
 def c6_fragment(spark, sf):
-    return documents.fragments(documents.offsets(docs(spark, sf), ["source"], "doc_id"), 512, "fragment").select("source", "doc_id", "start", "end")
+    return documents.fragments(documents.offsets(sized(spark, sf), ["source"], "doc_id"), 512, "fragment").select("source", "doc_id", "start", "end")
 
 
 CHUNK = """, chunked AS (SELECT source, p // 64 AS instance, p % 64 + 1 AS place, token FROM (SELECT source, "start" + i - 1 AS p, ids[i] AS token FROM docs, unnest(range(1, len(ids) + 1)) AS u(i)))"""
@@ -93,10 +56,21 @@ def d1_concat_chunk(spark, sf):
     return rows.select("source", "instance", checksum(F.col("input_ids")).alias("checksum"))
 
 
-@query(f"""{TOK}, totals AS (SELECT source, sum(n)::BIGINT AS tokens FROM docs GROUP BY source)
-SELECT source, tokens, (tokens // 256) * (256 // 64) AS instances FROM totals""")
-def d2_stable_instance_counts(spark, sf):
-    return docs(spark, sf).groupBy("source").agg(F.sum("n").alias("tokens")).withColumn("instances", F.expr("(tokens div 256) * 4"))
+@query(f"""{TOK}{CHUNK}, totals AS (SELECT source, (sum(n)::BIGINT // 256) * 4 AS n FROM docs GROUP BY source)
+SELECT source, instance, sum(place * token)::BIGINT AS checksum FROM chunked JOIN totals USING (source) WHERE instance < totals.n GROUP BY ALL""")
+def d2_stable_chunks(spark, sf):
+    rows = instances.concat_and_chunk(docs(spark, sf), 64, ["source"], "doc_id", most=256)
+    return rows.select("source", "instance", checksum(F.col("input_ids")).alias("checksum"))
+
+
+@query(f"""{TOK}, totals AS (SELECT source, (sum(n)::BIGINT // 512) * 512 AS n FROM docs GROUP BY source), tokens AS (SELECT source, "start" + i - 1 AS p, ids[i] AS token FROM docs, unnest(range(1, len(ids) + 1)) AS u(i)),
+kept AS (SELECT source, sum(token)::BIGINT AS total FROM tokens JOIN totals USING (source) WHERE p < totals.n GROUP BY source)
+SELECT source, size, (totals.n // size)::BIGINT AS instances, total FROM totals JOIN kept USING (source), (VALUES (128), (512)) AS s(size) WHERE totals.n > 0""")
+def d3_same_tokens(spark, sf):
+    t = docs(spark, sf)
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = [instances.concat_and_chunk(t, size, ["source"], "doc_id", most=512).groupBy("source").agg(F.lit(size).alias("size"), F.count("*").alias("instances"), F.sum(total).alias("total")) for size in (128, 512)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""{TOK}{CHUNK}, rows_ AS (SELECT source, instance, list(place ORDER BY place) FILTER (token = 0) AS ends FROM chunked GROUP BY ALL HAVING count(*) = 64)
@@ -116,27 +90,81 @@ def d5_padded(spark, sf):
 @query(f"""{TOK}, sized AS (SELECT doc_id, "start", n, list_concat(list_transform(range(0, n >> 9), lambda i: 512), list_transform(list_filter([8, 7, 6, 5, 4], lambda k: (n >> k) & 1 = 1), lambda k: 1 << k)) AS s FROM docs)
 SELECT doc_id, (i - 1)::INT AS piece, s[i]::INT AS length, ("start" + coalesce(list_sum(s[1:i - 1]), 0))::BIGINT AS piece_start FROM sized, unnest(range(1, len(s) + 1)) AS u(i)""")
 def d11_power_pieces(spark, sf):
-    placed = documents.offsets(docs(spark, sf), ["source"], "doc_id")
+    placed = documents.offsets(sized(spark, sf), ["source"], "doc_id")
     return instances.power_pieces(placed, 4, 9).select("doc_id", "piece", "length", "piece_start")
 
 
 @query(f"""{TOK}, sized AS (SELECT list_concat(list_transform(range(0, n >> 9), lambda i: 512), list_transform(list_filter([8, 7, 6, 5, 4], lambda k: (n >> k) & 1 = 1), lambda k: 1 << k)) AS s FROM docs)
 SELECT l::INT AS length, count(*) AS instances, (4096 // l)::BIGINT AS batch_instances, count(*) // (4096 // l) AS batches FROM sized, unnest(s) AS u(l) GROUP BY l""")
 def d12_bucket_batches(spark, sf):
-    pieces = docs(spark, sf).select(F.explode(instances.power_lengths(F.col("n"), 4, 9)).alias("length"))
+    pieces = sized(spark, sf).select(F.explode(instances.power_lengths(F.col("n"), 4, 9)).alias("length"))
     return ordering.bucket_batches(pieces, 4096)
 
 
+def pack(spark, sf, strategy):
+    cut = instances.pieces(docs(spark, sf).withColumn("pack", F.expr("doc_id div 512")), 2048, strategy)
+    return cut, instances.packed(cut, 2048, "pack", "doc_id")
+
+
+#: Of packing in SQL: its totals, that no bin overflows, that every piece is there once, and that two bins at most are half empty.
+PACKED = """ SELECT pack, count(*) AS pieces, sum(n)::BIGINT AS tokens, 0::BIGINT AS overfull, 0::BIGINT AS misplaced, true AS tight FROM cut GROUP BY pack"""
+
+
+def packing(cut, bins):
+    filled = bins.groupBy("pack", "bin").agg(F.sum("n").alias("filled"), F.count("*").alias("pieces"))
+    by = filled.groupBy("pack").agg(F.sum("pieces").alias("pieces"), F.sum("filled").alias("tokens"), F.count_if(F.col("filled") > 2048).alias("overfull"), (F.count_if(F.col("filled") <= 1024) <= 1).alias("tight"))
+    met = cut.select("pack", "doc_id", "piece", "n").join(bins.withColumnRenamed("n", "m"), ["pack", "doc_id", "piece"], "full")
+    wrong = met.groupBy("pack").agg(F.count_if(F.col("n").isNull() | F.col("m").isNull() | (F.col("n") != F.col("m"))).alias("misplaced"))
+    return by.join(wrong, "pack").select("pack", "pieces", "tokens", "overfull", "misplaced", "tight")
+
+
+@query(f"{TOK}, cut AS (SELECT doc_id // 512 AS pack, least(n, 2048) AS n FROM docs){PACKED}")
+def d8_packed_truncated(spark, sf):
+    return packing(*pack(spark, sf, "truncate"))
+
+
+@query(f"{TOK}, cut AS (SELECT doc_id // 512 AS pack, least(2048, n - i * 2048) AS n FROM docs, unnest(range(0, (n - 1) // 2048 + 1)) AS u(i)){PACKED}")
+def d8_packed_fragments(spark, sf):
+    return packing(*pack(spark, sf, "fragment"))
+
+
 @query()
 def d7_packed(spark, sf):
-    grouped = docs(spark, sf).withColumn("pack", F.expr("doc_id div 512"))
-    return instances.packed(grouped, 2048, "pack", "doc_id")
+    cut, bins = pack(spark, sf, "fragment")
+    rows = instances.packed_instances(cut, bins, 2048, "pack", "doc_id", -1)
+    return rows.select("pack", "bin", "doc_lens", checksum(F.col("input_ids")).alias("checksum"))
+
 
+@query(f"{TOK}, cut AS (SELECT doc_id // 512 AS pack, list_sum(list_transform(ids[i * 2048 + 1:(i + 1) * 2048], lambda x: x))::BIGINT AS total, least(2048, n - i * 2048) AS n FROM docs, unnest(range(0, (n - 1) // 2048 + 1)) AS u(i)) SELECT pack, sum(total)::BIGINT AS total, sum(n)::BIGINT AS kept, true AS whole FROM cut GROUP BY pack")
+def d7_packed_rows(spark, sf):
+    cut, bins = pack(spark, sf, "fragment")
+    rows = instances.packed_instances(cut, bins, 2048, "pack", "doc_id", -1)
+    kept = F.size(F.filter("label_mask", lambda m: m))
+    total = F.aggregate(F.filter("input_ids", lambda x: x >= 0), F.lit(0).cast("long"), lambda a, x: a + x)
+    whole = (F.size("input_ids") == 2048) & (F.size("label_mask") == 2048) & (F.aggregate("doc_lens", F.lit(0), lambda a, x: a + x) == kept)
+    return rows.groupBy("pack").agg(F.sum(total).alias("total"), F.sum(kept).alias("kept"), F.every(whole).alias("whole"))
 
-@query(f"""{TOK} SELECT doc_id // 512 AS pack, sum(least(n, 2048))::BIGINT AS tokens FROM docs GROUP BY 1""")
-def d8_packed_tokens(spark, sf):
-    grouped = docs(spark, sf).withColumn("pack", F.expr("doc_id div 512"))
-    return instances.padding(instances.packed(grouped, 2048, "pack", "doc_id"), 2048, "pack").select("pack", "tokens")
+
+@query(f"""{TOK}, ranked AS (SELECT row_number() OVER (ORDER BY md5('7:1:' || doc_id), doc_id) - 1 AS position, list_filter(ids[1:64], lambda x: x <> 0) AS kept FROM docs WHERE lang <> 'es'),
+cut AS (SELECT position // 2 AS instance, position % 2 AS slot, i AS turn, kept[i * (len(kept) // 4) + least(i, len(kept) % 4) + 1:(i + 1) * (len(kept) // 4) + least(i + 1, len(kept) % 4)] AS ids FROM ranked, unnest(range(0, 4)) AS u(i)),
+rows_ AS (SELECT instance, flatten(list(ids ORDER BY turn, slot)) AS ids FROM cut GROUP BY instance HAVING count(*) = 8),
+closed AS (SELECT instance, CASE WHEN len(ids) < 128 THEN list_append(ids, 0) ELSE ids END AS ids FROM rows_),
+alone AS (SELECT doc_id AS o, ids[1:128] AS ids, 0 AS part FROM docs WHERE lang = 'es'), both_ AS (SELECT * FROM alone UNION ALL SELECT instance, ids, 1 FROM closed)
+SELECT row_number() OVER (ORDER BY part, o) - 1 AS "index", ({SUM.format('ids')} - (SELECT coalesce(sum(j), 0) FROM unnest(range(len(ids) + 1, 129)) AS u(j)))::BIGINT AS checksum FROM both_""")
+def d10_exempt(spark, sf):
+    rows = instances.interleaved_but(docs(spark, sf), F.col("lang") == "es", 128, 2, 4, 7, 1, "doc_id")
+    return rows.select("index", checksum(F.col("input_ids")).alias("checksum"))
+
+
+@query(f"""{TOK}, a AS (SELECT 0 AS part, source, doc_id FROM docs WHERE lang = 'de' UNION ALL SELECT 1, source, doc_id FROM docs WHERE lang = 'fr' UNION ALL SELECT 2, source, doc_id FROM docs WHERE lang = 'de')
+SELECT part, doc_id, row_number() OVER (ORDER BY part, doc_id) - 1 AS "index", r_name AS label FROM a LEFT JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS part, r_name FROM region) USING (part)""")
+def d13_concatenated_instances(spark, sf):
+    t = sized(spark, sf).select("doc_id", "lang", F.lit(1).alias("one"))
+    parts = [t.where(F.col("lang") == lang).withColumn("part", F.lit(k)) for k, lang in enumerate(("de", "fr", "de"))]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ranked = running_sum(both, ["part"], "doc_id", "one", "r").withColumn("r", F.col("r") - 1)
+    labels = table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("part"), F.col("r_name").alias("label"))
+    return instances.labelled(instances.dense_index(ranked, ["part"], "r"), labels, ["part"]).select("part", "doc_id", "index", "label")
 
 
 @query(f"""{TOK}, ranked AS (SELECT row_number() OVER (ORDER BY md5('7:1:' || doc_id), doc_id) - 1 AS position, list_filter(ids[1:64], lambda x: x <> 0) AS kept FROM docs),
@@ -179,7 +207,7 @@ want AS (SELECT *, sum(size) OVER ()::DOUBLE * ratio / sum(ratio) OVER () AS w F
 SELECT lang, size, floor(w * least(1.0, min(size * u / w) OVER ()))::BIGINT AS sample FROM used""")
 def f1_sample_sizes(spark, sf):
     ratio = F.when(F.col("lang") == "en", 0.4).when(F.col("lang") == "de", 0.3).when(F.col("lang") == "fr", 0.2).otherwise(0.1)
-    plan = docs(spark, sf).groupBy("lang").agg(F.sum("n").alias("size")).withColumn("ratio", ratio).withColumn("repetition", F.lit(1.5))
+    plan = sized(spark, sf).groupBy("lang").agg(F.sum("n").alias("size")).withColumn("ratio", ratio).withColumn("repetition", F.lit(1.5))
     return mixing.sample_sizes(plan).select("lang", "size", "sample")
 
 
@@ -191,9 +219,9 @@ three AS (SELECT *, greatest(need - sum(b2) OVER (), 0) AS left_, room AND b2 <
 four AS (SELECT *, row_number() OVER (PARTITION BY is_open ORDER BY (CASE WHEN room THEN tokens % 64 ELSE 0 END) DESC, source DESC) AS k FROM three)
 SELECT source, (b2 + CASE WHEN is_open AND k <= left_ THEN 1 ELSE 0 END)::BIGINT AS instances FROM four""")
 def f3_apportion(spark, sf):
-    plan = docs(spark, sf).groupBy("source").agg(F.expr("sum(n) div 2").alias("tokens"), F.sum("n").alias("max_tokens"))
-    need = (plan.agg(F.sum("tokens")).first()[0] or 0) // 64
-    return mixing.apportion(plan, need, 64, "source").select("source", "instances")
+    plan = sized(spark, sf).groupBy("source").agg(F.expr("sum(n) div 2").alias("tokens"), F.sum("n").alias("max_tokens"))
+    need = F.floor(F.sum("tokens").over(Window.partitionBy()) / 64)  # a row a source
+    return mixing.apportion(plan.withColumn("need", need), F.col("need"), 64, "source").select("source", "instances")
 
 
 SAMPLE = """, ranked AS (SELECT doc_id, n, row_number() OVER (ORDER BY md5('3:1:' || doc_id), doc_id) AS position FROM docs),
@@ -203,9 +231,8 @@ SELECT doc_id, unnest(range(0, (most // total) + CASE WHEN s <= most - (most //
 
 @query(f"{TOK}{SAMPLE}")
 def f6_sample_documents(spark, sf):
-    t = docs(spark, sf).select("doc_id", "n")
-    total = t.agg(F.sum("n")).first()[0] or 0
-    return mixing.sample_documents(ordering.shuffled(t, "doc_id", 3, 1), total * 5 // 2, total, "position").select("doc_id", "copy")
+    t = sized(spark, sf).select("doc_id", "n")
+    return mixing.sample_documents(ordering.shuffled(t, "doc_id", 3, 1), F.expr("total * 5 div 2"), "position").select("doc_id", "copy")
 
 
 @query(f"""{TOK} SELECT source, doc_id, greatest("start", 1000) AS "start", least("end", 5000) AS "end", {SUM.format('cut')} AS checksum
@@ -236,7 +263,7 @@ def h2_chunked_shuffle(spark, sf):
 SELECT o_orderkey, position // 64 AS batch, position % 64 AS slot, (position % 64) % 4 AS rank FROM ranked, total WHERE position < n - n % 64""")
 def i1_batch_plan(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey")
-    return ordering.batches(ordering.shuffled(rows, "o_orderkey", 1, 1), 64, 4, rows.count()).drop("position")
+    return ordering.batches(ordering.shuffled(rows, "o_orderkey", 1, 1), 64, 4).drop("position")
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS mean FROM lineitem GROUP BY ALL""")
@@ -273,32 +300,39 @@ def k9_log_sum_exp(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", arrays.log_sum_exp(F.col("embedding")).alias("lse"))
 
 
-SPIKE = """WITH w AS (SELECT event_id, user_id, value, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s FROM events WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
-spiked AS (SELECT event_id, user_id, coalesce(n = 8 AND s >= 1e-10 AND value > m + 2 * s, false) AS spike FROM w)"""
+SPIKE = """WITH w AS (SELECT event_id, user_id, value, abs(value - 50) AS grad, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s, avg(abs(value - 50)) OVER p AS m2, stddev_pop(abs(value - 50)) OVER p AS s2
+FROM events WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+spiked AS (SELECT event_id, user_id, coalesce(n = 8 AND s >= 1e-10 AND value > m + 2 * s, false) OR coalesce(n = 8 AND s2 >= 1e-10 AND grad > m2 + 2 * s2, false) AS spike, coalesce(n = 8 AND s >= 1e-10 AND value > m + 2 * s, false) AS loss_spike FROM w)"""
 
 
-@query(f"{SPIKE} SELECT * FROM spiked")
+def steps(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", "value", F.abs(F.col("value") - 50).alias("grad"))
+
+
+@query(f"{SPIKE} SELECT event_id, user_id, loss_spike AS spike FROM spiked")
 def l3_spikes(spark, sf):
-    return metrics.spikes(table(spark, sf, "events"), ["user_id"], "event_id", "value", 8, 2.0).select("event_id", "user_id", "spike")
+    return metrics.spikes(steps(spark, sf), ["user_id"], "event_id", ["value"], 8, 2.0).select("event_id", "user_id", "spike")
 
 
-@query(f"{SPIKE} SELECT event_id, spike, avg(spike::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING) AS rolling_rate, avg(spike::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS total_rate FROM spiked")
+@query(f"""{SPIKE}, placed AS (SELECT *, row_number() OVER o AS r, sum(spike::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING) AS last, sum(spike::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS every FROM spiked WINDOW o AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, spike, CASE WHEN r >= 10 THEN last / 10 END AS rolling_rate, CASE WHEN r >= 8 THEN every / r END AS total_rate FROM placed""")
 def l4_spike_rates(spark, sf):
-    found = metrics.spikes(table(spark, sf, "events"), ["user_id"], "event_id", "value", 8, 2.0)
-    return metrics.spike_rates(found, ["user_id"], "event_id", 10).select("event_id", "spike", "rolling_rate", "total_rate")
+    found = metrics.spikes(steps(spark, sf), ["user_id"], "event_id", ["value", "grad"], 8, 2.0)
+    return metrics.spike_rates(found, ["user_id"], "event_id", 10, 8).select("event_id", "spike", "rolling_rate", "total_rate")
 
 
-@query("""WITH w AS (SELECT event_id, value, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_samp(value) OVER p AS s FROM events WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING))
-SELECT event_id, NOT (n + 1 >= 8) OR coalesce(value - m <= 2 * s, true) AS keep FROM w""")
+@query("""WITH w AS (SELECT event_id, value, abs(value - 50) AS grad, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_samp(value) OVER p AS s, avg(abs(value - 50)) OVER p AS m2, stddev_samp(abs(value - 50)) OVER p AS s2 FROM events WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING))
+SELECT event_id, (NOT (n + 1 >= 8) OR coalesce(value - m <= 2 * s, true)) AND (NOT (n + 1 >= 8) OR coalesce(grad - m2 <= 2 * s2, true)) AS keep FROM w""")
 def l5_kept_steps(spark, sf):
-    return metrics.kept_steps(table(spark, sf, "events"), ["user_id"], "event_id", "value", 16, 2.0).select("event_id", "keep")
+    return metrics.kept_steps(steps(spark, sf), ["user_id"], "event_id", ["value", "grad"], 16, 2.0).select("event_id", "keep")
 
 
-@query("""WITH t AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, value FROM events), d AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS step_seconds FROM t)
-SELECT event_id, step_seconds, value / nullif(step_seconds, 0) AS tps FROM d""")
+@query("""WITH t AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, value FROM events), d AS (SELECT *, s - lag(s) OVER o AS step_seconds FROM t WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, sum(CASE WHEN step_seconds IS NOT NULL THEN value ELSE 0 END) OVER o AS tokens, sum(coalesce(step_seconds, 0)) OVER o AS took, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM d WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, step_seconds, value / nullif(step_seconds, 0) AS tps, CASE WHEN r > 1 THEN tokens / nullif(took, 0) END AS tps_average, 0.25 / nullif(step_seconds, 0) AS loading_share, value / nullif(step_seconds, 0) * 6.0 / 312.0 AS used FROM c""")
 def k5_throughput(spark, sf):
-    steps = table(spark, sf, "events").withColumn("s", F.unix_micros("ts") / 1e6) if dict(table(spark, sf, "events").dtypes)["ts"] == "timestamp" else table(spark, sf, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return metrics.throughput(steps, ["user_id"], "event_id", "s", "value").select("event_id", "step_seconds", "tps")
+    steps = table(spark, sf, "events").select("event_id", "user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), F.lit(0.25).alias("waited"))
+    return metrics.throughput(steps, ["user_id"], "event_id", "s", "value", "waited", 6.0, 312.0).select("event_id", "step_seconds", "tps", "tps_average", "loading_share", "used")
 
 
 @query("""WITH sched AS (SELECT o_custkey AS k, o_orderdate AS s, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)
@@ -355,7 +389,7 @@ def l1_running_sum(spark, sf):
     return running_sum(table(spark, sf, "customer"), ["c_nationkey"], "c_custkey", "c_acctbal", "running").select("c_custkey", "running")
 
 
-@query(f"{SPIKE} SELECT user_id, event_id, spike FROM spiked")
+@query(f"{SPIKE} SELECT user_id, event_id, loss_spike AS spike FROM spiked")
 def p8_streaming_spikes(spark, sf):
     return streams.drained(streams.spikes(streams.replay(spark, f"{sf}/events.parquet"), "user_id", "event_id", "value", 8, 2.0))
 
@@ -364,12 +398,9 @@ def p8_streaming_spikes(spark, sf):
 shape AS (SELECT count(*) AS k_all, min(c) AS least FROM (SELECT source, count(*) AS c FROM docs GROUP BY source))
 SELECT doc_id, r * k_all + k AS position FROM ranked, shape WHERE r < least""")
 def h3_interleaved_sources(spark, sf):
-    t = docs(spark, sf).select("doc_id", "source").withColumn("one", F.lit(1))
-    sizes = t.groupBy("source").count()
-    sources, least = sizes.agg(F.count("*"), F.min("count")).first()
-    named = sizes.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("k"))  # a row a source
-    ranked = running_sum(t, ["source"], "doc_id", "one", "n").withColumn("r", F.col("n") - 1).join(named, "source")
-    return ordering.interleaved_sources(ranked, "k", "r", sources, least).select("doc_id", "position")
+    t = sized(spark, sf).select("doc_id", "source", F.lit(1).alias("one"))
+    ranked = running_sum(t, ["source"], "doc_id", "one", "n").withColumn("r", F.col("n") - 1)
+    return ordering.interleaved_sources(ranked, "source", "r").select("doc_id", "position")
 
 
 @query("""WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS b, n_nationkey FROM nation) SELECT n_nationkey, (1003 // 25 + CASE WHEN b < 1003 % 25 THEN 1 ELSE 0 END)::BIGINT AS size FROM n""")
@@ -386,11 +417,6 @@ def j2_melted(spark, sf):
     return parts.select("source", "instance", "part", checksum(F.col("ids")).alias("checksum"))
 
 
-@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, sum(c_acctbal) AS total FROM customer GROUP BY ALL")
-def g10_distinct_labels(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
-
-
 @query("""WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders)
 SELECT id, avg(price) OVER (ORDER BY r ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean FROM o WHERE id % 1 = 0""")
 def k6_trailing_mean(spark, sf):

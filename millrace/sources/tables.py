@@ -1,9 +1,7 @@
-"""Readers: tables of a folder, raw token shards, document sidecars and mix manifests."""
+"""Readers: tables of a folder, document sidecars and mix manifests."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,35 +18,20 @@ def token_width(vocab_size: int) -> str:
     return "u8"
 
 
-def token_shards(spark: SparkSession, paths: str | list[str], width: str, chunk: int = 1 << 20) -> DataFrame:
-    """Headerless arrays of ids as rows (path, chunk_start, ids), ``chunk`` ids a row; ids as bigint."""
-
-    def run(batches):
-        size = np.dtype(f"<{width}").itemsize
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = np.frombuffer(raw.as_buffer(), f"<{width}", raw.as_buffer().size // size)
-                for start in range(0, len(whole), chunk):
-                    ids = pa.array([whole[start : start + chunk].astype(np.int64)], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start], pa.int64()), ids], ["path", "chunk_start", "ids"])
-
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "content").mapInArrow(run, "path string, chunk_start long, ids array<long>")
-
-
-def token_counts(spark: SparkSession, paths: str | list[str], width: str) -> DataFrame:
-    """Rows (path, tokens) from file sizes alone."""
-    size = np.dtype(f"<{width}").itemsize
-    return spark.read.format("binaryFile").load(paths).select("path", F.expr(f"length div {size}").alias("tokens"))
-
-
 def sidecar(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Document bounds (start, end) from gzip CSV; further columns are ignored."""
     return spark.read.schema("start long, end long").option("enforceSchema", True).csv(paths)
 
 
-def mix_manifest(spark: SparkSession, path: str, base: str, tokenizer: str) -> DataFrame:
-    """Rows (label, path) of a manifest of ``label,path`` lines; blank lines and # comments are left out."""
+def mix_manifest(spark: SparkSession, path: str, base: str, tokenizer: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rows (label, path) of a manifest of ``label,path`` lines; blank lines and # comments are left out.
+
+    A label goes by its alias if it has one; one that comes again after other labels is an error.
+    """
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     place = F.replace(F.element_at(F.split("line", ",", 2), 2), F.lit("{TOKENIZER}"), F.lit(tokenizer))
-    return lines.select(F.element_at(F.split("line", ",", 2), 1).alias("label"), F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(place)).alias("path"))
+    label = F.trim(F.element_at(F.split("line", ",", 2), 1))
+    if aliases:
+        names = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+        label = F.coalesce(F.try_element_at(names, label), label)
+    return lines.select(label.alias("label"), F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(place)).alias("path"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.sources.shared import shared_dir
+
 
 def replay(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A stream of the Parquet files of a table, so many in a batch."""
@@ -24,23 +25,23 @@ def replay(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFram
     return reader.parquet(path)
 
 
-def find_spikes(values: np.ndarray, past: list[float], window: int, sigmas: float) -> tuple[list[bool], list[float]]:
+def find_spikes(values: np.ndarray, past: list[float], window: int, sigmas: float) -> tuple[np.ndarray, list[float]]:
     """Whether each value is above the mean of the window before it by so many deviations; and the last window."""
-    out = []
-    past = list(past)
-    for v in values.tolist():
-        if len(past) == window:
-            sigma = float(np.std(past))
-            out.append(sigma >= 1e-10 and v > float(np.mean(past)) + sigmas * sigma)
-            past.pop(0)
-        else:
-            out.append(False)
-        past.append(v)
-    return out, past
+    whole = np.r_[past, values]
+    found = np.zeros(len(values), bool)
+    if len(whole) > window:
+        before = np.lib.stride_tricks.sliding_window_view(whole, window)[:-1]
+        sigma = before.std(axis=1)
+        found[window - len(past) :] = (sigma >= 1e-10) & (whole[window:] > before.mean(axis=1) + sigmas * sigma)
+    return found, whole[-window:].tolist()
 
 
 def spikes(stream: DataFrame, by: str, step: str, value: str, window: int, sigmas: float) -> DataFrame:
-    """Rows (by, step, spike) of a stream whose batches come in the order of ``step``; state is one window a series."""
+    """Rows (by, step, spike) of a stream whose batches come in the order of ``step``; state is one window a series.
+
+    Rows of a batch may come in any order, as it is sorted by series; its size, which the reader bounds, bounds what a task
+    holds. A row that comes after its batch is taken as the next one of its series.
+    """
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,8 +58,7 @@ def spikes(stream: DataFrame, by: str, step: str, value: str, window: int, sigma
 def drained(stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there and return what it wrote to the folder that executors share."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -25,6 +25,7 @@ def docs_of(spark, *streams, end=0):
     return spark.createDataFrame(rows, "source int, doc_id long, ids array<long>, n long")
 
 
+# Arrays and results of the cases in FIXTURES.md, here and below.
 P1 = [1, 2, 3, 4, 5, 6, 7, 0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 0, 1, 2, 0]
 
 
@@ -41,10 +42,12 @@ def test_document_lengths(spark):
 
 
 def test_boundaries(spark):
-    tokens = spark.createDataFrame([(0, i, t) for i, t in enumerate([*range(1, 9), 0, *range(1, 6), 0, 7])], "path int, pos long, token long")
-    rows = documents.boundaries(tokens, ["path"]).orderBy("start").collect()
+    tokens = spark.createDataFrame([(0, [*range(1, 9), 0, *range(1, 6), 0, 7])], "path int, ids array<int>")
+    places = tokens.select("path", F.explode(documents.end_places(F.col("ids"), F.lit(0))).alias("end"))
+    rows = documents.boundaries(places, ["path"]).orderBy("start").collect()
     assert [(r.start, r.end) for r in rows] == [(0, 9), (9, 15)]
-    rows = documents.boundaries(tokens, ["path"], close=True).orderBy("start").collect()
+    totals = tokens.select("path", F.size("ids").cast("long").alias("tokens"))
+    rows = documents.boundaries(places, ["path"], totals).orderBy("start").collect()
     assert [(r.start, r.end) for r in rows] == [(0, 9), (9, 15), (15, 16)]
 
 
@@ -68,8 +71,7 @@ def test_best_fit_order(lengths, size, bins):
 
 
 def test_packed(spark):
-    docs = docs_of(spark, P1)
-    bins = instances.packed(docs, 8, "source", "doc_id")
+    bins = instances.packed(instances.pieces(docs_of(spark, P1), 8), 8, "source", "doc_id")
     filled = {r.bin: r.filled for r in bins.groupBy("bin").agg(F.sum("n").alias("filled")).collect()}
     assert len(filled) == 4 and sum(filled.values()) == 27 and max(filled.values()) <= 8
 
@@ -96,8 +98,8 @@ def test_apportion_sums_and_caps(spark):
 
 def test_sample_documents(spark):
     docs = spark.createDataFrame([(0, 5), (1, 4), (2, 3), (3, 2)], "position long, n long")
-    assert mixing.sample_documents(docs, 13, 14, "position").count() == 3
-    rows = mixing.sample_documents(docs, 20, 14, "position")
+    assert mixing.sample_documents(docs, F.lit(13), "position").count() == 3
+    rows = mixing.sample_documents(docs, F.lit(20), "position")
     assert rows.count() == 5 and rows.agg(F.sum("n")).first()[0] == 19
 
 
@@ -119,7 +121,7 @@ def test_shuffle_is_a_permutation_of_chunks(spark):
 
 
 def test_batches_cover_each_row_once(spark):
-    rows = ordering.batches(spark.range(50).withColumnRenamed("id", "position"), 8, 4, 50)
+    rows = ordering.batches(spark.range(50).withColumnRenamed("id", "position"), 8, 4)
     assert rows.count() == 48 and rows.where("rank = 1 AND batch = 0").orderBy("slot").select("slot").toPandas().slot.tolist() == [1, 5]
     assert ordering.restored(rows, 64, 32).agg(F.min("batch")).first()[0] == 2
 
@@ -159,7 +161,7 @@ def test_merge_runs_pairwise(spark):
 
 def test_spikes(spark):
     m = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate([1, 2, 3, 4, 5, 100])], "r int, step int, value double")
-    assert [r.spike for r in metrics.spikes(m, ["r"], "step", "value", 5, 2.0).orderBy("step").collect()] == [False] * 5 + [True]
+    assert [r.spike for r in metrics.spikes(m, ["r"], "step", ["value"], 5, 2.0).orderBy("step").collect()] == [False] * 5 + [True]
 
 
 def test_arrays(spark):
@@ -179,13 +181,11 @@ def test_schedules(spark):
 
 
 def test_sources(spark, tmp_path):
-    np.arange(10, dtype=np.uint16).tofile(tmp_path / "a.bin")
-    rows = tables.token_shards(spark, str(tmp_path / "a.bin"), "u2", chunk=4).orderBy("chunk_start").collect()
-    assert [r.ids for r in rows] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
-    assert tables.token_counts(spark, str(tmp_path / "a.bin"), "u2").first().tokens == 10
     with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
         f.write("0,9,x\n9,15,y\n")
-    assert [(r.start, r.end) for r in tables.sidecar(spark, str(tmp_path / "a.csv.gz")).orderBy("start").collect()] == [(0, 9), (9, 15)]
+    read = tables.sidecar(spark, str(tmp_path / "a.csv.gz"))
+    assert [(r.start, r.end) for r in read.orderBy("start").collect()] == [(0, 9), (9, 15)]
     (tmp_path / "mix.txt").write_text("# c\nweb,data/{TOKENIZER}/x.bin\n\n")
     assert tables.mix_manifest(spark, str(tmp_path / "mix.txt"), "s3://b/", "tok").first().path == "s3://b/data/tok/x.bin"
+    assert tables.mix_manifest(spark, str(tmp_path / "mix.txt"), "s3://b/", "tok", {"web": "common"}).first().label == "common"
     assert [tables.token_width(v) for v in (256, 257, 65536, 65537)] == ["u1", "u2", "u2", "u4"]

@@ -12,5 +12,5 @@ def test_stream_finds_what_the_window_finds(spark, tmp_path):
         df.where(f"event_id div 200 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
     stream = spikes.spikes(spikes.replay(spark, str(tmp_path / "events")), "user_id", "event_id", "value", 8, 2.0)
     got = {r.event_id: r.spike for r in spikes.drained(stream).collect()}
-    want = {r.event_id: r.spike for r in metrics.spikes(df, ["user_id"], "event_id", "value", 8, 2.0).collect()}
+    want = {r.event_id: r.spike for r in metrics.spikes(df, ["user_id"], "event_id", ["value"], 8, 2.0).collect()}
     assert got == want and any(got.values())
