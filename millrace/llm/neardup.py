@@ -3,6 +3,7 @@
 Texts of equal shingle sets collapse to one node first. Each node's shingles are put in one global order, rare ones
 first, and only the first n - ceil(0.8 n) + 1 of n are listed: two sets that are similar enough share one of those, so
 no pair is missed. The order comes from a table of counts in ``SLOTS`` slots; whatever the counts, any order is exact.
+Rows of shingles that no other node lists go after one shuffle.
 
 Nodes that meet in a shingle's bucket and aren't ruled out by their sizes and places are verified on their whole sets.
 One leader of each bucket is tested against everybody in it first, and leaves it. Then small buckets test the pairs that
@@ -11,6 +12,8 @@ one component; leaders come from components with few members there, so that memb
 tested against each other. Buckets of many sets that aren't similar still cost a row a pair.
 
 Texts of fewer words have one shingle of all their words; null and empty texts have none and are equal to each other.
+Repeated rows and ties keep the row of the smallest id, null ids last; columns besides those named are kept, whatever
+their names; an empty table gives no rows. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ OF, PARTS = 4, 5
 SLOTS, BLOCK = 1 << 18, 1 << 12
 #: Buckets up to this size test all pairs after the first round; larger ones have one leader, and twice as many each round.
 SMALL = 16
+#: Level (the logarithm of its documents) from which on a slot's shingles are dealt to many tasks.
+HOT = 13
 _CACHE = 1 << 18
 
 
@@ -104,22 +109,58 @@ def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def postings(prints: DataFrame, text: str, words: int) -> DataFrame:
-    """Rows (token, node, n, pos) of the shingles in a node's prefix."""
+    """Rows (token, node, n, pos) of the shingles in a node's prefix that another node's prefix has as well.
+
+    Rows are shuffled once, by shingle, and go through tasks as a stream, so no bucket is held. Shingles whose slot is
+    very frequent are dealt to many tasks and kept without a look.
+    """
     shared = prints.sparkSession.sparkContext.broadcast(levels(prints, text, words).tobytes())
-    names = ["token", "node", "n", "pos"]
+    names = ["token", "node", "n", "pos", "salt"]
 
     def run(batches):
         level, cut = np.frombuffer(shared.value, np.uint8), Shingler(words)
+        seen: set[int] = set()
         for batch in batches:
             for node, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                if node in seen:
+                    continue
+                if len(seen) >= _CACHE:
+                    seen.clear()
+                seen.add(node)
                 s = cut(t)
                 n = len(s)
                 if n:
-                    first = s[np.lexsort((s, level[slot(s)]))][: n + (-OF * n) // PARTS + 1]
-                    one = np.ones(len(first), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(one * node), pa.array((one * n).astype(np.int32)), pa.array(np.arange(len(first), dtype=np.int32))], names)
-
-    return prints.select("_node", text).mapInArrow(grouped(run), "token long, node long, n int, pos int")
+                    own = level[slot(s)]
+                    order = np.lexsort((s, own))[: n + (-OF * n) // PARTS + 1]
+                    first, one = s[order], np.ones(len(order), np.int64)
+                    salt = np.where(own[order] >= HOT, 1 + (node & 63), 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(one * node), pa.array((one * n).astype(np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(salt)], names)
+
+    listed = prints.select("_node", text).mapInArrow(grouped(run), "token long, node long, n int, pos int, salt int")
+    dealt = listed.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    return dealt.mapInArrow(met_again, "token long, node long, n int, pos int")
+
+
+def met_again(batches):
+    """Of rows sorted by token and node: those whose token has more than one node, or is salted; a row once."""
+    held, live = None, None  # the last row, if it isn't decided yet; the last token that is known to have more nodes
+    for batch in batches:
+        rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0] if batch.num_rows else None
+        if rows is None:
+            continue
+        token, node, salt = (rows.column(c).to_numpy() for c in ("token", "node", "salt"))
+        new_token = np.r_[True, token[1:] != token[:-1]]
+        fresh = new_token | np.r_[True, node[1:] != node[:-1]]
+        starts = np.flatnonzero(new_token)
+        many = np.add.reduceat(fresh.astype(np.int64), starts) > 1
+        many |= (salt[starts] > 0) | (token[starts] == live if live is not None else False)
+        if held is None and live is not None and token[0] == live and node[0] == last:
+            fresh[0] = False  # a copy of the last row, which went out with its batch
+        keep = fresh & np.repeat(many, np.diff(np.r_[starts, len(token)]))
+        live, last = (token[-1], node[-1]) if many[-1] else (None, None)
+        held = None if many[-1] else rows.slice(len(token) - 1, 1)
+        if keep.any():
+            yield rows.filter(pa.array(keep)).select(["token", "node", "n", "pos"])
 
 
 def grouped(run, rows: int = 50_000):
@@ -170,10 +211,8 @@ def shingle_sets(prints: DataFrame, rows: DataFrame, text: str, words: int) -> D
 
 def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
     """Rows (node, root) for every node of ``nodes`` (node, row) that is linked to another and isn't its root."""
-    listed = materialise(postings(prints, text, words), "postings", compression="zstd")
-    shared = listed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("token")
-    live = materialise(listed.join(shared, "token", "left_semi").distinct(), "live")
-    met = live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row"))
+    live = materialise(postings(prints, text, words), "live", compression="zstd")
+    met = materialise(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")), "met")
     sets = materialise(shingle_sets(prints, met, text, words), "sets")
     links, roots, leaders, small = None, None, 1, 0
     while not live.isEmpty():
@@ -203,10 +242,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     """Keep one row of each group of near duplicates, the one with the smallest id, with its columns as they were."""
     own = [f"c{i}" for i in range(len(docs.columns))]  # names of the caller can't clash with ours
     back = dict(zip(docs.columns, own))
-    prints = materialise(with_nodes(docs.toDF(*own), back[text], words), "prints")
+    prints = materialise(with_nodes(docs.toDF(*own), back[text], words), "prints", compression="zstd")
     order = F.struct(F.col(back[doc_id]).isNull().alias("n"), F.col(back[doc_id]).alias("id"), F.col("_row").alias("row"))
     first = materialise(prints.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first")), "nodes")
     roots = roots_of(prints, first.select("node", "first.row"), back[text], words)
-    if roots is not None:
-        first = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    return prints.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*own).toDF(*docs.columns)
+    named = first.withColumn("root", F.col("node")) if roots is None else first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = named.groupBy("root").agg(F.min("first").alias("stays"))
+    kept = named.join(stays, "root").where(F.col("first.row") == F.col("stays.row")).select(F.col("node").alias("_node"), F.col("first.row").alias("_first"))
+    gone = prints.select("_node", "_row").join(kept, "_node", "left").where(F.col("_first").isNull() | (F.col("_first") != F.col("_row"))).select("_row")
+    gone = materialise(gone, "gone")  # few rows, whose written size tells whether texts need to be shuffled to drop them
+    return prints.join(gone, "_row", "left_anti").select(*own).toDF(*docs.columns)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -50,3 +52,30 @@ def test_pipeline_stage_links_all_pairs_of_similarity_08(spark, monkeypatch, sma
     want = kept(texts)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
     assert len(want) < len(set(texts)) - 20  # most near copies aren't equal
+
+
+def test_rows_that_meet_again_over_batches():
+    """Of rows sorted by token and node, whatever their batches: one each of those whose token has more than one node."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(0, 60))
+        rows = sorted(zip(rng.integers(0, 12, n).tolist(), rng.integers(0, 4, n).tolist()))
+        salt = {t: int(t == 5) for t, _ in rows}
+        nodes = {t: {x for u, x in rows if u == t} for t, _ in rows}
+        want = sorted({r for r in rows if len(nodes[r[0]]) > 1 or salt[r[0]]})
+        cuts = sorted(rng.integers(0, n + 1, 4).tolist())
+        batches = []
+        for a, b in zip([0, *cuts], [*cuts, n]):
+            some = rows[a:b]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([9] * len(some), pa.int32()), pa.array([0] * len(some), pa.int32()), pa.array([salt[r[0]] for r in some], pa.int32())], ["token", "node", "n", "pos", "salt"]))
+        got = [(t, x) for b in neardup.met_again(iter(batches)) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert got == want
+
+
+def test_edge_rows(spark):
+    rows = [(1, None, 1), (2, "", 2), (3, "a b", 3), (3, "a b", 4), (None, "a b", 5), (7, "word " * 60_000, 6), (8, "word " * 60_001, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long")
+    kept = neardup.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r._row for r in kept.collect())[0] == 1
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 7]
+    assert neardup.deduplicate(df.limit(0)).count() == 0
