@@ -91,3 +91,36 @@ def test_counts_follow_the_library_with_the_same_pieces_as_unigrams(spark):
         t = rows[r.doc_id][1] or ""
         assert (r.n_chars, r.n_tokens) == (len(t), len(library.encode(t))), t
     assert pieces.token_counts(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_models_with_other_settings_match_the_library(spark, tmp_path):
+    path = str(tmp_path / "other.model")
+    with open(MODEL, "rb") as f:
+        raw = f.read()
+    with open(path, "wb") as f:
+        f.write(raw + b"\x1a\x04\x18\x00\x20\x01")  # the normaliser puts no mark first and drops extra white space
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert not pieces.Vocabulary(path).plain and pieces.Vocabulary(MODEL).plain
+    rows = list(enumerate(texts()[:60]))
+    for r in pieces.digests(spark.createDataFrame(rows, "doc_id long, text string"), path, ids=True).collect():
+        ids = library.encode(rows[r.doc_id][1] or "")
+        assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_differences_take_the_librarys_ids(monkeypatch):
+    code = pieces.Encoder(MODEL)
+    monkeypatch.setattr(code.merger, "encode", lambda unit: [7])
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    (units,) = code.encode(["two words"])
+    assert [int(i) for u in units for i in code.coded[u].split(",")] == library.encode("two words") and code.differing == 2
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    long = "words and " * 50_000
+    df = spark.createDataFrame([(1, long, 1, "x"), (2, "a b", 2, "y"), (2, "a b", 3, "z")], "doc_id long, text string, ids int, decoded string")
+    rows = pieces.encode(df, MODEL).orderBy("ids").collect()
+    assert [len(r.ids_) for r in rows[1:]] == [2, 2] and rows[0].decoded_ == long and [r.decoded for r in rows] == ["x", "y", "z"]
+    assert len(rows[0].ids_) == len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(long))
+    assert pieces.digests(df.limit(0), MODEL).count() == pieces.token_counts(df.limit(0), MODEL).count() == 0
+    counts = pieces.token_counts(df, MODEL).orderBy("doc_id").collect()
+    assert counts[1] == counts[2] and counts[0].n_chars == len(long)
