@@ -37,7 +37,7 @@ from millrace.llm.common import materialise
 #: A subtree is template if it occurs in this many contexts on a host.
 LEAST_PAGES = 5
 #: Parts that pages of one key are dealt to.
-SALTS = 8
+SALTS = 4
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe".split())
