@@ -11,6 +11,9 @@ from millrace.plans.base import SUM, TOK, checksum, docs, query
 from millrace.sources import shards
 from millrace.sources.shared import shared_dir
 
+#: Ids of a byte range that one task reads.
+RANGE = 1 << 17
+
 
 def written(spark, sf, width="u4", values=None):
     """The documents of each source as one raw file of ids; the files, in the order of their names."""
@@ -30,10 +33,10 @@ def named(spark, files):
 TOKENS = f"""{TOK}, tokens AS (SELECT source, "start" + i - 1 AS p, ids[i] AS token FROM docs, unnest(range(1, len(ids) + 1)) AS u(i))"""
 
 
-@query(f"""{TOKENS} SELECT source, p // 10000 * 10000 AS chunk_start, count(*)::INT AS n, sum((p % 10000 + 1) * token)::BIGINT AS checksum, arg_max(token, p) AS last FROM tokens GROUP BY ALL""")
+@query(f"""{TOKENS} SELECT source, p // {RANGE} * {RANGE} AS chunk_start, count(*)::INT AS n, sum((p % {RANGE} + 1) * token)::BIGINT AS checksum, arg_max(token, p) AS last FROM tokens GROUP BY ALL""")
 def a1_range_scan(spark, sf):
     files = written(spark, sf)
-    rows = shards.token_ranges(spark, files, "u4", 10_000).join(named(spark, files), "path_idx")
+    rows = shards.token_ranges(spark, files, "u4", RANGE).join(named(spark, files), "path_idx")
     return rows.select("source", "chunk_start", F.size("ids").alias("n"), checksum(F.col("ids")).alias("checksum"), F.element_at("ids", -1).alias("last"))
 
 
@@ -58,7 +61,7 @@ def a4_source_counts(spark, sf):
 def a5_file_documents(spark, sf):
     files = written(spark, sf)
     masks = written(spark, sf, "u1", F.transform("ids", lambda x: (x != 32).cast("int")))
-    found = shards.stream_documents(shards.token_ranges(spark, files, "u4", 10_000), 0, mask=shards.token_ranges(spark, masks, "bool", 10_000)).join(named(spark, files), "path_idx")
+    found = shards.stream_documents(shards.token_ranges(spark, files, "u4", RANGE), 0, mask=shards.token_ranges(spark, masks, "bool", RANGE)).join(named(spark, files), "path_idx")
     kept = F.size(F.filter("mask", lambda m: m == 1))
     return found.select("source", "start", "end", kept.alias("kept"), checksum(F.col("ids")).alias("checksum"))
 
@@ -66,7 +69,7 @@ def a5_file_documents(spark, sf):
 @query(f"""{TOK} SELECT source, s AS "start", least("end", s + 700) AS "end", {SUM.format('ids[s - "start" + 1:s - "start" + 700]')} AS checksum FROM docs, unnest(range("start", "end", 700)) AS u(s)""")
 def a5_fragmented(spark, sf):
     files = written(spark, sf)
-    found = shards.stream_documents(shards.token_ranges(spark, files, "u4", 10_000), 0, most=700, strategy="fragment").join(named(spark, files), "path_idx")
+    found = shards.stream_documents(shards.token_ranges(spark, files, "u4", RANGE), 0, most=700, strategy="fragment").join(named(spark, files), "path_idx")
     return found.select("source", "start", "end", checksum(F.col("ids")).alias("checksum"))
 
 
@@ -74,7 +77,7 @@ def a5_fragmented(spark, sf):
 SELECT source, instance, sum(place * token)::BIGINT AS checksum FROM chunked GROUP BY ALL HAVING count(*) = 64""")
 def d1_from_files(spark, sf):
     files = written(spark, sf)
-    rows = shards.token_ranges(spark, files, "u4", 10_000).select("path_idx", "chunk_start", "ids", F.size("ids").cast("long").alias("n"))
+    rows = shards.token_ranges(spark, files, "u4", RANGE).select("path_idx", "chunk_start", "ids", F.size("ids").cast("long").alias("n"))
     chunks = instances.concat_and_chunk(rows, 64, ["path_idx"], "chunk_start").join(named(spark, files), "path_idx")
     return chunks.select("source", "instance", checksum(F.col("input_ids")).alias("checksum"))
 
@@ -82,7 +85,7 @@ def d1_from_files(spark, sf):
 @query(f"""{TOK} SELECT source, "start", "end" FROM docs""")
 def b2_sidecar(spark, sf):
     files = written(spark, sf)
-    ranges = shards.token_ranges(spark, files, "u4", 10_000)
+    ranges = shards.token_ranges(spark, files, "u4", RANGE)
     places = F.explode(documents.end_places(F.col("ids"), F.col("chunk_start"))).alias("end")
     folder = f"{shared_dir(spark)}/bounds-{uuid.uuid4().hex}"
     shards.write_sidecar(documents.boundaries(ranges.select("path_idx", places), ["path_idx"]), folder)
