@@ -1,4 +1,8 @@
-"""Near duplicates by an exact prefix join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near duplicates: SimHash balls first, then an exact prefix join for what their radius can't reach.
+
+Documents are near duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of
+the sets within two bits meet in balls (``simhash``), and those pairs that are similar enough are linked. Pairs of that
+similarity differ in up to about fifteen bits, so a prefix join finds the others; it skips what is linked already.
 
 Texts of equal shingle sets collapse to one node first. Each node's shingles are put in one global order, rare ones
 first, and only the first n - ceil(0.8 n) + 1 of n are listed: two sets that are similar enough share one of those, so
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import LOWER, materialise, utf8
-from millrace.llm.simhash import connect
+from millrace.llm.common import LOWER, as_int64, materialise, utf8
+from millrace.llm.simhash import connect, links, majority
 
 WORDS = 5
 #: Similarity as a fraction, so that bounds are exact.
@@ -70,19 +74,24 @@ def slot(shingles: np.ndarray) -> np.ndarray:
 
 
 def with_nodes(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """All columns, a row number ``_row`` and ``_node``, a digest of the shingle set."""
+    """All columns, a row number ``_row``, ``_node``, a digest of the shingle set, and ``_fp``, its fingerprint."""
     kept = docs.columns
-    schema = StructType([*docs.schema, T.StructField("_row", T.LongType()), T.StructField("_node", T.LongType())])
+    schema = StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in ("_row", "_node", "_fp"))])
 
     def run(batches):
         from pyspark import TaskContext
 
         row, cut = TaskContext.get().partitionId() << 40, Shingler(words)
         for batch in batches:
-            nodes = np.array([xxhash.xxh64_intdigest(cut(t).tobytes()) for t in utf8(batch.column("_text"))], np.uint64).view(np.int64)
-            columns = [*(batch.column(c) for c in kept), pa.array(np.arange(row, row + batch.num_rows)), pa.array(nodes)]
+            nodes, prints = [], []
+            for t in utf8(batch.column("_text")):
+                s = cut(t)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
+                prints.append(majority(s[i : i + BLOCK] for i in range(0, len(s), BLOCK)))
+            numbers = (pa.array(as_int64(np.array(x, np.uint64))) for x in (nodes, prints))
+            columns = [*(batch.column(c) for c in kept), pa.array(np.arange(row, row + batch.num_rows)), *numbers]
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "_row", "_node"])
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "_row", "_node", "_fp"])
 
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -209,14 +218,25 @@ def shingle_sets(prints: DataFrame, rows: DataFrame, text: str, words: int) -> D
     return prints.join(rows, "_row", "left_semi").select("_node", text).mapInArrow(grouped(run, 200), "node long, shingles binary")
 
 
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) whose fingerprints meet in a ball, enough of them to connect all that do."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    near = links(first.select(F.col("fp").alias("_fp")))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+    pairs = same.unionByName(near.join(ends[0], "a").join(ends[1], "b").select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
-    """Rows (node, root) for every node of ``nodes`` (node, row) that is linked to another and isn't its root."""
+    """Rows (node, root) for every node of ``nodes`` (node, row, fp) that is linked to another and isn't its root."""
     live = materialise(postings(prints, text, words), "live", compression="zstd")
     met = materialise(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")), "met")
     sets = materialise(shingle_sets(prints, met, text, words), "sets")
-    links, roots, leaders, small = None, None, 1, 0
+    known = materialise(verified(materialise(ball_pairs(nodes.select("node", "fp")), "balls"), sets), "links")
+    roots, leaders, small = materialise(connect(known), "roots"), 1, 0
     while not live.isEmpty():
-        named = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         own = named.groupBy("token", "root").agg(F.count("*").alias("own"))
         sizes = own.groupBy("token").agg(F.sum("own").alias("size"), F.count("*").alias("roots")).where("roots > 1").select("token", "size")
         named = named.join(sizes, "token").join(own, ["token", "root"])
@@ -231,8 +251,8 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
         pairs = first.join(named, "token").where((F.col("root") != F.col("_root")) & (bound * (OF + PARTS) >= (F.col("n") + F.col("_n")) * OF))
         pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         found = materialise(verified(materialise(pairs, "pairs"), sets), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = materialise(connect(links), "roots")
+        known = known.unionByName(found)
+        roots = materialise(connect(known), "roots")
         live = materialise(large.select("token", "node", "n", "pos").join(chosen.select("token", "node"), ["token", "node"], "left_anti"), "live")
         leaders, small = leaders * 2, SMALL
     return roots
@@ -244,9 +264,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     back = dict(zip(docs.columns, own))
     prints = materialise(with_nodes(docs.toDF(*own), back[text], words), "prints", compression="zstd")
     order = F.struct(F.col(back[doc_id]).isNull().alias("n"), F.col(back[doc_id]).alias("id"), F.col("_row").alias("row"))
-    first = materialise(prints.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first")), "nodes")
-    roots = roots_of(prints, first.select("node", "first.row"), back[text], words)
-    named = first.withColumn("root", F.col("node")) if roots is None else first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = materialise(prints.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first"), F.min("_fp").alias("fp")), "nodes")
+    roots = roots_of(prints, first.select("node", "first.row", "fp"), back[text], words)
+    named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
     kept = named.join(stays, "root").where(F.col("first.row") == F.col("stays.row")).select(F.col("node").alias("_node"), F.col("first.row").alias("_first"))
     gone = prints.select("_node", "_row").join(kept, "_node", "left").where(F.col("_first").isNull() | (F.col("_first") != F.col("_row"))).select("_row")

@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most two bits meet in the middle: some value lies within one bit of both. So every
 distinct fingerprint emits itself and its 64 one-bit variants, rows shuffle on the variant, and fingerprints that
 collide there are verified and linked. A variant's ball holds 65 fingerprints at most, however many documents share
-them, so no group is large; copies collapse to one fingerprint before any variant is made.
+them, so no group is large; copies collapse to one fingerprint before any variant is made. A fingerprint that very many
+documents share meets them again in a join at the end, whose hot keys adaptive execution splits.
 
 Nulls and empty texts have no words: their fingerprint is zero and links like any other. Repeated rows and copies
 share a fingerprint and so a component. A null doc_id takes part in linking, and gets the component's smallest id that
@@ -40,9 +41,15 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
         shingles = iter([b" ".join(tokens)])
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
-    while block := [digest(s, SEED) for s in itertools.islice(shingles, _BLOCK)]:
-        bits = np.unpackbits(np.array(block, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    hashes = (xxhash.xxh64_intdigest(s, SEED) for s in shingles)
+    return majority(np.array(block, "<u8") for block in itertools.batched(hashes, _BLOCK))
+
+
+def majority(blocks) -> int:
+    """The bits that are set in over half of all hashes, given in blocks."""
+    ones, n = np.zeros(64, np.int64), 0
+    for block in blocks:
+        bits = np.unpackbits(np.ascontiguousarray(block, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
         n += len(block)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
