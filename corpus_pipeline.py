@@ -3,6 +3,14 @@ benchmark passages go, and what is left is encoded.
 
 Every stage works on all rows that the one before kept. ``run`` writes each stage's rows as Parquet to the folder that
 driver and executors share and reads them again, so a lost executor costs tasks of one stage only.
+
+Null and empty texts are not toxic and hold no benchmark passage; as near duplicates they are one group, of which one row
+stays. Of repeated rows, and of ties, one stays, the one of the smallest id, null ids last. Texts are read whole, however
+long. All stages but the last keep every column, whatever its name; the last gives the ids and digests of each document.
+An empty table gives no rows.
+
+Near duplicates are those whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash balls link
+those whose fingerprints differ in two bits at most, which is as far as they reach; an exact prefix join links the rest.
 """
 
 from __future__ import annotations
