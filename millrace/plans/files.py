@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.operators import documents, instances
+from millrace.operators import documents, instances, ordering
 from millrace.plans.base import SUM, TOK, checksum, docs, query
 from millrace.sources import shards
 from millrace.sources.shared import shared_dir
+from millrace.sources.tables import table
 
 #: Ids of a byte range that one task reads.
 RANGE = 1 << 17
@@ -101,3 +102,22 @@ def a8_permuted(spark, sf):
     total = sum(size for _, size in orders[0]) // 4
     same = [sorted(o) == files for o in orders]
     return spark.createDataFrame([(len(files), total, sum(same))], "files long, tokens long, orders int")
+
+
+@query(f"""{TOK}, bad AS (SELECT source, count(*) AS skipped FROM documents WHERE length(regexp_replace(coalesce(text, ''), '^{documents.SPACE}+|{documents.SPACE}+$', '', 'g')) = 0 GROUP BY source)
+SELECT source, count(*) AS documents, sum(n)::BIGINT AS tokens, max(n)::BIGINT AS longest_with_end, coalesce(max(skipped), 0) AS skipped, count(*) AS bounds FROM docs LEFT JOIN bad USING (source) GROUP BY source""")
+def b3_export(spark, sf):
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    files = shards.export(table(spark, sf, "documents"), "source", "doc_id", folder, "u4")
+    statistics = spark.read.schema("source string, documents long, longest_with_end long, skipped long").json(f"{folder}/statistics")
+    bounds = spark.read.schema("start long, end long, source string").csv(f"{folder}/bounds").groupBy("source").agg(F.count("*").alias("bounds"))
+    found = statistics.join(files.select("source", "tokens"), "source").join(bounds, "source")
+    return found.select("source", "documents", "tokens", "longest_with_end", "skipped", "bounds")
+
+
+@query("""WITH ranked AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('1:1:' || o_orderkey), o_orderkey) - 1 AS position FROM orders)
+SELECT o_orderkey, o_totalprice, position % 64 AS slot FROM ranked WHERE position // 64 = 3""")
+def b6_dumped_batch(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    plan = ordering.batches(ordering.shuffled(orders.select("o_orderkey"), "o_orderkey", 1, 1), 64, 4)
+    return shards.dump_batch(plan, orders, "o_orderkey", 3, f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}").select("o_orderkey", "o_totalprice", "slot")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from millrace.operators.documents import boundaries, end_places, fragments, pair_places
+from millrace.operators.documents import boundaries, end_places, export_statistics, fragments, lengths_of, offsets, pair_places, tokenized
 from millrace.operators.sampling import read_ranges
 
 #: Ids of a range that a task reads.
@@ -177,6 +177,21 @@ def write_sidecar(docs: DataFrame, folder: str) -> None:
     docs.select("path_idx", "start", "end").repartition("path_idx").sortWithinPartitions("path_idx", "start").write.partitionBy("path_idx").option("compression", "gzip").csv(folder)
 
 
+def export(texts: DataFrame, by: str, order: str, folder: str, width: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """Write texts as ids: a raw file for each ``by``, its documents' bounds, and statistics as JSON; returns the files."""
+    docs = tokenized(texts.select(by, order, text), text, most=most)
+    bounds = offsets(lengths_of(texts.select(by, order, text), text), [by], order)
+    bounds.select(by, "start", "end").repartition(by).sortWithinPartitions(by, "start").write.partitionBy(by).option("compression", "gzip").csv(f"{folder}/bounds")
+    export_statistics(texts, by, text).write.json(f"{folder}/statistics")
+    return write_tokens(docs, by, order, f"{folder}/tokens", width)
+
+
+def dump_batch(plan: DataFrame, rows: DataFrame, on: str, batch: int, folder: str) -> DataFrame:
+    """Write the rows of one batch of a plan, in the order of their slots; returns what was written."""
+    plan.where(F.col("batch") == batch).join(rows, on).orderBy("slot").write.parquet(folder)
+    return plan.sparkSession.read.parquet(folder)
+
+
 def checked_bounds(bounds: DataFrame, totals: DataFrame, by: str = "path_idx") -> DataFrame:
     """Bounds of documents of a sidecar; one beyond the tokens of its file is an error."""
     met = bounds.join(totals.select(by, "tokens"), by)
