@@ -22,25 +22,30 @@ their names; an empty table gives no rows. Texts are read whole, however long.
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import LOWER, as_int64, materialise, utf8
+from millrace.llm.common import LOWER, as_int64, materialise, shared_dir, utf8
 from millrace.llm.simhash import connect, links, majority
 
 WORDS = 5
 #: Similarity as a fraction, so that bounds are exact.
 OF, PARTS = 4, 5
-SLOTS, BLOCK = 1 << 18, 1 << 12
+SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Buckets up to this size test all pairs after the first round; larger ones have one leader, and twice as many each round.
 SMALL = 16
-#: Level (the logarithm of its documents) from which on a slot's shingles are dealt to many tasks.
-HOT = 13
+#: Level (four times the logarithm of its documents) from which on a slot's shingles are dealt to many tasks.
+HOT = 52
 _CACHE = 1 << 18
 
 
@@ -97,18 +102,28 @@ def with_nodes(docs: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
-    """Per slot the logarithm of how many documents have a shingle there."""
+    """Per slot four times the logarithm of how many documents have a shingle there."""
 
     def count(batches):
-        n, cut = np.zeros(SLOTS, np.int64), Shingler(words)
+        n, cut = np.zeros(SLOTS, np.uint32), Shingler(words)
         for batch in batches:
+            held, size = [], 0
             for t in utf8(batch.column(0)):
-                np.add.at(n, slot(cut(t)), 1)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(SLOTS // BLOCK), pa.int32()), "n": [n[i : i + BLOCK].tobytes() for i in range(0, SLOTS, BLOCK)]})
+                held.append(slot(cut(t)))
+                size += len(held[-1])
+                if size > SLOTS:
+                    n += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+                    held, size = [], 0
+            if held:
+                n += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+        for i in range(0, SLOTS, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([zlib.compress(n[i : i + BLOCK].tobytes(), 1)])], ["block", "n"])
 
     def add(found: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x.as_py(), np.int64) for x in found.column("n"))
-        return pa.table({"block": found.column("block")[:1], "level": pa.array([np.log2(n + 1).astype(np.uint8).tobytes()])})
+        n = np.zeros(BLOCK, np.uint64)
+        for x in found.column("n"):
+            n += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        return pa.table({"block": found.column("block")[:1], "level": pa.array([(4 * np.log2(n + 1)).clip(max=255).astype(np.uint8).tobytes()])})
 
     rows = prints.select(text).mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, level binary").collect()
     out = np.zeros(SLOTS, np.uint8)
@@ -117,6 +132,33 @@ def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
     return out
 
 
+class RowLists:
+    """Row numbers in the shared folder, a file for each part of the rows, so a task reads those of its own part only.
+
+    Rows of a written table are numbered by the part that wrote them, so choosing some moves none of their texts.
+    """
+
+    def __init__(self, rows: DataFrame):
+        spark = rows.sparkSession
+        self.path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+        parts = rows.select("_row", F.shiftright("_row", 40).alias("part"))
+        parts.repartition("part").sortWithinPartitions("part", "_row").write.partitionBy("part").parquet(self.path)
+
+    def chosen(self, rows: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether each row number is listed; ``known`` holds what a task has read."""
+        system, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        out = np.zeros(len(rows), bool)
+        parts = rows >> 40
+        for part in np.unique(parts).tolist():
+            if part not in known:
+                known.clear()  # rows come part after part
+                files = [f.path for f in system.get_file_info(fs.FileSelector(f"{folder}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
+                known[part] = np.concatenate([np.zeros(0, np.int64), *(pq.read_table(f, filesystem=system, partitioning=None).column("_row").to_numpy() for f in files)])
+            own = parts == part
+            out[own] = np.isin(rows[own], known[part])
+        return out
+
+
 def postings(prints: DataFrame, text: str, words: int) -> DataFrame:
     """Rows (token, node, n, pos) of the shingles in a node's prefix that another node's prefix has as well.
 
@@ -206,16 +248,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(prints: DataFrame, rows: DataFrame, text: str, words: int) -> DataFrame:
-    """Rows (node, shingles) of the row numbers ``_row``."""
+def shingle_sets(prints: DataFrame, rows: RowLists, text: str, words: int) -> DataFrame:
+    """Rows (node, shingles) of the listed rows."""
 
     def run(batches):
-        cut = Shingler(words)
+        cut, known = Shingler(words), {}
         for batch in batches:
-            for node, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            batch = batch.filter(pa.array(rows.chosen(batch.column(0).to_numpy(), known)))
+            for node, t in zip(batch.column(1).to_pylist(), utf8(batch.column(2))):
                 yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([cut(t).tobytes()])], ["node", "shingles"])
 
-    return prints.join(rows, "_row", "left_semi").select("_node", text).mapInArrow(grouped(run, 200), "node long, shingles binary")
+    return prints.select("_row", "_node", text).mapInArrow(grouped(run, 200), "node long, shingles binary")
 
 
 def ball_pairs(nodes: DataFrame) -> DataFrame:
@@ -231,7 +274,7 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
 def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
     """Rows (node, root) for every node of ``nodes`` (node, row, fp) that is linked to another and isn't its root."""
     live = materialise(postings(prints, text, words), "live", compression="zstd")
-    met = materialise(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")), "met")
+    met = RowLists(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")))
     sets = materialise(shingle_sets(prints, met, text, words), "sets")
     known = materialise(verified(materialise(ball_pairs(nodes.select("node", "fp")), "balls"), sets), "links")
     roots, leaders, small = materialise(connect(known), "roots"), 1, 0
@@ -270,5 +313,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
     kept = named.join(stays, "root").where(F.col("first.row") == F.col("stays.row")).select(F.col("node").alias("_node"), F.col("first.row").alias("_first"))
     gone = prints.select("_node", "_row").join(kept, "_node", "left").where(F.col("_first").isNull() | (F.col("_first") != F.col("_row"))).select("_row")
-    gone = materialise(gone, "gone")  # few rows, whose written size tells whether texts need to be shuffled to drop them
-    return prints.join(gone, "_row", "left_anti").select(*own).toDF(*docs.columns)
+    lists = RowLists(gone)
+    schema = StructType([prints.schema[c] for c in own])
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            yield batch.filter(pa.array(~lists.chosen(batch.column("_row").to_numpy(), known))).select(own)
+
+    return prints.select(*own, "_row").mapInArrow(run, schema).toDF(*docs.columns)
