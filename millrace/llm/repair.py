@@ -37,7 +37,7 @@ from millrace.llm.common import materialise, shared_dir, slices
 END = 2
 SHARD_IDS = 2_000_000
 #: Bytes of text encoded at a time.
-SLICE = 8 << 20
+SLICE = 16 << 20
 #: Occurrences of a frequent pair in a shard at least.
 LEAST_COUNT = 24
 #: Units remembered by a worker; at the bound the memory starts anew.
@@ -96,7 +96,9 @@ class Encoder:
         """Ids of known units one after another, and how many each has."""
         starts, n = self.bounds[place], (self.bounds[1:] - self.bounds[:-1])[place]
         ends = np.cumsum(n)
-        return self.flat[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+        at = np.repeat((starts - ends + n).astype(np.int32), n)  # of one batch's ids and the remembered ones
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], n
 
     def add(self, units: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
         self.words = pa.concat_arrays([self.words, units])
