@@ -26,6 +26,7 @@ def stripped(text: Column) -> Column:
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def code_points(texts: pa.Array) -> pa.Array:
     """A code point a token, and a place for the end."""
+    texts = pc.fill_null(texts, "")
     ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     ids = np.frombuffer("\0".join([*texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), "<i4")
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
