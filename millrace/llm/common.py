@@ -59,7 +59,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own bound
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
