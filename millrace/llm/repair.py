@@ -181,24 +181,24 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     A round replaces all frequent pairs, of overlapping ones every other, the leftmost first. The rounds after it look at
     pairs that wait and at those beside a new symbol; when none of them is frequent, all pairs are looked at once more.
     """
-    symbols = ids.astype(np.int32)
+    symbols = ids.astype(np.uint32)
     first = int(symbols.max(initial=0)) + 1
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(lengths) - 1] = True
-    numbers: dict[int, int] = {}
+    numbers: dict[tuple[int, int], int] = {}
     at = None  # places whose pair, with the symbol after, may be frequent; none given: all
     while len(symbols) > 1 and first + len(numbers) < 1 << 23:
+        kind, shift = (np.uint32, 16) if first + len(numbers) < 1 << 16 else (np.uint64, 24)
+        none = np.iinfo(kind).max  # no pair, as no symbol is so large
+        key = (symbols[:-1] if at is None else symbols[at]).astype(kind)
+        key <<= shift
+        key |= symbols[1:] if at is None else symbols[at + 1]
         if at is None:
-            key = symbols[:-1].astype(np.int64)
-            key <<= 24
-            key |= symbols[1:]
-            key[last[:-1]] = -1
-        else:
-            key = (symbols[at].astype(np.int64) << 24) | symbols[at + 1]
+            key[last[:-1]] = none
         pairs = np.sort(key)
         starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[starts, len(pairs)])
-        often = np.flatnonzero((counts >= LEAST_COUNT) & (pairs[starts] >= 0))
+        often = np.flatnonzero((counts >= LEAST_COUNT) & (pairs[starts] != none))
         if not len(often):
             if at is None:
                 break
@@ -213,12 +213,14 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at, which = np.flatnonzero(found) if at is None else at[found], which[found]
         # leftmost first: within a run of overlapping pairs, every other one
         run = np.r_[True, np.diff(at) != 1]
-        order = np.arange(len(at))
-        chosen = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0
-        waiting, at, which = at[~chosen], at[chosen], which[chosen]
-        number = np.zeros(len(pairs), np.int32)
-        for w in np.flatnonzero(np.bincount(which, minlength=len(pairs))).tolist():
-            number[w] = numbers.setdefault(int(pairs[w]), first + len(numbers))
+        order = np.arange(len(at), dtype=np.int32)
+        order -= np.maximum.accumulate(np.where(run, order, np.int32(0)))
+        chosen, rest = np.flatnonzero((order & 1) == 0), np.flatnonzero(order & 1)
+        waiting, at, which = at[rest], at[chosen], which[chosen]
+        number = np.zeros(len(pairs), np.uint32)
+        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
+        for w, a, b in zip(used.tolist(), (pairs[used] >> shift).tolist(), (pairs[used] & ((1 << shift) - 1)).tolist()):
+            number[w] = numbers.setdefault((a, b), first + len(numbers))
         symbols[at] = number[which]
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), bool)
@@ -228,11 +230,11 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         # the symbol before a new one is two places back where that was the end of a pair itself
         back = at[(at > 1) & ~keep[at - 1]] - 2
         look[back] = True
-        symbols, last, look = symbols[keep], last[keep], look[keep]
+        kept = np.flatnonzero(keep)
+        symbols, last, look = symbols[kept], last[kept], look[kept]
         at = np.flatnonzero(look & ~last)
     ends = np.flatnonzero(last) + 1
-    rules = np.fromiter(numbers, np.int64, len(numbers))
-    return symbols.astype(np.int64), np.diff(np.r_[0, ends]), np.stack([rules >> 24, rules & 0xFFFFFF], axis=1), first
+    return symbols.astype(np.int64), np.diff(np.r_[0, ends]), np.array([*numbers], np.int64).reshape(-1, 2), first
 
 
 _SLOTS = 20
@@ -240,7 +242,9 @@ _SLOTS = 20
 
 def _slot(key: np.ndarray) -> np.ndarray:
     """A multiplicative hash of pairs."""
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
+    if key.dtype == np.uint32:
+        return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
+    return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
 
 
 def _expansions(rules: np.ndarray, first: int) -> list[bytes]:
