@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import LOWER, as_int64, materialise, shared_dir, utf8
+from millrace.llm.common import LOWER, as_int64, materialise, shared_dir, small_batches, utf8
 from millrace.llm.simhash import connect, links, majority
 
 WORDS = 5
@@ -107,15 +107,8 @@ def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
     def count(batches):
         n, cut = np.zeros(SLOTS, np.uint32), Shingler(words)
         for batch in batches:
-            held, size = [], 0
             for t in utf8(batch.column(0)):
-                held.append(slot(cut(t)))
-                size += len(held[-1])
-                if size > SLOTS:
-                    n += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
-                    held, size = [], 0
-            if held:
-                n += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
+                np.add.at(n, slot(cut(t)), 1)
         for i in range(0, SLOTS, BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([zlib.compress(n[i : i + BLOCK].tobytes(), 1)])], ["block", "n"])
 
@@ -125,7 +118,9 @@ def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
             n += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"block": found.column("block")[:1], "level": pa.array([(4 * np.log2(n + 1)).clip(max=255).astype(np.uint8).tobytes()])})
 
-    rows = prints.select(text).mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, level binary").collect()
+    rows = prints.select(text).mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, level binary")
+    with small_batches(prints.sparkSession):
+        rows = rows.collect()  # SLOTS bytes in all
     out = np.zeros(SLOTS, np.uint8)
     for r in rows:
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["level"], np.uint8)

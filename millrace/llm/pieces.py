@@ -284,6 +284,8 @@ def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFra
             for k, f in enumerate(added):
                 columns.append(pa.array([r[k] for r in rows], _ARROW[f.dataType.simpleString()]))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+        code.coded.clear()  # a worker that goes on with other stages doesn't keep them
+        code.odd.clear()
 
     return docs.mapInArrow(run, schema)
 
