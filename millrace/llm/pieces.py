@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Units remembered by a worker; at the bound the memory starts anew.
-REMEMBER = 250_000
+#: Units whose ids, and whose counts, a worker remembers; at the bound the memory starts anew.
+REMEMBER, COUNTED = 250_000, 1_000_000
 _UNIT = re.compile(" *[^ ]+| +$")
 
 
@@ -350,7 +350,7 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         each = [self.v.units(t) for t in texts]
         seen = set().union(*each)
-        if len(self.known) + len(seen) > REMEMBER:
+        if len(self.known) + len(seen) > COUNTED:
             self.known.clear()
         known = self.known
         for u in seen:
