@@ -5,12 +5,16 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bits of a vector's components as whole numbers.
+WIDEST = 25
 #: A-Z to a-z and nothing else.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -40,7 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table that this application wrote; what was computed from them can't be read after that."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    remove(spark, shared_dir(spark))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -56,27 +64,66 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy", batch: int = 2000) -> DataFrame:
     """Write a DataFrame once to the shared folder and return the written table.
 
     Later jobs read it, so work in Python runs once and lost executors cost a rerun of single tasks only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, batch):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write a DataFrame once to the shared folder in as many buckets by ``key`` as a shuffle has, so grouping by it moves no row."""
+    return dropped_later(df, name, key)[0]
+
+
+def dropped_later(df: DataFrame, name: str, key: str, batch: int = 2000) -> tuple[DataFrame, Callable[[], None]]:
+    """``bucketed``, and what drops the table and its files when nothing reads it any more."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own bound
-    with small_batches(spark):
+    with small_batches(spark, batch):
         df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+    return spark.table(name), drop
+
+
+def whole_numbers(vectors: DataFrame, scale: int, vec_id: str = "vec_id", embedding: str = "embedding", size: int | None = None) -> DataFrame:
+    """Rows (vec_id, q): components as floor(scale * x), x as double, of vectors that are whole; of ``size`` components, if given.
+
+    Vectors that are null or hold null or non-finite components are left out. A number of ``WIDEST`` bits or more is an
+    error, as products and their sums are 64-bit numbers.
+    """
+    x = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x")).where("x is not null")
+    kept = x.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    if size is not None:
+        kept = kept.where(F.size("x") == size)
+
+    def number(v):
+        return F.when(F.abs(v * scale) < float(1 << WIDEST), F.floor(v * scale)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+
+    return kept.select("vec_id", F.transform("x", number).alias("q"))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of number lists as a matrix of int64, short rows filled with zeros."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    wide = int(sizes.max(initial=0))
+    if (sizes == wide).all():
+        return flat.reshape(len(sizes), wide)
+    out = np.zeros((len(sizes), wide), np.int64)
+    out[np.arange(wide) < sizes[:, None]] = flat
+    return out
 
 
 def utf8(column) -> list[bytes | None]:
