@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.sums import global_position, hash_order, running_sum
+from millrace.operators.intervals import within
+from millrace.operators.sums import global_position, hash_order, sorted_sums
 
 #: Width of the grid on which ranges meet documents.
 GRID = 4096
@@ -32,9 +33,8 @@ def sample_tokens(ranges: DataFrame, most: Column, by: list[str] | None = None,
 
 def concatenated(ranges: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``offset``, the place of each range in the one stream that all make, in the order of ``order``."""
-    n = F.col("end") - F.col("start")
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    return ranges.withColumn("offset", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    placed = sorted_sums(ranges.withColumn("_n", F.col("end") - F.col("start")), [], order, {"_upto": "_n"})
+    return placed.withColumn("offset", F.col("_upto") - F.col("_n")).drop("_upto", "_n")
 
 
 def read_ranges(ranges: DataFrame, docs: DataFrame, by: list[str], ids: str = "ids", keep: tuple[str, ...] = (), grid: int = GRID) -> DataFrame:
@@ -129,7 +129,10 @@ def random_ids(rows: DataFrame, size: int, vocabulary: int, seed: int, end: int,
 
 
 def locate(rows: DataFrame, index: str, sources: DataFrame, by: list[str], size: str = "size") -> DataFrame:
-    """Source and place in it of global indices, by the sizes of sources one after another; for few sources."""
-    ends = running_sum(sources.withColumn("_all", F.lit(0)).withColumn("_o", F.row_number().over(Window.orderBy(*by)).cast("long")), ["_all"], "_o", size, "_end")
-    bounds = F.broadcast(ends.select(*by, (F.col("_end") - F.col(size)).alias("_low"), "_end"))
-    return rows.join(bounds, (F.col(index) >= F.col("_low")) & (F.col(index) < F.col("_end"))).withColumn("local", F.col(index) - F.col("_low")).drop("_low", "_end")
+    """Source and place in it of global indices, by the sizes of sources one after another; indices beyond all are left out.
+
+    Sources' offsets are sums over sorted ranges and indices meet them in a grid, so there may be any number of sources.
+    """
+    ends = sorted_sums(sources.select(*by, size).where(F.col(size) > 0), [], by, {"_end": size})
+    bounds = ends.select(*by, (F.col("_end") - F.col(size)).alias("_low"), (F.col("_end") - 1).alias("_last"))
+    return within(rows, index, bounds, [], "_low", "_last").withColumn("local", F.col(index) - F.col("_low")).drop("_low", "_last")

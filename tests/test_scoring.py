@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars, schedules
 from millrace.operators import metrics
-from millrace.sources import shards
+from millrace.sources import shards, sink
 
 
 def series(spark, values):
@@ -175,7 +175,7 @@ def test_documents_of_files(spark, tmp_path, chunk):
 def test_files_are_written_whole_and_read_by_parts(spark, tmp_path):
     rows = [(k % 3, k, list(range(k * 10, k * 10 + k % 5))) for k in range(30)]
     df = spark.createDataFrame(rows, "source int, doc_id long, ids array<int>")
-    written = shards.write_tokens(df, "source", "doc_id", str(tmp_path / "out"), "u4")
+    written = sink.write_tokens(df, "source", "doc_id", str(tmp_path / "out"), "u4")
     files = shards.listed(spark, str(tmp_path / "out"))
     assert len(files) == 3 and {r.source: r.tokens for r in written.collect()} == {s: sum(len(x) for k, _, x in rows if k == s) for s in range(3)}
     got = shards.token_ranges(spark, files, "u4", 7)
