@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import documents, instances, mixing, ordering, sampling
+from millrace.operators import documents, instances, mixing, ordering, sampling, trees
 from millrace.plans.base import TOK, checksum, docs, query, sized
 from millrace.sources.tables import table
 
@@ -197,3 +197,64 @@ FROM (SELECT i, j, ('0x' || left(md5('3:0:' || (i * 32 + j)), 8))::BIGINT AS d F
 def a12_random_instances(spark, sf):
     rows = sampling.random_ids(spark.range(400).withColumnRenamed("id", "index"), 32, 1000, 3, 0, 50)
     return rows.select(F.col("index").alias("instance"), checksum(F.col("input_ids")).alias("checksum"))
+
+
+def tree(spark, sf):
+    """Sources of odd places sampled up and mixed with the others as one stream, sampled again, and sliced."""
+    sizes = sized(spark, sf).groupBy("source").agg(F.sum("n").alias("tokens")).withColumn("rank", F.row_number().over(Window.orderBy("source")) - 1)  # a row a source
+    odd, even = (trees.leaves(sizes.where(F.col("rank") % 2 == k), "source", "tokens", "rank") for k in (1, 0))
+    mixed = trees.mix([(trees.resized(odd, 1.25), 0.5, 2.0), (trees.concat(even), 0.5, 1.0)])
+    return trees.sliced(trees.sample([mixed], 150_000), 5_000, -1_000)
+
+
+TREE = """, ranked AS (SELECT source, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY source) - 1 AS rank FROM docs GROUP BY source),
+odd AS (SELECT *, sum(n) OVER ()::BIGINT AS total FROM ranked WHERE rank % 2 = 1), up AS (SELECT *, round_even(floor(total * 1.25::DOUBLE) * (n::DOUBLE / total), 0)::BIGINT AS w FROM odd),
+odd1 AS (SELECT source, [rank, k] AS unit, least(n, w - k * n) AS n FROM up, unnest(range(0, (w - 1) // n + 1)) AS u(k) WHERE w > 0),
+even AS (SELECT source, rank, n, sum(n) OVER (ORDER BY rank)::BIGINT - n AS off, sum(n) OVER ()::BIGINT AS size FROM ranked WHERE rank % 2 = 0),
+size AS (SELECT a, b, (a + b)::DOUBLE * 0.5 AS w FROM (SELECT (SELECT sum(n)::BIGINT FROM odd1) AS a, (SELECT max(size) FROM even) AS b)),
+used AS (SELECT w, a * least(2.0, greatest(w / a, 1.0)) AS x, b * least(1.0, greatest(w / b, 1.0)) AS y FROM size), took AS (SELECT floor(w * least(1.0, x / w, y / w))::BIGINT AS most FROM used),
+odd2 AS (SELECT source, unit, n, round_even(most * (n::DOUBLE / sum(n) OVER ()), 0)::BIGINT AS w FROM odd1, took),
+part1 AS (SELECT source, [0] || unit || [k] AS unit, 0::BIGINT AS place, least(n, w - k * n) AS n FROM odd2, unnest(range(0, (w - 1) // n + 1)) AS u(k) WHERE w > 0),
+part2 AS (SELECT source, [1, k] AS unit, rank AS place, least(n, greatest(most - k * size - off, 0)) AS n FROM even, took, unnest(range(0, (most - 1) // size + 1)) AS u(k) WHERE off < most - k * size),
+units AS (SELECT unit, sum(n)::BIGINT AS size FROM (FROM part1 UNION ALL FROM part2) GROUP BY unit), wanted AS (SELECT unit, size, round_even(150000 * (size::DOUBLE / sum(size) OVER ()), 0)::BIGINT AS w FROM units),
+pieces AS (SELECT source, unit, place, n, sum(n) OVER (PARTITION BY unit ORDER BY place)::BIGINT - n AS off FROM (FROM part1 UNION ALL FROM part2)),
+again AS (SELECT source, unit, k, place, least(n, w - k * size - off) AS n FROM pieces JOIN wanted USING (unit), unnest(range(0, (w - 1) // size + 1)) AS u(k) WHERE w > 0 AND off < w - k * size),
+flat AS (SELECT source, n, sum(n) OVER (ORDER BY unit, k, place)::BIGINT - n AS off, sum(n) OVER ()::BIGINT AS total FROM again),
+cut AS (SELECT source, greatest(off, 5000) - off AS s, least(off + n, total - 1000) - off AS e, greatest(off, 5000) - 5000 AS o FROM flat WHERE off + n > 5000 AND off < total - 1000)"""
+
+
+@query(f"""{TOK}{TREE} SELECT row_number() OVER (ORDER BY o) - 1 AS "index", source, s::BIGINT AS "start", e::BIGINT AS "end", o::BIGINT AS "offset" FROM cut""")
+def g1_tree(spark, sf):
+    return trees.plan(tree(spark, sf)).withColumnRenamed("leaf", "source")
+
+
+@query(f"""{TOK}{RANGES}{TREE} SELECT o::BIGINT AS "offset", cut.source, sum((p - s + 1) * token)::BIGINT AS checksum FROM cut JOIN tokens ON tokens.source = cut.source AND p >= s AND p < e GROUP BY ALL""")
+def g1_tree_tokens(spark, sf):
+    placed = documents.offsets(docs(spark, sf).select("source", "doc_id", "n", "ids"), ["source"], "doc_id")
+    pieces = sampling.read_ranges(trees.plan(tree(spark, sf)).withColumnRenamed("leaf", "source"), placed, ["source"])
+    sums = pieces.select("offset", "source", (checksum(F.col("ids")) + F.col("at") * F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("c"))
+    return sums.groupBy("offset", "source").agg(F.sum("c").alias("checksum"))
+
+
+@query(f"""{TOK}, parts AS (SELECT doc_id, n, lang = 'en' AS a FROM docs), size AS (SELECT sum(n) FILTER (a)::BIGINT AS x, sum(n) FILTER (NOT a)::BIGINT AS y FROM parts), w AS (SELECT *, (x + y)::DOUBLE * 0.7::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE) AS p, (x + y)::DOUBLE * 0.3::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE) AS q FROM size),
+used AS (SELECT *, least(1.0, x * least(2.0, greatest(p / x, 1.0)) / p, y * least(1.0, greatest(q / y, 1.0)) / q) AS f FROM w), most AS (SELECT x, y, floor(p * f)::BIGINT AS s, floor(q * f)::BIGINT AS t FROM used),
+summed AS (SELECT doc_id, n, a, sum(n) OVER (PARTITION BY a ORDER BY doc_id)::BIGINT AS upto FROM parts), sized AS (SELECT summed.*, CASE WHEN a THEN s ELSE t END AS most, CASE WHEN a THEN x ELSE y END AS total FROM summed, most),
+taken AS (SELECT doc_id, n, a, upto, k AS "copy" FROM sized, unnest(range(0, most // total + (upto <= most % total)::BIGINT)) AS u(k))
+SELECT row_number() OVER (ORDER BY NOT a, "copy", upto) - 1 AS "index", doc_id, "copy"::INT AS "copy", sum(n) OVER (ORDER BY NOT a, "copy", upto)::BIGINT - n AS "start" FROM taken""")
+def g2_tree_documents(spark, sf):
+    t = sized(spark, sf).select("doc_id", "lang", "n")
+    nodes = [trees.rows_of(t.where(where).select("doc_id", "n"), ["doc_id"]) for where in ("lang = 'en'", "lang <> 'en'")]
+    mixed = trees.mix_documents([(nodes[0], 0.7, 2.0), (nodes[1], 0.3, 1.0)])
+    return trees.numbered(mixed, {"end": "n"}).select("index", "doc_id", "copy", (F.col("end") - F.col("n")).alias("start"))
+
+
+@query(f"""{TOK}{CHUNKS}, parts AS (SELECT source, instance, source < 'src10' AS a FROM inst), size AS (SELECT count(*) FILTER (a) AS x, count(*) FILTER (NOT a) AS y FROM parts), w AS (SELECT *, (x + y) * 64 * 0.5::DOUBLE AS p FROM size),
+used AS (SELECT *, least(1.0, x * 64 * least(1.5, greatest(p / (x * 64), 1.0)) / p, y * 64 * least(1.5, greatest(p / (y * 64), 1.0)) / p) AS f FROM w), most AS (SELECT x, y, floor(p * f)::BIGINT // 64 AS m FROM used),
+ranks AS (SELECT source, instance, a, row_number() OVER (PARTITION BY a ORDER BY source, instance) AS upto FROM parts), sized2 AS (SELECT ranks.*, m - m % 4 AS most, CASE WHEN a THEN x ELSE y END AS total FROM ranks, most),
+taken AS (SELECT source, instance, a, upto, k AS "copy" FROM sized2, unnest(range(0, most // total + (upto <= most % total)::BIGINT)) AS u(k))
+SELECT row_number() OVER (ORDER BY NOT a, "copy", upto) - 1 AS "index", source, instance, "copy"::INT AS "copy" FROM taken""")
+def g2_tree_instances(spark, sf):
+    rows, sizes = instance_rows(spark, sf)
+    ranks = F.broadcast(sizes.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("rank")))  # a row a source
+    nodes = [trees.rows_of(rows.where(where).join(ranks, "source"), ["rank", "instance"]).drop("rank") for where in ("source < 'src10'", "source >= 'src10'")]
+    return trees.numbered(trees.mix_instances([(nodes[0], 0.5, 1.5), (nodes[1], 0.5, 1.5)], 64, chunk=4)).select("index", "source", "instance", "copy")
