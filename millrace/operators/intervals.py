@@ -17,8 +17,8 @@ def within(rows: DataFrame, value: str, intervals: DataFrame, by: list[str], low
     keys = [f"_by{k}" for k in range(len(by))]
     held = intervals.where(F.col(low) <= F.col(last)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(last))))
     held = held.withColumnsRenamed(dict(zip(by, keys)))
-    asked = rows.withColumn("_at", cell(value))
-    same = F.col("_at") == F.col("_cell")
+    asked = rows.withColumn("_value_cell", cell(value))
+    same = F.col("_value_cell") == F.col("_cell")
     for a, b in zip(by, keys):
         same &= F.col(a).eqNullSafe(F.col(b))
-    return asked.join(held, same).where(F.col(value).between(F.col(low), F.col(last))).drop("_at", "_cell", *keys)
+    return asked.join(held, same).where(F.col(value).between(F.col(low), F.col(last))).drop("_value_cell", "_cell", *keys)

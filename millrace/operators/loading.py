@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -197,3 +198,61 @@ class Cursor:
 
     def remaining(self, plan: DataFrame, batch: str = "batch") -> DataFrame:
         return plan.where(F.col(batch) >= self.batches)
+
+
+@dataclass(frozen=True)
+class Segment:
+    """Batches of one size: the step and the token that the first begins with, and the factor of the learning rate."""
+
+    step: int
+    token: int
+    size: int
+    factor: float = 1.0
+
+
+def segments(schedule: list[tuple[int, int]], unit: str = "tokens") -> list[Segment]:
+    """Where batch sizes change, by a schedule of (start, batch tokens) in ``tokens`` or ``steps``.
+
+    Sizes grow or shrink by integer factors. A start takes effect at the first batch that begins at or after it; a larger
+    size waits until as many batches have gone as make whole ones of the new size, so no instance is lost or comes twice. Of
+    several starts that are due, the latest counts. The learning rate follows the square root of the size.
+    """
+    if unit not in ("tokens", "steps") or not schedule or schedule[0][0] != 0:
+        raise ValueError("a schedule has tokens or steps, and starts at 0")
+    for (a, x), (b, y) in zip(schedule, schedule[1:]):
+        if b <= a or x == y or max(x, y) % min(x, y):
+            raise ValueError("starts must grow, and sizes change by an integer factor")
+    found = [Segment(0, 0, schedule[0][1])]
+    for k, (start, size) in enumerate(schedule[1:], 1):
+        now = found[-1]
+        if max(size, now.size) % min(size, now.size):
+            raise ValueError(f"batches of {now.size} can't become ones of {size}")
+        steps = max(0, -(-(start - now.token) // now.size) if unit == "tokens" else start - now.step)
+        if size > now.size:
+            ratio = size // now.size
+            steps = -(-(now.token // now.size + steps) // ratio) * ratio - now.token // now.size
+        at = Segment(now.step + steps, now.token + steps * now.size, size, now.factor * math.sqrt(size / now.size))
+        following = schedule[k + 1][0] if k + 1 < len(schedule) else None
+        if following is None or (at.token if unit == "tokens" else at.step) < following:
+            found = [*found[:-1], at] if at.step == now.step else [*found, at]
+    return found
+
+
+def scheduled_batches(rows: DataFrame, plan: list[Segment], size: int, position: str = "position") -> DataFrame:
+    """Adds ``batch`` and ``slot`` of instances of ``size`` tokens in a dense order, ``tokens`` before the batch, its size and factor.
+
+    A row finds its segment by its token and its batch by a division inside it; the last batch, if not whole, is left out.
+    """
+    total = rows.agg(F.count("*")).scalar() * size
+    at = F.col(position) * size
+    own = F.filter(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in asdict(s).items()]) for s in plan]), lambda s: s["token"] <= at)
+    t = rows.withColumn("_s", F.element_at(own, -1)).withColumn("_in", F.floor((at - F.col("_s.token")) / F.col("_s.size")))
+    t = t.withColumns({"batch": F.col("_s.step") + F.col("_in"), "tokens": F.col("_s.token") + F.col("_in") * F.col("_s.size"), "batch_tokens": F.col("_s.size").cast("long"), "factor": F.col("_s.factor")})
+    t = t.withColumn("slot", F.floor((at - F.col("tokens")) / size))
+    return t.where(F.col("tokens") + F.col("batch_tokens") <= total).drop("_s", "_in")
+
+
+def until(plan: DataFrame, steps: int | None = None, tokens: int | None = None, batch_tokens: int | None = None, batch: str = "batch") -> DataFrame:
+    """The batches of a plan before a duration of steps or tokens is due: with tokens, those up to the one that reaches it."""
+    most = steps if steps is not None else -(-tokens // batch_tokens)
+    return plan.where(F.col(batch) < most)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let, log_sum_exp, top_experts
 from millrace.functions.scalars import name_matches
+from millrace.operators.intervals import within
 from millrace.operators.sums import in_blocks, ranked, running_sum
 
 NAN = float("nan")
@@ -52,14 +53,19 @@ def spikes(metrics: DataFrame, by: list[str], step: str, values: list[str], wind
 
     Steps are whole numbers; a series is cut into blocks that carry the window before them.
     """
-    dealt, block = in_blocks(ranked(metrics, by, step, "_rank"), by, "_rank", window)
-    past = Window.partitionBy(*block).orderBy("_rank").rowsBetween(-window, -1)
+    return marked_spikes(ranked(metrics, by, step, "_rank"), by, "_rank", values, window, sigmas).drop("_rank")
+
+
+def marked_spikes(placed: DataFrame, by: list[str], rank: str, values: list[str], window: int, sigmas: float) -> DataFrame:
+    """``spikes`` of rows with their places in their series."""
+    dealt, block = in_blocks(placed, by, rank, window)
+    past = Window.partitionBy(*block).orderBy(rank).rowsBetween(-window, -1)
     found = F.lit(False)
     for value in values:
         sigma = F.stddev_pop(value).over(past)
         above = (F.count(value).over(past) == window) & (sigma >= 1e-10) & (F.col(value) > F.avg(value).over(past) + sigmas * sigma)
         found = found | F.coalesce(above, F.lit(False))
-    return dealt.withColumn("spike", found).where("_own").drop("_own", "_block", "_rank")
+    return dealt.withColumn("spike", found).where("_own").drop("_own", "_block")
 
 
 def spike_rates(metrics: DataFrame, by: list[str], step: str, rolling: int = 10_000, least: int = 128) -> DataFrame:
@@ -229,3 +235,51 @@ def compared(a: DataFrame, b: DataFrame, key: str = "key", value: str = "value")
     both = a.select(F.col(key), F.col(value).alias("a"), F.lit(True).alias("_in_a")).join(b.select(F.col(key), F.col(value).alias("b"), F.lit(True).alias("_in_b")), key, "full")
     state = F.when(F.col("_in_b").isNull(), "only_a").when(F.col("_in_a").isNull(), "only_b").when(F.col("a").eqNullSafe(F.col("b")), "equal").otherwise("differs")
     return both.select(key, "a", "b", state.alias("state"))
+
+
+def step_metrics(metrics: DataFrame, every: int | None = None, fixed: list[int] | None = None, pattern: str = "*", name: str = "name", step: str = "step", value: str = "value") -> DataFrame:
+    """Rows (step, metrics), a map of each metric's newest value up to that step, at every so many steps, at fixed ones, and at the last.
+
+    Only metrics whose name fits the pattern count. Steps of a snapshot are few beside the metrics' rows: each row is carried
+    to the snapshots from its step up to the next row of its metric, found by a join on the metric's own intervals.
+    """
+    rows = metrics.where(name_matches(F.col(name), pattern)).groupBy(name, step).agg(F.max(value).alias("value"))
+    lasts = metrics.agg(F.max(step)).scalar()
+    chosen = F.lit(False) if every is None else F.col(step) % every == 0
+    chosen |= F.col(step).isin(fixed or [])
+    shots = metrics.select(step).distinct().where(chosen | (F.col(step) == lasts)).withColumnRenamed(step, "_at")
+    following = F.lead(step).over(Window.partitionBy(name).orderBy(step))
+    held = rows.withColumns({"_last": F.coalesce(following - 1, lasts)})
+    met = within(shots, "_at", held, [], step, "_last")
+    return met.groupBy(F.col("_at").alias(step)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "value")))).alias("metrics"))  # a snapshot is one row
+
+
+def write_metrics(snapshots: DataFrame, folder: str, step: str = "step", metrics: str = "metrics") -> None:
+    """A JSON file for each snapshot's step, in a folder of its own: metrics_step=N."""
+    snapshots.select(F.col(step).alias("metrics_step"), F.to_json(metrics).alias("value")).repartition("metrics_step").write.partitionBy("metrics_step").mode("overwrite").text(folder)
+
+
+def read_metrics(spark: SparkSession, folders: list[str], prefix: str | None = None) -> DataFrame:
+    """Rows (folder, step, name, value) of the metric files of several folders; of a step that more than one has, the first folder's.
+
+    Folder and step come from the files' own paths. With a prefix, only metrics whose names begin with it.
+    """
+    path = F.col("_metadata.file_path")
+    parts = []
+    for k, folder in enumerate(folders):
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+        parts.append(files.select(F.lit(k).alias("folder"), F.regexp_extract(path, r"metrics_step=(\d+)/", 1).cast("long").alias("step"), F.from_json("value", "map<string,double>").alias("metrics")))
+    first = first_of(functools.reduce(DataFrame.unionByName, parts), ["step"], "folder")
+    rows = first.select("folder", "step", F.explode("metrics").alias("name", "value"))
+    return rows if prefix is None else with_prefix(rows, prefix)
+
+
+def with_prefix(metrics: DataFrame, prefix: str, name: str = "name") -> DataFrame:
+    return metrics.where(F.col(name).startswith(prefix))
+
+
+def checkpoint_table(metrics: DataFrame, run: str, batch_tokens: int, names: list[str], facts: dict | None = None) -> DataFrame:
+    """A row for each step of a run, with its tokens, the run's facts, and a column for each metric asked for; null where it lacks."""
+    wide = metrics.groupBy("step").pivot("name", names).agg(F.first("value"))
+    known = {"run": F.lit(run), "tokens": (F.col("step") * batch_tokens).cast("long")} | {k: F.lit(v) for k, v in (facts or {}).items()}
+    return wide.withColumns(known)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.mixing import sample_sizes
 from millrace.operators.sums import hash_order, sorted_sums
+from millrace.sources.shared import written
 
 
 @dataclass
@@ -38,7 +39,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def leaves(sizes: DataFrame, leaf: str, tokens: str, rank: str) -> Tokens:
     """A unit for each stream of so many tokens, in the order of ``rank``."""
-    rows = sizes.where(F.col(tokens) > 0)
+    rows = written(sizes.where(F.col(tokens) > 0).select(leaf, tokens, rank), "leaves")  # sizes are counted once
     return Tokens(rows.select(_long(F.col(rank)).alias("unit"), _long(0).alias("at"), F.lit(0).alias("depth"), F.col(leaf).alias("leaf"), F.lit(0).cast("long").alias("start"), F.col(tokens).cast("long").alias("end")), True)
 
 

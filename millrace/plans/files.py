@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import documents, ordering
 from millrace.plans.base import SUM, TOK, checksum, docs, query
-from millrace.sources import shards, sink
+from millrace.sources import shards, sink, tables
 from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
 
@@ -120,3 +120,15 @@ def b6_dumped_batch(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     plan = ordering.batches(ordering.shuffled(orders.select("o_orderkey"), "o_orderkey", 1, 1), 64, 4)
     return sink.dump_batch(plan, orders, "o_orderkey", 3, f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}").select("o_orderkey", "o_totalprice", "slot")
+
+
+@query(f"""{TOK} SELECT CASE WHEN source < 'src10' THEN 'low' ELSE 'high' END AS label, count(DISTINCT source) AS streams, sum(n)::BIGINT AS tokens FROM docs GROUP BY 1""")
+def a9_manifest(spark, sf):
+    names, streams = written(spark, sf)
+    folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    base = streams[0][0][0].rsplit("/", 2)[0]
+    lines = ["# label, path", "", *(f"{'l' if n < 'src10' else 'h'},{n}/*.npy" for n in names)]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(folder)
+    manifest = tables.mix_manifest(spark, folder, base, "tokens", {"l": "low", "h": "high"})
+    rows = [(label, path.rsplit("/", 2)[1], size // 4) for path, size, label in shards.labelled_files(manifest, spark)]
+    return spark.createDataFrame(rows, "label string, stream string, tokens long").groupBy("label").agg(F.countDistinct("stream").alias("streams"), F.sum("tokens").alias("tokens"))

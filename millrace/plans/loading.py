@@ -168,15 +168,16 @@ def i5_collated(spark, sf):
     return right.join(left, "doc_id")
 
 
+WHOLE = f"""{TOK}, rows_ AS (SELECT doc_id, ids FROM docs),"""
 CUT = f"""{TOK}, rows_ AS (SELECT doc_id, ids[1:100] AS ids FROM docs),"""
 
 
-@query(f"""{CUT} spaces AS (SELECT doc_id, list_filter(range(1, len(ids) + 1), lambda i: ids[i] = 32) AS e, len(ids) AS n FROM rows_),
+@query(f"""{WHOLE} spaces AS (SELECT doc_id, list_filter(range(1, len(ids) + 1), lambda i: ids[i] = 32) AS e, len(ids) AS n FROM rows_),
 ends AS (SELECT doc_id, CASE WHEN len(e) > 0 AND e[-1] = n THEN e ELSE list_append(e, n) END AS e FROM spaces),
 lens AS (SELECT doc_id, i - 1 AS piece, e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END AS length FROM ends, unnest(range(1, len(e) + 1)) AS u(i))
 SELECT doc_id AS "row", piece::INT AS piece, length::INT AS length, sum(length) OVER (ORDER BY doc_id, piece ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM lens""")
 def c8_cumulative_lengths(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.slice("ids", 1, 100).alias("ids"))
+    rows = docs(spark, sf).select("doc_id", "ids")
     return documents.cumulative_lengths(rows.withColumn("doc_lens", documents.lengths(F.col("ids"), 32)), "doc_id")
 
 
@@ -193,11 +194,11 @@ def c2_pair_boundaries(spark, sf):
     return documents.boundaries(followed.select("source", places.alias("end")), ["source"])
 
 
-@query(f"""{CUT} spaced AS (SELECT doc_id, list_transform(ids, lambda x: x = 32) AS m FROM rows_), marks AS (SELECT doc_id, i, m[i] AS t FROM spaced, unnest(range(1, len(m) + 1)) AS u(i)),
+@query(f"""{WHOLE} spaced AS (SELECT doc_id, list_transform(ids, lambda x: x = 32) AS m FROM rows_), marks AS (SELECT doc_id, i, m[i] AS t FROM spaced, unnest(range(1, len(m) + 1)) AS u(i)),
 run AS (SELECT doc_id, t, i - row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS g, i FROM marks), runs AS (SELECT doc_id, t, min(i) - 1 AS low, max(i) AS high FROM run GROUP BY doc_id, t, g)
 SELECT doc_id, count(*)::INT AS runs, arg_min(low, low) FILTER (t) ::INT AS first_start, arg_min(high, low) FILTER (t) ::INT AS first_end, max(low) FILTER (t) ::INT AS last_start, max(high) FILTER (t) ::INT AS last_end FROM runs GROUP BY doc_id""")
 def j6_runs(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.transform(F.slice("ids", 1, 100), lambda x: x == 32).alias("m"))
+    rows = docs(spark, sf).select("doc_id", F.transform("ids", lambda x: x == 32).alias("m"))
     runs = rows.withColumn("r", arrays.runs(F.col("m"))).withColumn("t", F.filter("r", lambda x: x["value"]))
     ends = [F.try_element_at("t", F.lit(k))[n].alias(f"{which}_{n}") for k, which in ((1, "first"), (-1, "last")) for n in ("start", "end")]
     return runs.select("doc_id", F.size("r").alias("runs"), *ends)
@@ -249,3 +250,22 @@ def n6_masked_tokens(spark, sf):
     masks = t.select("doc_id", F.transform("ids", lambda x: x != 32).alias("mask"))
     kept = instances.masked(t.select("doc_id", "ids"), masks, "doc_id").select("doc_id", F.expr("filter(arrays_zip(ids, mask), x -> x.mask)").alias("kept"))
     return kept.select("doc_id", F.size("kept").alias("kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x["ids"]).alias("total"))
+
+
+SCHEDULE = [(0, 128), (5_000, 512), (40_000, 256)]
+
+
+@query("""WITH RECURSIVE ranked AS (SELECT o_orderkey, (row_number() OVER (ORDER BY md5('1:1:' || o_orderkey), o_orderkey) - 1) * 8 AS place, count(*) OVER () * 8 AS total FROM orders),
+walk(step, tokens, size) AS (SELECT 0::BIGINT, 0::BIGINT, 128::BIGINT UNION ALL SELECT step + 1, t, CASE WHEN want > size AND (t // size) % (want // size) <> 0 THEN size ELSE want END
+  FROM (SELECT step, tokens + size AS t, size, CASE WHEN tokens + size >= 40000 THEN 256 WHEN tokens + size >= 5000 THEN 512 ELSE 128 END AS want FROM walk WHERE tokens + size < (SELECT count(*) * 8 FROM orders)))
+SELECT o_orderkey, step AS batch, tokens, size AS batch_tokens, (place - tokens) // 8 AS slot, sqrt(size / 128) AS factor FROM ranked JOIN walk ON place >= tokens AND place < tokens + size WHERE tokens + size <= total""")
+def p5_scheduled(spark, sf):
+    rows = ordering.shuffled(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1, 1)
+    return loading.scheduled_batches(rows, loading.segments(SCHEDULE), 8).drop("position")
+
+
+@query(f"{BATCHED} SELECT 'steps' AS unit, batch, count(*) AS instances FROM plan WHERE batch < 7 GROUP BY batch UNION ALL SELECT 'tokens', batch, count(*) FROM plan WHERE batch * 64 < 900 GROUP BY batch")
+def p10_until(spark, sf):
+    whole = plan(spark, sf)
+    parts = [loading.until(whole, steps=7).withColumn("unit", F.lit("steps")), loading.until(whole, tokens=900, batch_tokens=64).withColumn("unit", F.lit("tokens"))]
+    return parts[0].unionByName(parts[1]).groupBy("unit", "batch").agg(F.count("*").alias("instances"))

@@ -192,10 +192,10 @@ def n2_overlaps(spark, sf):
     return met.select("source", "doc_id", F.col("start").alias("low"), first.alias("start"), (first + F.size("ids")).alias("end"))
 
 
-@query("""SELECT i AS instance, sum((j + 1) * CASE WHEN d % 50 = 0 THEN 0 ELSE (d // 50) % 1000 END)::BIGINT AS checksum
-FROM (SELECT i, j, ('0x' || left(md5('3:0:' || (i * 32 + j)), 8))::BIGINT AS d FROM unnest(range(0, 400)) AS a(i), unnest(range(0, 32)) AS b(j)) GROUP BY i""")
+@query("""SELECT o_orderkey AS instance, sum((j + 1) * CASE WHEN d % 50 = 0 THEN 0 ELSE (d // 50) % 1000 END)::BIGINT AS checksum
+FROM (SELECT o_orderkey, j, ('0x' || left(md5('3:0:' || (o_orderkey * 32 + j)), 8))::BIGINT AS d FROM orders, unnest(range(0, 32)) AS b(j)) GROUP BY o_orderkey""")
 def a12_random_instances(spark, sf):
-    rows = sampling.random_ids(spark.range(400).withColumnRenamed("id", "index"), 32, 1000, 3, 0, 50)
+    rows = sampling.random_ids(table(spark, sf, "orders").select(F.col("o_orderkey").alias("index")), 32, 1000, 3, 0, 50)
     return rows.select(F.col("index").alias("instance"), checksum(F.col("input_ids")).alias("checksum"))
 
 

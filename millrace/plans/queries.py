@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays, schedules
 from millrace.operators import documents, instances, metrics, mixing, ordering, repetition
-from millrace.operators.sums import running_sum
+from millrace.operators.sums import running_sum, sorted_sums
 from millrace.plans.base import SUM, TOK, checksum, docs, query, sized
 from millrace.sources.tables import table
 from millrace.streaming import spikes as streams
@@ -421,3 +421,15 @@ def j2_melted(spark, sf):
 SELECT id, avg(price) OVER (ORDER BY r ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean FROM o WHERE id % 1 = 0""")
 def k6_trailing_mean(spark, sf):
     return metrics.trailing_mean(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), "id", "price", 10, "mean").select("id", "mean")
+
+
+@query("""SELECT o_orderkey, sum(round(o_totalprice * 100)::BIGINT) OVER (ORDER BY hash_, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT *, (o_orderkey * 7919 % 1000003) * 4611686018427 AS hash_ FROM orders)""")
+def l1_sparse_sum(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.expr("(o_orderkey * 7919 % 1000003) * 4611686018427").alias("hash"))
+    return sorted_sums(rows, [], ["hash", "o_orderkey"], {"running": "cents"}).select("o_orderkey", "running")
+
+
+@query(f"{TOK}, cut AS (SELECT doc_id // 512 AS pack, least(n, 2048) AS n FROM docs) SELECT pack, sum(n)::BIGINT AS tokens, true AS adds_up FROM cut GROUP BY pack")
+def k11_padding(spark, sf):
+    found = instances.padding(pack(spark, sf, "truncate")[1], 2048, "pack")
+    return found.select("pack", "tokens", (F.round(F.col("bins") * F.col("mean_padding")) == F.col("bins") * 2048 - F.col("tokens")).alias("adds_up"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, scalars, schedules
 from millrace.operators import instances, loading, metrics
+from millrace.operators.sums import sorted_sums
 from millrace.plans.base import TOK, docs, query
+from millrace.sources.shared import shared_dir, written
 from millrace.sources.tables import table
 
 LSE = "ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))))"
@@ -76,10 +80,10 @@ def o17_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""WITH m AS (SELECT 'small' AS run, 190 AS size, event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_id % 10 = 1 UNION ALL SELECT 'large', 760, event_id, value, user_id FROM events WHERE event_id % 10 = 2) SELECT * FROM m""")
+@query("""WITH m AS (SELECT 'small' AS run, 190 AS size, event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_id % 2 = 1 UNION ALL SELECT 'large', 760, event_id, value, user_id FROM events WHERE event_id % 2 = 0) SELECT * FROM m""")
 def k12_ladder(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value", "user_id")
-    runs = {"small": e.where("event_id % 10 = 1").drop("user_id"), "large": e.where("event_id % 10 = 2")}
+    runs = {"small": e.where("event_id % 2 = 1").drop("user_id"), "large": e.where("event_id % 2 = 0")}
     return metrics.ladder_table(runs, {"small": {"size": 190}, "large": {"size": 760}}).select("run", "size", "event_id", "value", "user_id")
 
 
@@ -110,15 +114,15 @@ def e3_places(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, abs(x) AS abs_, ceil(x)::BIGINT AS ceil_, floor(x)::BIGINT AS floor_, trunc(x)::BIGINT AS trunc_, round_even(x, 0) AS round_, sqrt(abs(x)) AS sqrt_, cbrt(x) AS cbrt_, ln(abs(x) + 1) AS log_, log2(abs(x) + 1) AS log2_, log10(abs(x) + 1) AS log10_,
 sin(x) AS sin_, cos(x) AS cos_, atan(x) AS atan_, atan2(x, 3.0) AS atan2_, tanh(x / 1000) AS tanh_, degrees(x) AS degrees_, radians(x) AS radians_, sqrt(x * x + 9.0) AS hypot_, gcd(l_partkey, l_suppkey)::BIGINT AS gcd_, lcm(l_partkey, l_suppkey)::BIGINT AS lcm_, floor(x / -7.0)::BIGINT AS floor_div, x - floor(x / -7.0) * -7.0 AS floor_mod
-FROM (SELECT *, l_quantity - 25.5 + l_discount AS x FROM lineitem WHERE l_linenumber <= 2)""")
+FROM (SELECT *, l_quantity - 25.5 + l_discount AS x FROM lineitem)""")
 def o1_numbers(spark, sf):
-    t = table(spark, sf, "lineitem").where("l_linenumber <= 2").withColumn("x", F.col("l_quantity") - 25.5 + F.col("l_discount"))
+    t = table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") - 25.5 + F.col("l_discount"))
     x, near = F.col("x"), F.abs(F.col("x")) + 1
     return t.select(
         "l_orderkey", "l_linenumber", F.abs(x).alias("abs_"), F.ceil(x).alias("ceil_"), F.floor(x).alias("floor_"), x.cast("long").alias("trunc_"), F.bround(x).alias("round_"), F.sqrt(F.abs(x)).alias("sqrt_"), F.cbrt(x).alias("cbrt_"),
         F.log(near).alias("log_"), F.log2(near).alias("log2_"), F.log10(near).alias("log10_"), F.sin(x).alias("sin_"), F.cos(x).alias("cos_"), F.atan(x).alias("atan_"), F.atan2(x, F.lit(3.0)).alias("atan2_"), F.tanh(x / 1000).alias("tanh_"),
         F.degrees(x).alias("degrees_"), F.radians(x).alias("radians_"), F.hypot(x, F.lit(3.0)).alias("hypot_"), scalars.gcd("l_partkey", "l_suppkey").alias("gcd_"), scalars.lcm("l_partkey", "l_suppkey").alias("lcm_"),
-        scalars.floor_div(x, F.lit(-7.0)).alias("floor_div"), (x - F.floor(x / F.lit(-7.0)) * -7.0).alias("floor_mod"),
+        scalars.floor_div(x, F.lit(-7.0)).alias("floor_div"), scalars.floor_mod(x, F.lit(-7.0)).alias("floor_mod"),
     )
 
 
@@ -140,12 +144,12 @@ replace(CASE WHEN n >= 1e9 THEN printf('%.1fB', n / 1e9) WHEN n >= 1e6 THEN prin
 CASE WHEN b < 1024 THEN printf('%.1fB', b) WHEN b < 1048576 THEN printf('%.1fKiB', b / 1024) ELSE printf('%.1fMiB', b / 1048576) END AS bytes,
 CASE WHEN x >= 1e9 THEN printf('%.3f', x / 1e9) || 'B' WHEN x >= 1000 THEN format('{:,}', x::BIGINT) WHEN x > 100 THEN printf('%.1f', x) WHEN x > 10 THEN printf('%.2f', x) WHEN x > 1 THEN printf('%.3f', x) ELSE printf('%.4f', x) END AS float_,
 concat_ws(', ', CASE WHEN s // 86400 > 0 THEN s // 86400 || 'd' END, CASE WHEN s // 3600 % 24 > 0 THEN s // 3600 % 24 || 'h' END, CASE WHEN s // 60 % 60 > 0 THEN s // 60 % 60 || 'm' END, CASE WHEN s % 60 > 0 THEN s % 60 || 's' END) AS time
-FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * (o_orderkey % 5 + 1) // 3)::BIGINT AS n, (o_orderkey * 700.0)::DOUBLE AS b, CASE o_orderkey % 5 WHEN 0 THEN 2.5e9 WHEN 1 THEN 1234.0 + o_orderkey WHEN 2 THEN 250.125 WHEN 3 THEN 12.375 ELSE 0.5 END::DOUBLE AS x, o_orderkey * 37 + 1 AS s FROM orders WHERE o_orderkey <= 4000)""")
+FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * (o_orderkey % 5 + 1) // 3)::BIGINT AS n, (o_orderkey * 700.0)::DOUBLE AS b, CASE o_orderkey % 5 WHEN 0 THEN 2.5e9 WHEN 1 THEN 1234.0 + o_orderkey WHEN 2 THEN 250.125 WHEN 3 THEN 12.375 ELSE 0.5 END::DOUBLE AS x, o_orderkey * 37 + 1 AS s FROM orders)""")
 def o5_formats(spark, sf):
     k = F.col("o_orderkey")
     n = F.expr("o_orderkey * o_orderkey * (o_orderkey % 5 + 1) div 3")
     x = F.when(k % 5 == 0, 2.5e9).when(k % 5 == 1, 1234.0 + k).when(k % 5 == 2, 250.125).when(k % 5 == 3, 12.375).otherwise(0.5)
-    return table(spark, sf, "orders").where("o_orderkey <= 4000").select("o_orderkey", scalars.short_count(n).alias("short"), scalars.short_int(n).alias("int_"), scalars.short_bytes(k * 700.0).alias("bytes"), scalars.short_float(x.cast("double")).alias("float_"), scalars.short_seconds(k * 37 + 1).alias("time"))
+    return table(spark, sf, "orders").select("o_orderkey", scalars.short_count(n).alias("short"), scalars.short_int(n).alias("int_"), scalars.short_bytes(k * 700.0).alias("bytes"), scalars.short_float(x.cast("double")).alias("float_"), scalars.short_seconds(k * 37 + 1).alias("time"))
 
 
 @query("""SELECT n_nationkey, n_name AS "who.name", n_regionkey AS "who.where.region", n_nationkey * 2 AS "twice" FROM nation""")
@@ -243,3 +247,30 @@ def m7_sampled(spark, sf):
 def d14_labelled(spark, sf):
     names = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("label"))
     return instances.labelled(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), names, ["c_nationkey"]).select("c_custkey", "label")
+
+
+RUN = """WITH m AS (SELECT event_type AS name, event_id AS step, value FROM events WHERE event_type LIKE '%c%'), last AS (SELECT max(event_id) AS last FROM events),
+shots AS (SELECT event_id AS shot FROM events, last WHERE event_id % 1000 = 0 OR event_id IN (7, 512) OR event_id = last),
+held AS (SELECT shot, name, arg_max(value, step) AS value FROM shots JOIN m ON step <= shot GROUP BY shot, name)"""
+
+
+def run_files(spark, sf):
+    """Snapshots of the events' values as metrics, as files of two folders: the first has every second step."""
+    m = table(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), "value")
+    shots = written(metrics.step_metrics(m, 1000, [7, 512], "*c*"), "snapshots")
+    folders = [f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}" for _ in range(2)]
+    metrics.write_metrics(shots.where("step % 2000 = 0"), folders[0])
+    metrics.write_metrics(shots.withColumn("metrics", F.transform_values("metrics", lambda k, v: F.when(F.col("step") % 2000 == 0, -1.0).otherwise(v))), folders[1])
+    return folders
+
+
+@query(f"{RUN} SELECT shot AS step, CASE WHEN shot % 2000 = 0 THEN 0 ELSE 1 END AS folder, name, value FROM held")
+def b4_metric_files(spark, sf):
+    return metrics.read_metrics(spark, run_files(spark, sf)).select("step", "folder", "name", "value")
+
+
+@query(f"""{RUN} SELECT 'events' AS run, 190 AS size, shot AS step, shot * 64 AS tokens, max(value) FILTER (name = 'click') AS click, max(value) FILTER (name = 'purchase') AS purchase, row_number() OVER (ORDER BY shot) AS place FROM held GROUP BY shot""")
+def b5_checkpoint_table(spark, sf):
+    found = metrics.checkpoint_table(metrics.read_metrics(spark, run_files(spark, sf)), "events", 64, ["click", "purchase"], {"size": 190})
+    placed = sorted_sums(found.withColumn("_one", F.lit(1).cast("long")), [], ["step"], {"place": "_one"})
+    return placed.select("run", "size", "step", "tokens", "click", "purchase", "place")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -353,6 +354,22 @@ def sidecar_of(path: str) -> str | None:
 
 
 def labelled_files(manifest: DataFrame, spark: SparkSession) -> list[tuple[str, int, str]]:
-    """Files of a manifest (path, size, label), patterns expanded, in the manifest's order of labels and the files' of names."""
-    rows = manifest.collect()  # a row a path of the manifest
-    return [(path, size, r["label"]) for r in rows for path, size in listed(spark, r["path"])]
+    """Files of a manifest (path, size, label) in its order, patterns expanded in the order of names; one listing for all.
+
+    A path, or pattern, that no file is there for is an error.
+    """
+    rows = sorted(manifest.collect(), key=lambda r: r["place"])  # a row a path of the manifest
+    local = lambda p: re.sub("^file:/+", "/", p)
+    files = {local(path): (path, size) for path, size in listed(spark, [r["path"] for r in rows])} if rows else {}
+    found: list[tuple[str, int, str]] = []
+    for r in rows:
+        own = local(r["path"])
+        if own in files:
+            some = [own]
+        else:
+            fits = re.compile("".join("[^/]*" if c == "*" else "[^/]" if c == "?" else c if c in "[]" else re.escape(c) for c in own) + r"(?:/.*)?\Z")
+            some = sorted(p for p in files if fits.match(p))
+        if not some:
+            raise FileNotFoundError(r["path"])
+        found += [(*files[p], r["label"]) for p in some]
+    return found

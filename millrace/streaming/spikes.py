@@ -1,16 +1,16 @@
-"""Metric streams: replay in bounded batches, and spikes found with state kept for each series."""
+"""Metric streams: replay in bounded batches, and spikes found with a window of state for each series."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from millrace.sources.shared import shared_dir
+from millrace.operators.metrics import marked_spikes
+from millrace.operators.sums import sorted_sums
+from millrace.sources.shared import remove, shared_dir
 
 
 def replay(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -25,40 +25,65 @@ def replay(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFram
     return reader.parquet(path)
 
 
-def find_spikes(values: np.ndarray, past: list[float], window: int, sigmas: float) -> tuple[np.ndarray, list[float]]:
-    """Whether each value is above the mean of the window before it by so many deviations; and the last window."""
-    whole = np.r_[past, values]
-    found = np.zeros(len(values), bool)
-    if len(whole) > window:
-        before = np.lib.stride_tricks.sliding_window_view(whole, window)[:-1]
-        sigma = before.std(axis=1)
-        found[window - len(past) :] = (sigma >= 1e-10) & (whole[window:] > before.mean(axis=1) + sigmas * sigma)
-    return found, whole[-window:].tolist()
+@dataclass(frozen=True)
+class Spikes:
+    """A stream and how its batches are folded into rows (by, step, spike)."""
 
+    stream: DataFrame
+    by: str
+    step: str
+    value: str
+    window: int
+    sigmas: float
 
-def spikes(stream: DataFrame, by: str, step: str, value: str, window: int, sigmas: float) -> DataFrame:
+    def fold(self, batch: DataFrame, past: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """A batch's rows with ``spike``, and what the next batch needs: the last window of each series.
+
+        Rows of a batch, however many a series has, are sorted over ranges and dealt to blocks that carry the window before
+        them; the state's rows come before all of them.
+        """
+        rows = batch.select(self.by, self.step, F.col(self.value).cast("double").alias("value"))
+        placed = sorted_sums(rows.withColumn("_one", F.lit(1).cast("long")), [self.by], [self.step, "value"], {"_rank": "_one"}).drop("_one")
+        placed = placed.withColumns({"_rank": F.col("_rank") + self.window, "_new": F.lit(True)})
+        whole = placed if past is None else placed.unionByName(past.withColumn("_new", F.lit(False)))
+        found = marked_spikes(whole, [self.by], "_rank", ["value"], self.window, self.sigmas).where("_new").select(self.by, self.step, "spike")
+        last = whole.groupBy(self.by).agg(F.max("_rank").alias("_last"))
+        kept = whole.join(last, self.by).where(F.col("_rank") > F.col("_last") - self.window)
+        # of a series without new rows the state stays; ranks end at the window's width
+        state = kept.select(self.by, self.step, "value", (F.col("_rank") - F.col("_last") + self.window).alias("_rank"))
+        return found, state
+
+
+def spikes(stream: DataFrame, by: str, step: str, value: str, window: int, sigmas: float) -> Spikes:
     """Rows (by, step, spike) of a stream whose batches come in the order of ``step``; state is one window a series.
 
-    Rows of a batch may come in any order, as it is sorted by series; its size, which the reader bounds, bounds what a task
-    holds. A row that comes after its batch is taken as the next one of its series.
+    Rows of a batch may come in any order. A late row, one that comes after rows of a later step in an earlier batch, is
+    taken as the next one of its series. Series are told apart by ``by``, which isn't null.
     """
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    return Spikes(stream, by, step, value, window, sigmas)
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(step)
-        found, past = find_spikes(rows[value].to_numpy(float), past, window, sigmas)
-        state.update((past,))
-        yield pd.DataFrame({by: key[0], step: rows[step].to_numpy(), "spike": found})
 
-    output = f"{by} {fields[by]}, {step} {fields[step]}, spike boolean"
-    return stream.select(by, step, value).groupBy(by).applyInPandasWithState(update, output, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+def drained(found: Spikes, folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote to the folder that executors share.
+
+    A folder that is given goes on where it stopped. Rows and state are written under the batch's number, so a batch that
+    runs again replaces what it wrote; states of batches before the last are removed.
+    """
+    spark = found.stream.sparkSession
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    kind = found.stream.schema
+    state = f"`{found.by}` {kind[found.by].dataType.simpleString()}, `{found.step}` {kind[found.step].dataType.simpleString()}, value double, _rank long"
 
+    def fold(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        past = session.read.schema(state).parquet(f"{folder}/state/{number - 1}") if number else None
+        rows, new = found.fold(batch, past)
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        new.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        if number > 1:
+            remove(session, f"{folder}/state/{number - 2}")
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote to the folder that executors share."""
-    spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+    query = found.stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    output = f"`{found.by}` {kind[found.by].dataType.simpleString()}, `{found.step}` {kind[found.step].dataType.simpleString()}, spike boolean, batch long"
+    return spark.read.schema(output).parquet(f"{folder}/rows").drop("batch")
