@@ -212,3 +212,38 @@ def test_manifests_with_patterns(spark, tmp_path):
     (tmp_path / "mix.txt").write_text("web,*.npy\n")
     manifest = tables.mix_manifest(spark, str(tmp_path / "mix.txt"), str(tmp_path), "tok")
     assert [(p.rsplit("/", 1)[1], n, label) for p, n, label in shards.labelled_files(manifest, spark)] == [("a.npy", 8, "web"), ("b.npy", 8, "web")]
+
+
+def test_arithmetic_texts_follow_python():
+    import math
+    import random
+
+    rng = random.Random(3)
+    names = {n: getattr(math, n, None) or getattr(__import__("builtins"), n) for n in scalars.FUNCTIONS} | scalars.CONSTANTS | {"pow": pow, "__builtins__": {}}
+
+    def text(depth=0):
+        r = rng.random()
+        if depth > 4 or r < 0.3:
+            return rng.choice(["1", "2", "0.5", "1e2", ".25", "5.", "pi", "1_000", "0x1f"])
+        if r < 0.6:
+            return text(depth + 1) + rng.choice([" + ", "-", "*", "/", "//", "%"]) + text(depth + 1)
+        if r < 0.66:
+            return text(depth + 3) + " ** " + rng.choice(["2", "-1", "+3", "2**1"])
+        if r < 0.75:
+            return rng.choice("+-") + text(depth + 1)
+        return rng.choice(["(%s)", "abs(%s)", "max(%s, 2)", "round(%s, 1)", "atan2(%s, 1,)", "( %s )"]) % text(depth + 1)
+
+    for _ in range(1500):
+        t = text()
+        try:
+            want = eval(t, names)
+        except ArithmeticError as e:
+            want = type(e)
+        try:
+            got = scalars.value_of(t)
+        except ArithmeticError as e:
+            got = type(e)
+        assert isinstance(want, complex) or (type(got), got) == (type(want), want) or want != want, t
+    for t in ("", "()", "1 2", "(1,2)", "max(1,,2)", "abs", "abs(1", "1)", "2(3)", "1+", "*1", "1;2", "[1]", "3 pi", "007", "sqrt(2)(3)", "-"):
+        with pytest.raises(ValueError):
+            scalars.value_of(t)
