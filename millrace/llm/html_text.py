@@ -48,11 +48,17 @@ _FRAME = frozenset("div section ul ol dl table nav header footer aside form figu
 #: Elements that the start of one of the second kind closes.
 _CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _MARKED = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|cookies?|consent|notices?|popup|modal|comments?|disqus|respond|share|sharing|social|related|newsletter|subscribe|widget|pagination|pager)(?![a-z])")
+#: Marks of a page's layout; on what holds most of its text they say where it lies, not what it is.
+_LAYOUT = re.compile(r"(?<![a-z])(?:banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|share|sharing|social|widget|pagination|pager)(?![a-z])")
+#: Marks that say what a page has or lacks.
+_STATE = re.compile(r"(?<![\w-])(?:no|not|has|with|without|is|hide)-[\w-]+")
 #: What marks inside an article don't tell against: its own header.
 _OWN = re.compile("header")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']+)*+)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag that ends with its own slash, not with that of an unquoted value.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _SPACE = re.compile(r"\s+")
 #: Elements nested deeper than this lie beside each other.
 _DEPTH = 200
@@ -109,7 +115,7 @@ def parse(page: str) -> Element:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             element.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif tag not in _VOID and not m[3].endswith("/") and len(open_) < _DEPTH:
+        elif tag not in _VOID and not _CLOSED.search(m[3]) and len(open_) < _DEPTH:
             open_.append(element)
     if at < end:
         open_[-1].children.append(page[at:])
@@ -120,17 +126,37 @@ def holds(e: Element, tags: tuple[str, ...]) -> bool:
     return any(isinstance(c, Element) and (c.tag in tags or holds(c, tags)) for c in e.children)
 
 
-def dropped(e: Element, inside: bool, amid: bool) -> bool:
+def own_text(e: Element, link: bool = False) -> int:
+    """Characters of a subtree's text other than links, and what is never shown."""
+    if e.tag in _RAW or e.tag == "head":
+        return 0
+    link = link or e.tag in ("a", "button")
+    return sum(own_text(c, link) if isinstance(c, Element) else 0 if link else len(c.strip()) for c in e.children)
+
+
+def mostly(e: Element, root: Element) -> bool:
+    """Whether an element holds most of a page's own text."""
+    if not root.chars:
+        root.chars = own_text(root)
+    return 2 * own_text(e) > root.chars
+
+
+def dropped(e: Element, inside: bool, amid: bool, root: Element) -> bool:
     """Whether the markup says that an element is no part of an article; marks don't count on what holds the article.
 
-    ``inside`` an article its own header stays; ``amid`` text of its parent an inline element is part of that.
+    ``inside`` an article its own header stays; ``amid`` text of its parent an inline element is part of that. A form around
+    an article, or around most of the page's text, stays, and so does what is marked as layout but holds most of the text.
     """
+    if e.tag == "form" or e.role == "form":
+        return not holds(e, ("article", "main")) and not mostly(e, root)
     if e.tag in _DROP and not (inside and e.tag == "header") or e.role in _ROLES:
         return True
     if not e.marks or e.tag in ("html", "body", "article", "main") or amid and e.tag in _INLINE:
         return False
-    marks = _OWN.sub("", e.marks) if inside else e.marks
-    return bool(_MARKED.search(marks)) and not holds(e, ("article", "main"))
+    marks = _STATE.sub("", _OWN.sub("", e.marks) if inside else e.marks)
+    if not _MARKED.search(marks) or holds(e, ("article", "main")):
+        return False
+    return bool(_MARKED.search(_LAYOUT.sub("", marks))) or not mostly(e, root)
 
 
 def measure(host: str, top: Element) -> list[tuple[int, int]]:
@@ -196,8 +222,9 @@ def without(e: Element, template: dict[int, bool], whole: int, inside: bool = Fa
     e.children = kept
 
 
-def blocks(top: Element, marks: bool = True) -> list[str]:
-    """Texts of the blocks that stay, in page order."""
+def blocks(top: Element, marks: bool = True, root: Element | None = None) -> list[str]:
+    """Texts of the blocks that stay, in page order, of a page or of parts of the page ``root``."""
+    root = root or top
     out: list[str] = []
     held: list[str] = []
 
@@ -215,7 +242,7 @@ def blocks(top: Element, marks: bool = True) -> list[str]:
                 held.append(c)
             elif c.tag == "br":
                 held.append(" ")
-            elif c.tag in _RAW or c.tag == "head" or marks and dropped(c, inside, amid):
+            elif c.tag in _RAW or c.tag == "head" or marks and dropped(c, inside, amid, root):
                 if c.tag not in _INLINE and c.tag not in _RAW:
                     flush()
             elif c.tag in _INLINE:
@@ -230,12 +257,12 @@ def blocks(top: Element, marks: bool = True) -> list[str]:
     return out
 
 
-def articles(e: Element) -> list[Element]:
+def articles(e: Element, root: Element) -> list[Element]:
     """The outermost article or main elements that aren't inside something dropped."""
     found: list[Element] = []
     for c in e.children:
-        if isinstance(c, Element) and not dropped(c, False, False):
-            found.extend([c] if c.tag in ("article", "main") else articles(c))
+        if isinstance(c, Element) and not dropped(c, False, False, root):
+            found.extend([c] if c.tag in ("article", "main") else articles(c, root))
     return found
 
 
@@ -245,9 +272,9 @@ def text_of(host: str, page: str, template: dict[int, bool] | None = None, marks
     if template:
         measure(host, top)
         without(top, template, top.chars - top.links)
-    if marks and (found := articles(top)):
-        top = Element("", children=found)
-    return "\n".join(blocks(top, marks))
+        top.chars = 0
+    whole = Element("", children=found) if marks and (found := articles(top, top)) else top
+    return "\n".join(blocks(whole, marks, top))
 
 
 def host_of(url: str | None) -> str:

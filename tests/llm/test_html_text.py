@@ -20,6 +20,10 @@ from millrace.llm import html_text
     ("a < b <!-- no --> & c &copy; &#233;&nbsp;<br>d", "a < b & c © é d"),
     ("<p>unclosed <b>bold<p>next</p>", "unclosed bold\nnext"), ("<div>" * 5000 + "deep", "deep"), ("<a href='x>y", "<a href='x>y"),
     ("<article><p>a <a class='related'>b</a> c</p><span class=ad>no</span></article>", "a b c"),
+    ("<div class='page no-sidebar'><h1>T</h1><p>Body text</p></div>", "T\nBody text"), ("<div class='has-menu with-ads'><p>Body</div><div class=menu>no</div>", "Body"),
+    ("<form><h1>T</h1><p>Body text</p><input></form><form>q <input></form>", "T\nBody text"), ("<form id=aspnet><div class=menu>m</div><article><p>in</p></article><p>out</p></form>", "in"),
+    ("<div class=sidebar-layout><div class=sidebar>links</div><h1>T</h1><p>the text of the page</p></div>", "T\nthe text of the page"),
+    ("<p>short</p><div class=comments><p>a much longer comment of a reader</p></div>", "short"), ("<div class=menu><a href=/>one</a> <a href=/>two</a></div><p>x</p>", "x"),
     ("<article><header class=header><h1>T</h1></header><p>x</p><footer>by</footer></article>", "T\nx"),
 ])
 def test_text_of(page, text):
