@@ -68,8 +68,11 @@ def export_statistics(texts: DataFrame, by: str, text: str = "text") -> DataFram
 def offsets(docs: DataFrame, by: list[str], order: str) -> DataFrame:
     """Adds ``start`` and ``end`` of each document in its source's stream; ``order`` tells a source's documents apart.
 
-    Sums run over ids and lengths only and are joined back, so tokens don't go through them.
+    Sums run over ids and lengths only and are joined back, so tokens don't go through them; rows without any are summed as
+    they are.
     """
+    if not {"ids", "text"} & set(docs.columns):
+        return running_sum(docs, by, order, "n", "end").withColumn("start", F.col("end") - F.col("n"))
     placed = running_sum(docs.select(*by, order, "n"), by, order, "n", "end")
     return docs.join(placed.select(*by, order, "end", (F.col("end") - F.col("n")).alias("start")), [*by, order])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from millrace.functions import arrays
 from millrace.operators import documents, instances, loading, ordering, sampling
 from millrace.operators.sums import ranked
 from millrace.plans.base import SUM, TOK, checksum, docs, query, sized
+from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
+from millrace.streaming import loader
 
 BUCKETS = TOK + """, sized AS (SELECT doc_id, list_concat(list_transform(range(0, n >> 9), lambda i: 512), list_transform(list_filter([8, 7, 6, 5, 4], lambda k: (n >> k) & 1 = 1), lambda k: 1 << k)) AS s FROM docs),
 inst AS (SELECT doc_id * 1000 + i - 1 AS "index", s[i]::BIGINT AS length FROM sized, unnest(range(1, len(s) + 1)) AS u(i)),
@@ -269,3 +273,12 @@ def p10_until(spark, sf):
     whole = plan(spark, sf)
     parts = [loading.until(whole, steps=7).withColumn("unit", F.lit("steps")), loading.until(whole, tokens=900, batch_tokens=64).withColumn("unit", F.lit("tokens"))]
     return parts[0].unionByName(parts[1]).groupBy("unit", "batch").agg(F.count("*").alias("instances"))
+
+
+@query(f"{BATCHED} SELECT o_orderkey, batch, slot::INT AS slot FROM plan WHERE batch < (SELECT least(200, count(*) // 64) FROM orders)")
+def p1_streamed(spark, sf):
+    rows = ordering.shuffled(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1, 1)
+    cursor, folder = loading.Cursor(("orders",), 64, seed=1), f"{shared_dir(spark)}/loader-{uuid.uuid4().hex}"
+    for stop in (70, 200):  # stops within a micro-batch, and goes on
+        loader.run(rows, cursor, 64, folder, batches=50, stop=stop)
+    return spark.read.schema("o_orderkey long, batch long, slot int, part int").parquet(f"{folder}/rows").drop("part")

@@ -34,3 +34,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    system, path = _path(spark, name)
+    return system.exists(path)
+
+
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """A small file, written beside its name and moved there when whole."""
+    system, path = _path(spark, name)
+    _, own = _path(spark, f"{name}.{uuid.uuid4().hex}")
+    out = system.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(path, False)
+    system.rename(own, path)
+
+
+def read_text(spark: SparkSession, name: str) -> str:
+    return spark.read.text(name, wholetext=True).first()[0]

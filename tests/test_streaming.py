@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from millrace.operators import metrics
 from millrace.streaming import spikes
@@ -64,3 +65,28 @@ def test_a_long_series_in_one_batch_is_spread(spark):
     found, state = spikes.Spikes(spark.createDataFrame(rows, schema), "user_id", "event_id", "value", 16, 2.5).fold(spark.createDataFrame(rows, schema), None)
     assert {r.event_id: r.spike for r in found.collect()} == brute(rows, 16, 2.5) and state.count() == 16
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_loader_goes_on_after_a_stop(spark, tmp_path):
+    from millrace.operators.loading import Cursor
+    from millrace.operators.ordering import shuffled
+    from millrace.streaming import loader
+
+    plan = shuffled(spark.range(103).withColumnRenamed("id", "instance"), "instance", 3, 1)
+    order = [r.instance for r in plan.orderBy("position").collect()]
+    folder = str(tmp_path / "loader")
+    cursor = Cursor(("a",), batch_tokens=80, seed=3)
+
+    def read():
+        rows = spark.read.parquet(f"{folder}/rows").orderBy("batch", "slot").collect()
+        return [(r.batch, r.slot, r.instance) for r in rows]
+
+    stopped = loader.run(plan, cursor, 10, folder, batches=2, stop=5)
+    assert (stopped.batches, stopped.tokens) == (5, 400) and read() == [(k // 10, k % 10, order[k]) for k in range(50)]
+    ended = loader.run(plan, cursor, 10, folder, batches=2)  # what is left of the epoch then is no whole batch
+    assert ended.batches == 10 and read() == [(k // 10, k % 10, order[k]) for k in range(100)]
+    assert loader.run(plan, cursor, 10, folder, batches=2) == ended
+    assert loader.run(plan, Cursor(("a", "b"), batch_tokens=80, seed=3), 10, folder, batches=2).batches == 10
+    for other in (Cursor(("b",), batch_tokens=80, seed=3), Cursor(("a",), batch_tokens=40, seed=3), Cursor(("a",), batch_tokens=80, seed=4)):
+        with pytest.raises(ValueError):
+            loader.run(plan, other, 10, folder, batches=2)
