@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,20 @@ def utf8(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def release() -> None:
+    """Give freed memory back to the system, as Spark keeps idle Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def shared_files(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path in it of a path in the shared folder, for tasks that read single files of their own."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def as_int64(unsigned: np.ndarray) -> np.ndarray:
     return np.asarray(unsigned, dtype=np.uint64).view(np.int64)
 

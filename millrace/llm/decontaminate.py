@@ -11,24 +11,30 @@ an empty benchmark finds nothing, an empty table gives no rows. Columns besides
 kept by ``search`` and ``decontaminate`` and ignored by ``contamination``.
 
 The benchmark is cut into blocks of ``MOST_WINDOWS`` windows, an item of more into several with the windows between them.
-Every block is a broadcast of its own, and tasks search one block after another in each batch of texts, so the tables of
-one block are all that a task holds, and documents are gone through once whatever the benchmark's size.
+The tables of each block are built once and written to the shared folder. A task holds those of one block: with one block
+a worker reads them once; with more, it reads one block after another for each ``_HELD`` bytes of texts, so documents are
+gone through once whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import LOWER, slices, utf8
+from millrace.llm.common import LOWER, release, shared_dir, shared_files, slices, utf8
 
 WINDOW = 10
-#: Windows that one task holds as patterns at a time, less than 1 KB each.
-MOST_WINDOWS = 100_000
+#: Windows that one task holds as patterns at a time, about 40 bytes each, and the benchmark's distinct words.
+MOST_WINDOWS = 1_000_000
+_ODD, _MASK = 0x9E3779B97F4A7C15 >> 34 | 1, (1 << 32) - 1
+#: Bytes of texts that a task holds as words while it reads one block after another.
+_HELD = 16 << 20
 #: Lower-cases A-Z and turns every byte that isn't a digit, a letter or beyond ASCII into a space.
 _FOLD = bytes(LOWER[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -37,60 +43,113 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+def _spread(*places):
+    """One number of many bits for a block's words, or for two blocks' words; of plain numbers as of arrays."""
+    out = 0
+    for p in places:
+        out = ((out ^ p) * _ODD) & _MASK
+        out ^= out >> 15
+    return out
+
+
 class Search:
-    """Occurrences of patterns of one length."""
+    """Occurrences of patterns of one length, given as places in a stream of word numbers.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]], length: int):
+    The tables take about 40 bytes a pattern: one byte for each of at least eight slots of shifts, as many marks of the
+    buckets that aren't empty, and of each pattern its bucket, place and item, sorted by bucket.
+    """
+
+    def __init__(self, stream: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int):
         self.m, self.block = length, min(2, length)
         self.default = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[int, int], list[tuple[tuple[bytes, ...], set[str]]]] = {}
-        b = self.block
-        for p, items in patterns.items():
-            for end in range(b, length + 1):
-                key = p[end - b : end]
-                self.shift[key] = min(self.shift.get(key, self.default), length - end)
-            self.bucket.setdefault((hash(p[-b:]), hash(p[:b])), []).append((p, items))
-        self.last = {p[-1] for p in self.shift}
-
-    def find(self, text: list[bytes], found: set[str]) -> list[tuple[int, int]]:
-        """Word ranges of the occurrences; adds their items to ``found``."""
-        m, b, shift, default, bucket = self.m, self.block, self.shift, self.default, self.bucket
-        ranges, end, n, known = [], m, len(text), self.last
+        self.slots = (1 << max(10, (8 * len(starts) - 1).bit_length())) - 1
+        words = [stream[starts + i].astype(np.int64) for i in range(length)]
+        shift = np.full(self.slots + 1, min(self.default, 255), np.uint8)
+        for end in range(self.block, length + 1):  # nearer the end, smaller: what is written last stays
+            shift[_spread(*words[end - self.block : end]) & self.slots] = min(length - end, 255)
+        bucket = _spread(*words[-self.block :], *words[: self.block])
+        content = _spread(*words[::-1]) << 32 | _spread(*words)  # of equal bucket and content, nearly always equal words
+        order = np.lexsort((items, content, bucket))
+        bucket, content, starts, items = (x[order] for x in (bucket, content, starts, items))
+        new = np.ones(len(order), bool)
+        same = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])
+        for i in range(length):
+            same &= stream[starts[1:] + i] == stream[starts[:-1] + i]
+        new[1:] = ~same
+        kept = new.copy()
+        kept[1:] |= items[1:] != items[:-1]
+        self.bucket, self.start, self.item = bucket[new], starts[new].astype(np.int32), items[kept].astype(np.int32)
+        #: Where each pattern's items begin in ``item``.
+        self.first = np.append(np.flatnonzero(new[kept]), kept.sum()).astype(np.int32)
+        filled = np.zeros(self.slots + 1, np.uint8)
+        filled[bucket & self.slots] = 1
+        self.shift, self.filled = shift.tobytes(), filled.tobytes()
+
+    def find(self, text: list[int | None], stream: np.ndarray, found: set[int]) -> list[tuple[int, int]]:
+        """Word ranges of the occurrences; adds their items to ``found``. Words of no pattern are None."""
+        m, b, shift, filled, slots, default = self.m, self.block, self.shift, self.filled, self.slots, self.default
+        ranges, end, n = [], m, len(text)
         while end <= n:
-            if text[end - 1] not in known:  # no pattern's block ends in this word
-                end += default
+            if (last := text[end - 1]) is None:
+                end += m  # no pattern holds this word
                 continue
-            key = tuple(text[end - b : end])
-            if step := shift.get(key, default):
+            if b == 2:
+                if (before := text[end - 2]) is None:
+                    end += default
+                    continue
+                key = ((((before * _ODD) & _MASK) ^ (((before * _ODD) & _MASK) >> 15)) ^ last) * _ODD & _MASK
+            else:
+                key = (last * _ODD) & _MASK
+            key ^= key >> 15
+            if step := shift[key & slots]:
                 end += step
                 continue
             start = end - m
-            for p, items in bucket.get((hash(key), hash(tuple(text[start : start + b]))), ()):
-                if tuple(text[start:end]) == p:
-                    found |= items
-                    ranges.append((start, end))
+            first = text[start : start + b]
+            if None not in first:
+                for p in first:
+                    key = ((key ^ p) * _ODD) & _MASK
+                    key ^= key >> 15
+                if filled[key & slots]:
+                    self._compare(key, start, text, stream, ranges, found)
             end += 1
         return ranges
 
+    def _compare(self, key: int, start: int, text: list, stream: np.ndarray, ranges: list, found: set[int]) -> None:
+        a, z = np.searchsorted(self.bucket, [key, key + 1])
+        if a < z and None not in (own := text[start : start + self.m]):
+            same = (stream[self.start[a:z, None] + np.arange(self.m)] == own).all(1)
+            for i in (np.flatnonzero(same) + a).tolist():
+                found.update(self.item[self.first[i] : self.first[i + 1]].tolist())
+                ranges.append((start, start + self.m))
+
 
 class Patterns:
     """All windows of benchmark items, one search for each length."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        by: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+        self.names = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        self.place: dict[bytes, int] = {}
+        place, streams, by, size = self.place, [], {}, 0
         for name, text in items:
-            w = tuple(words(text))
+            w = words(text)
+            if not w:
+                continue
+            streams.append(np.fromiter((place.setdefault(x, len(place)) for x in w), np.int32, len(w)))
             length = min(window, len(w))
-            for i in range(len(w) - length + 1 if w else 0):
-                by.setdefault(length, {}).setdefault(w[i : i + length], set()).add(name)
-        self.searches = [Search(p, length) for length, p in sorted(by.items())]
+            starts = np.arange(size, size + len(w) - length + 1)
+            by.setdefault(length, []).append((starts, np.full(len(starts), number[name])))
+            size += len(w)
+        self.stream = np.concatenate([np.zeros(0, np.int32), *streams])
+        self.searches = [Search(self.stream, *map(np.concatenate, zip(*parts)), length) for length, parts in sorted(by.items())]
 
     def find(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged word ranges that are hit, and the items found."""
-        found: set[str] = set()
-        ranges = [r for s in self.searches for r in s.find(text, found)]
-        return merge(ranges), found
+        found: set[int] = set()
+        numbers = list(map(self.place.get, text))
+        ranges = [r for s in self.searches for r in s.find(numbers, self.stream, found)]
+        return merge(ranges), {self.names[i] for i in found}
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,28 +186,52 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "tex
     yield held
 
 
-def _search(docs: DataFrame, text: str, shared: list, window: int) -> DataFrame:
+_tables: dict[str, Patterns] = {}
+
+
+def _tabled(path: str) -> Patterns:
+    """Tables of a block; a worker keeps those that it read last."""
+    if path not in _tables:
+        _tables.clear()
+        system, own = shared_files(path)
+        with system.open_input_stream(own) as f:
+            _tables[path] = pickle.loads(f.read())
+    return _tables[path]
+
+
+def written(benchmark: DataFrame, item_id: str, item_text: str, window: int, most: int) -> list[str]:
+    """Paths in the shared folder of the tables of each block."""
+    folder = f"{shared_dir(benchmark.sparkSession)}/patterns-{uuid.uuid4().hex}"
+    system, own = shared_files(folder)
+    system.create_dir(own)
+    paths = []
+    for block in blocks(benchmark, item_id, item_text, window, most):
+        with system.open_output_stream(f"{own}/{len(paths)}") as f:
+            f.write(pickle.dumps(Patterns(block, window), pickle.HIGHEST_PROTOCOL))
+        paths.append(f"{folder}/{len(paths)}")
+    return paths
+
+
+def _search(docs: DataFrame, text: str, paths: list[str]) -> DataFrame:
     """Adds the columns of ``_HITS``; ``_ranges`` holds starts and ends by turns."""
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *_HITS])
 
     def run(batches):
-        one = Patterns(shared[0].value, window) if len(shared) == 1 else None
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 1 << 20 if len(paths) == 1 else _HELD):
                 texts = [words(t) for t in utf8(batch.column(place))]
                 ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
                 items: list[set[str]] = [set() for _ in texts]
-                for block in shared:
-                    patterns = one or Patterns(block.value, window)
+                for path in paths:
+                    patterns = _tabled(path)
                     for w, r, i in zip(texts, ranges, items):
                         found, names = patterns.find(w)
                         r += found
                         i |= names
-                    if one is None:
-                        vars(block).pop("_value", None)  # loaded again for the next batch
                 hits = [pa.array(map(len, texts), pa.int64()), pa.array([[x for r in merge(rs) for x in r] for rs in ranges], pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *hits], schema.names)
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -159,8 +242,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     They are named ``n_words``, ``ranges`` and ``items``, with underscores after that where ``docs`` has such a column.
     """
     own = [f"c{i}" for i in range(len(docs.columns))]  # names of the caller can't clash with ours
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text, window, most)]
-    found = _search(docs.toDF(*own), own[docs.columns.index(text)], shared, window)
+    found = _search(docs.toDF(*own), own[docs.columns.index(text)], written(benchmark, item_id, item_text, window, most))
     names = [*docs.columns]
     for name in ("n_words", "ranges", "items"):
         while name in names:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import LOWER, as_int64, materialise, shared_dir, small_batches, utf8
+from millrace.llm.common import LOWER, as_int64, materialise, release, shared_dir, shared_files, small_batches, utf8
 from millrace.llm.simhash import connect, links, majority
 
 WORDS = 5
@@ -97,6 +97,7 @@ def with_nodes(docs: DataFrame, text: str, words: int) -> DataFrame:
             columns = [*(batch.column(c) for c in kept), pa.array(np.arange(row, row + batch.num_rows)), *numbers]
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays(columns, [*kept, "_row", "_node", "_fp"])
+        release()
 
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -111,6 +112,9 @@ def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
                 np.add.at(n, slot(cut(t)), 1)
         for i in range(0, SLOTS, BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([zlib.compress(n[i : i + BLOCK].tobytes(), 1)])], ["block", "n"])
+        del n
+        cut.known.clear()
+        release()
 
     def add(found: pa.Table) -> pa.Table:
         n = np.zeros(BLOCK, np.uint64)
@@ -141,7 +145,7 @@ class RowLists:
 
     def chosen(self, rows: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
         """Whether each row number is listed; ``known`` holds what a task has read."""
-        system, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, folder = shared_files(self.path)
         out = np.zeros(len(rows), bool)
         parts = rows >> 40
         for part in np.unique(parts).tolist():
@@ -181,6 +185,9 @@ def postings(prints: DataFrame, text: str, words: int) -> DataFrame:
                     first, one = s[order], np.ones(len(order), np.int64)
                     salt = np.where(own[order] >= HOT, 1 + (node & 63), 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(one * node), pa.array((one * n).astype(np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(salt)], names)
+        seen.clear()
+        cut.known.clear()
+        release()
 
     listed = prints.select("_node", text).mapInArrow(grouped(run), "token long, node long, n int, pos int, salt int")
     dealt = listed.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
@@ -252,6 +259,8 @@ def shingle_sets(prints: DataFrame, rows: RowLists, text: str, words: int) -> Da
             batch = batch.filter(pa.array(rows.chosen(batch.column(0).to_numpy(), known)))
             for node, t in zip(batch.column(1).to_pylist(), utf8(batch.column(2))):
                 yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([cut(t).tobytes()])], ["node", "shingles"])
+        cut.known.clear()
+        release()
 
     return prints.select("_row", "_node", text).mapInArrow(grouped(run, 200), "node long, shingles binary")
 

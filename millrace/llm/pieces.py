@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import release, slices
+
 MARK = "▁"
 #: Units whose ids, and whose counts, a worker remembers; at the bound the memory starts anew.
-REMEMBER, COUNTED = 250_000, 1_000_000
+REMEMBER, COUNTED = 120_000, 1_000_000
 _UNIT = re.compile(" *[^ ]+| +$")
 
 
@@ -179,12 +181,11 @@ class Encoder:
         #: Decoded text of the units that don't come back as a space and themselves.
         self.odd: dict[str, str] = {}
         #: Units on which the agenda and the library differed; the library's ids hold.
-        self.differing = 0
+        self.differing: set[str] = set()
 
     def learn(self, units: set[str]) -> None:
         if len(self.coded) + len(units) > REMEMBER:
-            self.coded.clear()
-            self.odd.clear()
+            self.forget()
         units = list(units)
         library, encode, decode = self.merger.v.library, self.merger.encode, self.merger.decode
         # a unit is a text of its own to the library, which puts the first mark before it; the empty unit's mark stands alone
@@ -194,12 +195,20 @@ class Encoder:
                 continue
             ids = encode(unit)
             if unit and ids != known:
-                self.differing += 1
+                self.differing.add(unit)
                 ids = known
             self.coded[unit] = ",".join(map(str, ids))
             if (text := decode(ids)) != " " + unit:
                 self.odd[unit] = text
 
+    def forget(self) -> None:
+        for known in (self.coded, self.odd, self.differing):
+            known.clear()
+
+    def differ(self, units: list[str]) -> int:
+        """Units, repeats included, whose ids are the library's and not the agenda's."""
+        return sum(map(self.differing.__contains__, units)) if self.differing else 0
+
     def encode(self, texts: list[str]) -> list[list[str]]:
         """Units of each text; ``coded`` then has the ids of each, joined by commas, and ``text`` decodes them."""
         each = [self.merger.v.units(t) if self.merger.v.plain else [t] if t else [] for t in texts]
@@ -227,7 +236,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _some(texts: list[str], limit: int = 1 << 20):
+def _some(texts: list[str], limit: int = 1 << 18):
     """Texts in turns of about ``limit`` characters."""
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -257,14 +266,17 @@ def _numbers(joined: str) -> np.ndarray:
 
 
 def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, SHA-256 of its ids and of its decoded text and, if asked for, the ids. Null texts count as empty."""
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    """Per document: doc_id, n_tokens, SHA-256 of its ids and of its decoded text, n_differing and, if asked for, the ids.
+
+    ``n_differing`` counts its units on which the agenda differed from the library, whose ids hold. Null texts count as empty.
+    """
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_differing", T.LongType())]
     added += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
 
     def row(units, code):
         joined = ",".join(map(code.coded.__getitem__, units))
         digests = [hashlib.sha256(x.encode()).hexdigest() for x in (joined, code.text(units))]
-        return [joined.count(",") + 1 if joined else 0, *digests, *([_numbers(joined)] if ids else [])]
+        return [joined.count(",") + 1 if joined else 0, *digests, code.differ(units), *([_numbers(joined)] if ids else [])]
 
     return _mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, "text", added, row).drop("text")
 
@@ -276,7 +288,7 @@ def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFra
 
     def run(batches):
         code = encoder(model)
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, text, 1 << 20) for b in batches):
             rows: list[list] = []
             for some in _some([t or "" for t in batch.column(place).to_pylist()]):
                 rows.extend(row(units, code) for units in code.encode(some))
@@ -284,8 +296,8 @@ def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFra
             for k, f in enumerate(added):
                 columns.append(pa.array([r[k] for r in rows], _ARROW[f.dataType.simpleString()]))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
-        code.coded.clear()  # a worker that goes on with other stages doesn't keep them
-        code.odd.clear()
+        code.forget()  # a worker that goes on with other stages doesn't keep them
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ and word beginnings, fitted in numpy on a bounded sample of labelled rows (``MOS
 the order of a hash of the id); its features are those whose document frequency differs significantly with the label.
 
 Null and empty texts have no words and get the score of the intercept. Labels that are null are skipped; repeated
-labels of an id count once, as toxic if any is. Without labels of both kinds every score is the smoothed share of toxic
+labels of an id count once, as toxic if any is; of a labelled id with several texts the one of least hash is learned from. Without labels of both kinds every score is the smoothed share of toxic
 ones. Equal texts, and so repeated rows, get equal scores. Texts are scored whole, however long; an empty table gives no
 rows. Columns besides those named, whatever their names, are ignored by ``scores`` and kept by ``drop_toxic``. Labels name
 their rows by a column of the same name as the documents' id.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialise, slices
+from millrace.llm.common import materialise, release, slices
 
 #: Labelled rows of each kind that the regression is fitted on, at most.
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
@@ -266,7 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for code, n in trigrams(named).collect():
         counts[code] = n
     chosen = sample(labels, doc_id)
-    taken = materialise(named.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    # of an id's texts the one of least hash, so that what is learned doesn't depend on the order of tasks
+    own = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("own")
+    taken = materialise(named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(own).select("doc_id", "own.text", "toxic"), "labelled")
     shared = spark.sparkContext.broadcast(counts)
 
     def spread(batches):
@@ -309,6 +311,8 @@ def _scored(docs: DataFrame, text: str, model: Model) -> DataFrame:
         score = shared.value.scorer()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(t) for t in batch.column(place).to_pylist()], pa.float64())], schema.names)
+        del score
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -62,6 +62,30 @@ def test_blocks_are_bounded_and_whole(spark):
     assert set().union(*(windows(t) for b in found for _, t in b)) == set().union(*(windows((r.text or "").encode()) for r in items.collect()))
 
 
+def test_random_patterns_match_brute_force():
+    rng = random.Random(8)
+    for size in (2, 3, 30):
+        vocabulary = [f"w{i}" for i in range(size)]
+        make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+        items = [(i, make(rng.choice([1, 2, 5, 9, 10, 11, 30]))) for i in range(12)] + [(90, "w1 " * 300), (91, "w1 " * 12), (90, "w0 " * 10)]
+        patterns = decontaminate.Patterns([(str(i), t.encode()) for i, t in items])
+        for n in (0, 1, 2, 9, 10, 50, 200):
+            text = make(n) + " other " + make(n)
+            ranges, names = patterns.find(decontaminate.words(text.encode()))
+            _, n_hit, n_items, *_ = brute(text, items)
+            assert (sum(z - a for a, z in ranges), len(names)) == (n_hit, n_items)
+
+
+def test_tables_are_compact():
+    rng = random.Random(1)
+    vocabulary = [b"w%d" % i for i in range(5000)]
+    items = [(str(i), b" ".join(rng.choices(vocabulary, k=60))) for i in range(2000)] + [(f"copy {i}", b"one and the same passage that every one of these items has got") for i in range(5000)]
+    (search,) = decontaminate.Patterns(items).searches
+    assert len(search.start) == 2000 * 51 + 4 and len(search.item) == 2000 * 51 + 5000 * 4  # equal windows are one pattern
+    size = sum(x.nbytes for x in (search.bucket, search.start, search.item, search.first)) + len(search.shift) + len(search.filled)
+    assert size < 48 * len(search.item)
+
+
 def test_repeated_rows_long_texts_and_clashing_columns(spark):
     item = " ".join(f"word{i}" for i in range(10))
     long = "filler " * 60_000 + item

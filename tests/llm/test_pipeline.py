@@ -41,3 +41,9 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).schema.names == docs.schema.names, name
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

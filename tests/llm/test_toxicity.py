@@ -100,6 +100,45 @@ def test_finds_held_out_rows_of_the_test_tables(spark):
     assert sum(r.toxic for r in found) >= 0.97 * len(found) and sum(r.toxic for r in found) >= 0.88 * sum(r.toxic for r in rows)
 
 
+def test_repeated_ids_are_learned_from_the_text_of_least_hash(spark, corpus):
+    docs, labels = corpus
+    again = docs.where("doc_id < 50").withColumn("text", F.concat(F.lit("other words "), "text", F.lit(" moron")))
+    parts = [docs.unionByName(again).repartition(7), again.repartition(3, "text").unionByName(docs)]
+    models = [toxicity.fit(d, labels) for d in parts]
+    assert models[0].weights == models[1].weights and models[0].intercept == models[1].intercept
+    rows = [sorted(map(tuple, toxicity.scores(d, labels).collect())) for d in parts]
+    assert rows[0] == rows[1] and len(rows[0]) == 456
+
+
+def test_fit_matches_brute_force(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels)
+    channel, marked = toxicity.Channel(model.counts), {}
+    for r in labels.collect():
+        if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            marked[r.doc_id] = max(r.toxic, marked.get(r.doc_id, 0))
+    sets = {r.doc_id: toxicity.features(channel, r.text) for r in docs.collect() if r.doc_id in marked}
+    y = np.array([marked[i] for i in sets], float)
+    names = []
+    for f in sorted(set().union(*sets.values())):
+        has = np.array([f in s for s in sets.values()])
+        share = has.mean()
+        z = abs(has[y == 1].mean() - has[y == 0].mean()) / np.sqrt(share * (1 - share) * (1 / (y == 1).sum() + 1 / (y == 0).sum()) + 1e-12)
+        if has.sum() >= toxicity.LEAST_DOCS and z >= toxicity.LEAST_Z:
+            names.append(f)
+    x = np.array([[f in s for f in names] for s in sets.values()], float)
+    assert set(model.weights) == set(names) and len(names) >= 4
+    ones, w = np.c_[x, np.ones(len(x))], np.zeros(len(names) + 1)
+    penalty = np.r_[np.full(len(names), toxicity.RIDGE), 1e-12]
+    for _ in range(200):  # damped Newton steps to the same penalised optimum
+        p = 1 / (1 + np.exp(-ones @ w))
+        step = np.linalg.solve((ones * (p * (1 - p))[:, None]).T @ ones + np.diag(penalty), ones.T @ (p - y) + penalty * w)
+        w -= step * min(1, 1 / np.abs(step).max())
+    want = 1 / (1 + np.exp(-ones @ w))
+    got = np.array([1 / (1 + np.exp(-model.intercept - sum(model.weights[f] for f in s if f in model.weights))) for s in sets.values()])
+    assert np.abs(got - want).max() < 0.02
+
+
 def test_other_id_columns(spark, corpus):
     docs, labels = corpus
     named = toxicity.scores(docs.withColumnRenamed("doc_id", "name"), labels.withColumnRenamed("doc_id", "name"), doc_id="name")
