@@ -43,13 +43,15 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy", batch: int = 2000) -> DataFrame:
-    """Write a DataFrame once to the shared folder and return the written table.
+def materialise(df: DataFrame, name: str, compression: str = "snappy", batch: int = 2000, written: list[str] | None = None) -> DataFrame:
+    """Write a DataFrame once to the shared folder and return the written table, its path put on the list ``written``.
 
     Later jobs read it, so work in Python runs once and lost executors cost a rerun of single tasks only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if written is not None:
+        written.append(path)
     with small_batches(spark, batch):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,9 +11,13 @@ Rows of shingles that no other node lists go after one shuffle.
 
 Nodes that meet in a shingle's bucket and aren't ruled out by their sizes and places are verified on their whole sets.
 One leader of each bucket is tested against everybody in it first, and leaves it. Then small buckets test the pairs that
-no link connects yet; in large ones more leaders are tested, round after round, until all that remain in a bucket are in
+no link connects yet; in large ones more leaders are tested for a few rounds, until all that remain in a bucket are in
 one component; leaders come from components with few members there, so that members of one large component needn't be
-tested against each other. Buckets of many sets that aren't similar still cost a row a pair.
+tested against each other. A bucket that stays large holds sets that aren't similar, and is dealt anew by a second shared
+shingle: sets that are similar enough share two of the first n - ceil(0.8 n) + 2, then three, four (``DEEPEST``). A row
+whose further shingles are as many as its bucket's rows is tested against the bucket instead, so no row costs more than
+that, and most cost the length of their prefix in place of the size of their bucket. Buckets named by four shingles that
+stay large have more leaders tested, twice as many each round.
 
 Texts of fewer words have one shingle of all their words; null and empty texts have none and are equal to each other.
 Repeated rows and ties keep the row of the smallest id, null ids last; columns besides those named are kept, whatever
@@ -30,6 +34,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +42,17 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.common import LOWER, as_int64, materialise, release, shared_dir, shared_files, small_batches, utf8
 from millrace.llm.simhash import connect, links, majority
+from millrace.sources.shared import remove
 
 WORDS = 5
 #: Similarity as a fraction, so that bounds are exact.
 OF, PARTS = 4, 5
 SLOTS, BLOCK = 1 << 22, 1 << 16
-#: Buckets up to this size test all pairs after the first round; larger ones have one leader, and twice as many each round.
+#: Buckets up to this size test all pairs after their first round.
 SMALL = 16
+#: Leaders of a bucket before it is dealt by one more shingle, and shingles that name a bucket at most: with four, two sets
+#: of similarity 0.8 or more that have fewer in common are equal.
+LEADERS, DEEPEST = 4, 4
 #: Level (four times the logarithm of its documents) from which on a slot's shingles are dealt to many tasks.
 HOT = 52
 _CACHE = 1 << 18
@@ -102,6 +111,13 @@ def with_nodes(docs: DataFrame, text: str, words: int) -> DataFrame:
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def prefix(shingles: np.ndarray, level: np.ndarray, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the global order, rare ones first, of which similar sets share as many as named, and their levels."""
+    own = level[slot(shingles)]
+    order = np.lexsort((shingles, own))[: len(shingles) + (-OF * len(shingles)) // PARTS + shared]
+    return shingles[order], own[order]
+
+
 def levels(prints: DataFrame, text: str, words: int) -> np.ndarray:
     """Per slot four times the logarithm of how many documents have a shingle there."""
 
@@ -158,13 +174,12 @@ class RowLists:
         return out
 
 
-def postings(prints: DataFrame, text: str, words: int) -> DataFrame:
+def postings(prints: DataFrame, shared: Broadcast, text: str, words: int) -> DataFrame:
     """Rows (token, node, n, pos) of the shingles in a node's prefix that another node's prefix has as well.
 
     Rows are shuffled once, by shingle, and go through tasks as a stream, so no bucket is held. Shingles whose slot is
     very frequent are dealt to many tasks and kept without a look.
     """
-    shared = prints.sparkSession.sparkContext.broadcast(levels(prints, text, words).tobytes())
     names = ["token", "node", "n", "pos", "salt"]
 
     def run(batches):
@@ -180,10 +195,9 @@ def postings(prints: DataFrame, text: str, words: int) -> DataFrame:
                 s = cut(t)
                 n = len(s)
                 if n:
-                    own = level[slot(s)]
-                    order = np.lexsort((s, own))[: n + (-OF * n) // PARTS + 1]
-                    first, one = s[order], np.ones(len(order), np.int64)
-                    salt = np.where(own[order] >= HOT, 1 + (node & 63), 0).astype(np.int32)
+                    first, own = prefix(s, level)
+                    one = np.ones(len(first), np.int64)
+                    salt = np.where(own >= HOT, 1 + (node & 63), 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(one * node), pa.array((one * n).astype(np.int32)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(salt)], names)
         seen.clear()
         cut.known.clear()
@@ -275,33 +289,79 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def further(rows: DataFrame, sets: DataFrame, shared: Broadcast, depth: int) -> DataFrame:
+    """Rows (token, node, n, pos) of buckets named by ``depth`` shingles, dealt to buckets named by one more that follows."""
+
+    def run(batches):
+        level = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for node, held, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                s = np.frombuffer(held.as_buffer(), np.uint64)
+                first, _ = prefix(s, level, depth + 1)
+                for row in own:
+                    rest = first[row["pos"] + 1 :]
+                    token = (np.uint64(row["token"] & (1 << 64) - 1) ^ rest) * np.uint64(0x9E3779B97F4A7C15)
+                    token = (token ^ (token >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + rest
+                    one = np.ones(len(rest), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(one * node), pa.array((one * len(s)).astype(np.int32)), pa.array(np.arange(row["pos"] + 1, len(first), dtype=np.int32))], ["token", "node", "n", "pos"])
+        release()
+
+    own = rows.groupBy("node").agg(F.collect_list(F.struct("token", "pos")).alias("own"))  # a node's own shingles
+    return sets.join(own, "node").select("node", "shingles", "own").mapInArrow(grouped(run), "token long, node long, n int, pos int")
+
+
 def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
-    """Rows (node, root) for every node of ``nodes`` (node, row, fp) that is linked to another and isn't its root."""
-    live = materialise(postings(prints, text, words), "live", compression="zstd")
+    """Rows (node, root) for every node of ``nodes`` (node, row, fp) that is linked to another and isn't its root.
+
+    A round reads what the one before wrote, whose other tables are deleted.
+    """
+    spark, paths = prints.sparkSession, []
+
+    def write(df: DataFrame, name: str, **options) -> DataFrame:
+        return materialise(df, name, written=paths, **options)
+
+    shared = spark.sparkContext.broadcast(levels(prints, text, words).tobytes())
+    live = write(postings(prints, shared, text, words), "live", compression="zstd")
     met = RowLists(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")))
     sets = materialise(shingle_sets(prints, met, text, words), "sets")
-    known = materialise(verified(materialise(ball_pairs(nodes.select("node", "fp")), "balls"), sets), "links")
-    roots, leaders, small = materialise(connect(known), "roots"), 1, 0
+    known = write(verified(write(ball_pairs(nodes.select("node", "fp")), "balls"), sets), "links")
+    roots, leaders, small, depth = write(connect(known, paths), "roots"), 1, 0, 1
+    # how many shingles follow a row's own among those of which similar sets share one more
+    follow = F.expr(f"n - (n * {OF} + {PARTS - 1}) div {PARTS}") - F.col("pos")
     while not live.isEmpty():
+        before, paths[:] = [*paths], []
         named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         own = named.groupBy("token", "root").agg(F.count("*").alias("own"))
         sizes = own.groupBy("token").agg(F.sum("own").alias("size"), F.count("*").alias("roots")).where("roots > 1").select("token", "size")
         named = named.join(sizes, "token").join(own, ["token", "root"])
-        named = materialise(named.select("token", "node", "n", "pos", "root", "size", "own"), "named")
+        named = write(named.select("token", "node", "n", "pos", "root", "size", "own"), "named")
         few = named.where(F.col("size") <= small).select("token", "node", "n", "pos", "root")
         large = named.where(F.col("size") > small)
-        least = large.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min(F.struct("own", "node", "n", "pos", "root")).alias("x"))
-        chosen = materialise(least.select("token", "x.node", "x.n", "x.pos", "x.root"), "leaders")
+        deal = leaders > LEADERS and depth < DEEPEST
+        if deal:
+            chosen = large.where(follow + depth >= F.col("size")).select("token", "node", "n", "pos", "root")
+        else:
+            part = F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")
+            least = large.groupBy("token", part).agg(F.min(F.struct("own", "node", "n", "pos", "root")).alias("x"))
+            chosen = write(least.select("token", "x.node", "x.n", "x.pos", "x.root"), "leaders")
         first = few.unionByName(chosen).select("token", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "root")))
-        # the first shingle that two sets share bounds what they can share from there on
-        bound = 1 + F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) - 1
+        # the last shingle of those that name a bucket bounds what two sets can share from there on
+        bound = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) + (depth - 1)
         pairs = first.join(named, "token").where((F.col("root") != F.col("_root")) & (bound * (OF + PARTS) >= (F.col("n") + F.col("_n")) * OF))
         pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        found = materialise(verified(materialise(pairs, "pairs"), sets), "links")
-        known = known.unionByName(found)
-        roots = materialise(connect(known), "roots")
-        live = materialise(large.select("token", "node", "n", "pos").join(chosen.select("token", "node"), ["token", "node"], "left_anti"), "live")
-        leaders, small = leaders * 2, SMALL
+        found = write(verified(write(pairs, "pairs"), sets), "links")
+        known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
+        roots = write(connect(known, paths), "roots")
+        if deal:
+            live = write(further(large.where(follow + depth < F.col("size")), sets, shared, depth), "live", compression="zstd")
+            leaders, depth = 1, depth + 1
+        else:
+            live = write(large.select("token", "node", "n", "pos").join(chosen.select("token", "node"), ["token", "node"], "left_anti"), "live")
+            leaders *= 2
+        small = SMALL
+        for path in before:
+            remove(spark, path)
+    shared.destroy()
     return roots
 
 

@@ -86,11 +86,12 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def connect(edges: DataFrame) -> DataFrame:
+def connect(edges: DataFrame, written: list[str] | None = None) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root) for every node that has an edge and isn't a root.
 
     Alternates large-star and small-star contraction. Each step is a pre-aggregated minimum per node and a join
-    whose hot keys Spark can split; reliable checkpoints cut the lineage. It ends when a round changes nothing.
+    whose hot keys Spark can split; reliable checkpoints cut the lineage. It ends when a round changes nothing. The paths
+    of what it writes, its result among them, are put on the list ``written``.
     """
 
     def state(df):
@@ -106,10 +107,10 @@ def connect(edges: DataFrame) -> DataFrame:
         small = joined.where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         return small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()
 
-    current = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v > u").distinct(), "edges")
+    current = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v > u").distinct(), "edges", written=written)
     before = state(current)
     while before[0]:
-        current = materialise(contract(current), "star")
+        current = materialise(contract(current), "star", written=written)
         now = state(current)
         if now == before:
             break

@@ -54,6 +54,22 @@ def test_pipeline_stage_links_all_pairs_of_similarity_08(spark, monkeypatch, sma
     assert len(want) < len(set(texts)) - 20  # most near copies aren't equal
 
 
+@pytest.mark.parametrize("leaders, deepest", [(1, 4), (1, 2), (4, 1)])
+def test_buckets_dealt_by_further_shingles(spark, monkeypatch, leaders, deepest):
+    """Texts put together of few lines in one order: all shingles are frequent, and most texts that share some aren't similar."""
+    for name, n in (("SMALL", 2), ("LEADERS", leaders), ("DEEPEST", deepest)):
+        monkeypatch.setattr(neardup, name, n)
+    dealt, further = [], neardup.further
+    monkeypatch.setattr(neardup, "further", lambda rows, sets, shared, depth: dealt.append(depth) or further(rows, sets, shared, depth))
+    rng = random.Random(7)
+    lines = [" ".join(f"l{i}w{j}" for j in range(rng.choice([3, 6, 9, 30]))) for i in range(14)]
+    texts = [" ".join(line for line in lines if rng.random() < rng.choice([0.4, 0.9])) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = kept(texts)
+    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == want
+    assert dealt == list(range(1, deepest)) and 1 < len(want) < 300
+
+
 def test_rows_that_meet_again_over_batches():
     """Of rows sorted by token and node, whatever their batches: one each of those whose token has more than one node."""
     rng = np.random.default_rng(2)
