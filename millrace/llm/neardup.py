@@ -11,10 +11,10 @@ Rows of shingles that no other node lists go after one shuffle.
 
 Nodes that meet in a shingle's bucket and aren't ruled out by their sizes and places are verified on their whole sets.
 One leader of each bucket is tested against everybody in it first, and leaves it. Then small buckets test the pairs that
-no link connects yet; in large ones more leaders are tested for a few rounds, until all that remain in a bucket are in
+no link connects yet; in large ones twice as many leaders are tested each round, until all that remain in a bucket are in
 one component; leaders come from components with few members there, so that members of one large component needn't be
-tested against each other. A bucket that stays large holds sets that aren't similar, and is dealt anew by a second shared
-shingle: sets that are similar enough share two of the first n - ceil(0.8 n) + 2, then three, four (``DEEPEST``). A row
+tested against each other. Buckets that stay large hold sets that aren't similar. As soon as a round of leaders costs as
+much, they are dealt anew by a second shared shingle: sets that are similar enough share two of the first n - ceil(0.8 n) + 2, then three, four (``DEEPEST``). A row
 whose further shingles are as many as its bucket's rows is tested against the bucket instead, so no row costs more than
 that, and most cost the length of their prefix in place of the size of their bucket. Buckets named by four shingles that
 stay large have more leaders tested, twice as many each round.
@@ -35,7 +35,7 @@ import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
@@ -50,9 +50,10 @@ OF, PARTS = 4, 5
 SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Buckets up to this size test all pairs after their first round.
 SMALL = 16
-#: Leaders of a bucket before it is dealt by one more shingle, and shingles that name a bucket at most: with four, two sets
-#: of similarity 0.8 or more that have fewer in common are equal.
-LEADERS, DEEPEST = 4, 4
+#: Buckets are dealt by one more shingle when a round of leaders would make as many rows, times this.
+PATIENCE = 1.0
+#: Shingles that name a bucket at most: two sets of similarity 0.8 or more that have fewer than four in common are equal.
+DEEPEST = 4
 #: Level (four times the logarithm of its documents) from which on a slot's shingles are dealt to many tasks.
 HOT = 52
 _CACHE = 1 << 18
@@ -310,6 +311,12 @@ def further(rows: DataFrame, sets: DataFrame, shared: Broadcast, depth: int) ->
     return sets.join(own, "node").select("node", "shingles", "own").mapInArrow(grouped(run), "token long, node long, n int, pos int")
 
 
+def cheaper(large: DataFrame, rest: Column, leaders: int) -> bool:
+    """Whether dealing buckets by one more shingle makes no more rows than testing so many leaders of each."""
+    costs = large.agg(*(F.sum(F.least(c, "size")) for c in (rest, F.lit(leaders)))).first()
+    return costs[0] is not None and costs[0] <= PATIENCE * costs[1]
+
+
 def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
     """Rows (node, root) for every node of ``nodes`` (node, row, fp) that is linked to another and isn't its root.
 
@@ -325,7 +332,8 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
     met = RowLists(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")))
     sets = materialise(shingle_sets(prints, met, text, words), "sets")
     known = write(verified(write(ball_pairs(nodes.select("node", "fp")), "balls"), sets), "links")
-    roots, leaders, small, depth = write(connect(known, paths), "roots"), 1, 0, 1
+    held: list[str] = []
+    roots, leaders, small, depth = materialise(connect(known, held), "roots", written=held), 1, 0, 1
     # how many shingles follow a row's own among those of which similar sets share one more
     follow = F.expr(f"n - (n * {OF} + {PARTS - 1}) div {PARTS}") - F.col("pos")
     while not live.isEmpty():
@@ -335,9 +343,11 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
         sizes = own.groupBy("token").agg(F.sum("own").alias("size"), F.count("*").alias("roots")).where("roots > 1").select("token", "size")
         named = named.join(sizes, "token").join(own, ["token", "root"])
         named = write(named.select("token", "node", "n", "pos", "root", "size", "own"), "named")
+        if named.isEmpty():
+            break
         few = named.where(F.col("size") <= small).select("token", "node", "n", "pos", "root")
         large = named.where(F.col("size") > small)
-        deal = leaders > LEADERS and depth < DEEPEST
+        deal = 1 < leaders and depth < DEEPEST and cheaper(large, follow + depth, leaders)
         if deal:
             chosen = large.where(follow + depth >= F.col("size")).select("token", "node", "n", "pos", "root")
         else:
@@ -350,8 +360,10 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
         pairs = first.join(named, "token").where((F.col("root") != F.col("_root")) & (bound * (OF + PARTS) >= (F.col("n") + F.col("_n")) * OF))
         pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         found = write(verified(write(pairs, "pairs"), sets), "links")
-        known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
-        roots = write(connect(known, paths), "roots")
+        if not found.isEmpty():
+            known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
+            before, held = before + held, []
+            roots = materialise(connect(known, held), "roots", written=held)
         if deal:
             live = write(further(large.where(follow + depth < F.col("size")), sets, shared, depth), "live", compression="zstd")
             leaders, depth = 1, depth + 1

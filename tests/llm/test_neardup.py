@@ -54,10 +54,10 @@ def test_pipeline_stage_links_all_pairs_of_similarity_08(spark, monkeypatch, sma
     assert len(want) < len(set(texts)) - 20  # most near copies aren't equal
 
 
-@pytest.mark.parametrize("leaders, deepest", [(1, 4), (1, 2), (4, 1)])
-def test_buckets_dealt_by_further_shingles(spark, monkeypatch, leaders, deepest):
+@pytest.mark.parametrize("patience, deepest", [(1e9, 4), (1e9, 2), (0, 1)])
+def test_buckets_dealt_by_further_shingles(spark, monkeypatch, patience, deepest):
     """Texts put together of few lines in one order: all shingles are frequent, and most texts that share some aren't similar."""
-    for name, n in (("SMALL", 2), ("LEADERS", leaders), ("DEEPEST", deepest)):
+    for name, n in (("SMALL", 2), ("PATIENCE", patience), ("DEEPEST", deepest)):
         monkeypatch.setattr(neardup, name, n)
     dealt, further = [], neardup.further
     monkeypatch.setattr(neardup, "further", lambda rows, sets, shared, depth: dealt.append(depth) or further(rows, sets, shared, depth))
