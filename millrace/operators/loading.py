@@ -57,19 +57,19 @@ def growth_plan(plan: DataFrame, kind: str, cycles: int) -> DataFrame:
     """Rows (cycle, step, bucket, batches, first): how many batches of each bucket go into each step of each cycle.
 
     A cycle has as many steps as there are buckets; shares are rounded half to even, and the last step takes what is left.
-    A bucket whose rounded shares exceed its batches is an error. For few buckets and cycles.
+    Where rounded shares sum to more than a bucket has, the last step has fewer, and if need be those before it. For few
+    buckets and cycles.
     """
     t = plan.select("bucket", "first", F.floor(F.col("batches") / cycles).alias("_each"), F.count("*").over(Window.partitionBy()).alias("_buckets"))
     steps = t.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_buckets") - 1)))
     by = Window.partitionBy("bucket")
     share = odds(kind, F.col("bucket"), F.col("_buckets"), F.col("step"))
     rounded = steps.withColumn("_odds", share).withColumn("_n", F.bround(F.col("_odds") / F.sum("_odds").over(by) * F.col("_each")).cast("long"))
-    rest = F.col("_each") - F.sum("_n").over(by)
-    over = F.raise_error(F.concat(F.lit("shares exceed the batches of bucket "), F.col("bucket").cast("string"))).cast("long")
-    rest = F.when(rest >= 0, rest).otherwise(over)
-    counted = rounded.withColumn("batches", F.col("_n") + F.when(F.col("step") == F.col("_buckets") - 1, rest).otherwise(rest * 0))
-    before = F.coalesce(F.sum("batches").over(by.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counted.withColumn("_before", before).withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
+    ordered = by.orderBy("step")
+    shared = F.least(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)), F.col("_each"))
+    upto = rounded.withColumn("_upto", F.when(F.col("step") == F.col("_buckets") - 1, F.col("_each")).otherwise(shared))
+    counted = upto.withColumn("_before", F.lag("_upto", 1, 0).over(ordered)).withColumn("batches", F.col("_upto") - F.col("_before"))
+    placed = counted.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
     return placed.select("cycle", "step", "bucket", "batches", (F.col("first") + F.col("cycle") * F.col("_each") + F.col("_before")).alias("first"))
 
 

@@ -117,6 +117,17 @@ def test_growth_uses_every_batch_once(spark, kind):
     assert len({r.batches for r in even}) == 1
 
 
+def test_growth_with_shares_rounded_up_takes_from_the_last_steps(spark):
+    plan = spark.createDataFrame([(k, 33 * k, 33) for k in range(6)], "bucket long, first long, batches long")
+    growth = loading.growth_plan(plan, "linear", 3)
+    assert [r.batches for r in growth.where("bucket = 0 AND cycle = 0").orderBy("step").collect()] == [3, 3, 2, 2, 1, 0]
+    assert sorted(r.batch for r in loading.growth_order(growth, 1, 1).collect()) == list(range(198))
+    many = spark.createDataFrame([(k, 34 * k, 34) for k in range(8)], "bucket long, first long, batches long")
+    counts = loading.growth_plan(many, "linear", 1).groupBy("bucket").agg({"batches": "sum"}).collect()
+    least = loading.growth_plan(many, "linear", 1).agg({"batches": "min"}).first()[0]
+    assert {r[1] for r in counts} == {34} and least >= 0
+
+
 def test_cursor():
     c = Cursor(("a", "b"), 16).advanced(4)
     state = c.state()
