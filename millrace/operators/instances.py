@@ -13,6 +13,9 @@ from millrace.operators.documents import offsets
 from millrace.operators.ordering import shuffled
 from millrace.operators.sums import running_sum
 
+#: Instances that are numbered at once.
+BLOCK = 1 << 16
+
 
 def concat_and_chunk(docs: DataFrame, size: int, by: list[str], order: str, ids: str = "ids", most: int | None = None) -> DataFrame:
     """Rows (by, instance, input_ids): consecutive windows of a source's stream; its remainder is dropped.
@@ -150,6 +153,14 @@ def labelled(rows: DataFrame, metadata: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(metadata, on, "left")
 
 
+def numbered(sizes: DataFrame, by: list[str], n: str = "n", name: str = "instance", block: int = BLOCK) -> DataFrame:
+    """A row (by, instance) for each number below ``n`` of each source; numbers are made by blocks, which tasks share."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.lit(block).cast("long")
+    blocks = sizes.where(F.col(n) > 0).select(*by, n, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, step)).alias("_low")).repartition(parts, *by, "_low")
+    return blocks.select(*by, F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + block, F.col(n)) - 1)).alias(name))
+
+
 def dense_index(df: DataFrame, by: list[str], instance: str) -> DataFrame:
     """Adds ``index``: sources one after another, their instances in order."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))

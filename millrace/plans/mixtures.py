@@ -112,7 +112,7 @@ inst AS (SELECT source, i AS instance, row_number() OVER (PARTITION BY source OR
 
 def instance_rows(spark, sf):
     sizes = sized(spark, sf).groupBy("source").agg(F.expr("sum(n) div 64").alias("n")).where("n > 0")
-    return sizes.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("instance")), sizes
+    return instances.numbered(sizes, ["source"]), sizes
 
 
 @query(f"""{TOK}{CHUNKS}, want AS (SELECT source, n, floor(3000.0::DOUBLE * n / sum(n) OVER ())::BIGINT AS w FROM sized), chunked AS (SELECT source, n, w - w % 4 AS w FROM want)

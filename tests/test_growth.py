@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import documents
+from millrace.operators import documents, instances
 
 
 def plan_of(df):
@@ -31,3 +31,10 @@ def test_tokens_of_many_slices_stay_with_their_rows(spark):
     df = spark.range(3000).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("ä"), 1000)).alias("text")).coalesce(1)
     wrong = documents.tokenized(df).where((F.size("ids") != F.col("n")) | (F.array_join(F.transform(F.slice("ids", 1, F.char_length(F.col("id").cast("string"))), lambda x: F.char(x)), "") != F.col("id").cast("string")))
     assert wrong.count() == 0
+
+
+def test_instances_of_one_source_are_numbered_by_many_tasks(spark):
+    sizes = spark.createDataFrame([("a", 1003), ("b", 1), ("c", 0)], "source string, n long")
+    rows = instances.numbered(sizes, ["source"], block=10).withColumn("task", F.spark_partition_id())
+    assert sorted((r.source, r.instance) for r in rows.collect()) == [*(("a", i) for i in range(1003)), ("b", 0)]
+    assert rows.where("source = 'a'").select("task").distinct().count() > 1
