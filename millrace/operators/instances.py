@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, size: int, strategy: str = "truncate", ids: str = "i
         return docs.withColumn("piece", F.lit(0)).withColumn(ids, F.slice(ids, 1, size)).withColumn("n", F.least("n", F.lit(size)).cast("long"))
     cut = docs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {size} as int)"))))
     cut = cut.withColumn(ids, F.slice(ids, F.col("piece") * size + 1, size))
-    return cut.withColumn("n", F.size(ids).cast("long"))
+    return cut.withColumn("n", F.least(F.lit(size), F.col("n") - F.col("piece") * size).cast("long"))
 
 
 def packed(pieces: DataFrame, size: int, group: str, order: str, n: str = "n") -> DataFrame:

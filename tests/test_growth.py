@@ -38,3 +38,10 @@ def test_instances_of_one_source_are_numbered_by_many_tasks(spark):
     rows = instances.numbered(sizes, ["source"], block=10).withColumn("task", F.spark_partition_id())
     assert sorted((r.source, r.instance) for r in rows.collect()) == [*(("a", i) for i in range(1003)), ("b", 0)]
     assert rows.where("source = 'a'").select("task").distinct().count() > 1
+
+
+def test_lengths_of_pieces_need_no_tokens(spark):
+    docs = documents.tokenized(spark.createDataFrame([(1, "x" * 9)], "doc_id long, text string"))
+    cut = instances.pieces(docs, 4, "fragment")
+    assert [(r.piece, r.n, len(r.ids)) for r in cut.orderBy("piece").collect()] == [(0, 4, 4), (1, 4, 4), (2, 2, 2)]
+    assert "ArrowEvalPython" not in plan_of(cut.select("piece", "n"))
