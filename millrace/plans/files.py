@@ -12,8 +12,8 @@ from millrace.sources import shards, sink, tables
 from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
 
-#: Ids of a byte range that one task reads, and of a part that one task writes.
-RANGE, PART = 1 << 17, 1 << 20
+#: Ids of a byte range, of the ranges that one task reads, and of a part that one task writes.
+RANGE, TASK, PART = 1 << 17, 1 << 21, 1 << 20
 
 
 def written(spark, sf, width="u4", values=None):
@@ -38,7 +38,7 @@ TOKENS = f"""{TOK}, tokens AS (SELECT source, "start" + i - 1 AS p, ids[i] AS to
 @query(f"""{TOKENS} SELECT source, p // {RANGE} * {RANGE} AS chunk_start, count(*)::INT AS n, sum((p % {RANGE} + 1) * token)::BIGINT AS checksum, arg_max(token, p) AS last FROM tokens GROUP BY ALL""")
 def a1_range_scan(spark, sf):
     names, streams = written(spark, sf)
-    rows = shards.token_ranges(spark, streams, "u4", RANGE).join(named(spark, names), "path_idx")
+    rows = shards.token_ranges(spark, streams, "u4", RANGE, TASK).join(named(spark, names), "path_idx")
     return rows.select("source", "chunk_start", F.size("ids").alias("n"), checksum(F.col("ids")).alias("checksum"), F.element_at("ids", -1).alias("last"))
 
 
@@ -63,7 +63,7 @@ def a4_source_counts(spark, sf):
 def a5_file_documents(spark, sf):
     names, streams = written(spark, sf)
     _, masks = written(spark, sf, "u1", F.transform("ids", lambda x: (x != 32).cast("int")))
-    found = shards.token_documents(spark, streams, "u4", 0, masks=masks, chunk=RANGE).join(named(spark, names), "path_idx")
+    found = shards.token_documents(spark, streams, "u4", 0, masks=masks, chunk=RANGE, task=TASK).join(named(spark, names), "path_idx")
     kept = F.size(F.filter("mask", lambda m: m == 1))
     return found.select("source", "start", "end", kept.alias("kept"), checksum(F.col("ids")).alias("checksum"))
 
@@ -71,7 +71,7 @@ def a5_file_documents(spark, sf):
 @query(f"""{TOK} SELECT source, s AS "start", least("end", s + 700) AS "end", {SUM.format('ids[s - "start" + 1:s - "start" + 700]')} AS checksum FROM docs, unnest(range("start", "end", 700)) AS u(s)""")
 def a5_fragmented(spark, sf):
     names, streams = written(spark, sf)
-    found = shards.token_documents(spark, streams, "u4", 0, most=700, strategy="fragment", chunk=RANGE).join(named(spark, names), "path_idx")
+    found = shards.token_documents(spark, streams, "u4", 0, most=700, strategy="fragment", chunk=RANGE, task=TASK).join(named(spark, names), "path_idx")
     return found.select("source", "start", "end", checksum(F.col("ids")).alias("checksum"))
 
 
@@ -79,14 +79,14 @@ def a5_fragmented(spark, sf):
 SELECT source, instance, sum(place * token)::BIGINT AS checksum FROM chunked GROUP BY ALL HAVING count(*) = 64""")
 def d1_from_files(spark, sf):
     names, streams = written(spark, sf)
-    chunks = shards.range_instances(shards.token_ranges(spark, streams, "u4", RANGE), 64).join(named(spark, names), "path_idx")
+    chunks = shards.range_instances(shards.token_ranges(spark, streams, "u4", RANGE, TASK), 64).join(named(spark, names), "path_idx")
     return chunks.select("source", "instance", checksum(F.col("input_ids")).alias("checksum"))
 
 
 @query(f"""{TOK} SELECT source, "start", "end" FROM docs""")
 def b2_sidecar(spark, sf):
     names, streams = written(spark, sf)
-    ranges = shards.token_ranges(spark, streams, "u4", RANGE)
+    ranges = shards.token_ranges(spark, streams, "u4", RANGE, TASK)
     places = F.explode(documents.end_places(F.col("ids"), F.col("chunk_start"))).alias("end")
     folder = f"{shared_dir(spark)}/bounds-{uuid.uuid4().hex}"
     sink.write_bounds(documents.boundaries(ranges.select("path_idx", places), ["path_idx"]), "path_idx", folder)

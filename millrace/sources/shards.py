@@ -21,7 +21,7 @@ from millrace.operators.documents import boundaries, end_places, fragments, pair
 from millrace.operators.sampling import read_ranges
 from millrace.operators.sums import sorted_sums
 
-#: Ids of a range that a task reads.
+#: Ids of a range.
 CHUNK = 1 << 20
 
 
@@ -65,7 +65,7 @@ class _Pruned(DataSourceReader):
     start = "chunk_start"
 
     def __init__(self, options):
-        self.chunk = int(options.get("chunk", CHUNK))
+        self.chunk, self.task = int(options.get("chunk", CHUNK)), int(options.get("task", 0))
         self.streams = _streams(options["files"], options["width"])
         self.bounds: dict[str, list] = {"path_idx": [0, len(self.streams) - 1], self.start: [0, max((s.items for s in self.streams), default=0)]}
         self.chosen: dict[str, set] = {}
@@ -97,14 +97,21 @@ class _Pruned(DataSourceReader):
 
     def partitions(self):
         whole = ((k, start, min(start + self.chunk, s.items)) for k, s in enumerate(self.streams) for start in range(0, s.items, self.chunk))
-        return [InputPartition(x) for x in whole if self.meets(*x)]
+        found = [x for x in whole if self.meets(*x)]
+        each = max(1, self.task // self.chunk)
+        return [InputPartition(found[i : i + each]) for i in range(0, len(found), each)]
+
+    def read(self, partition):
+        for part in partition.value if partition else ():  # there is none if no range is left
+            yield from self.read_range(*part)
 
 
 class TokenRanges(DataSource):
     """Headerless arrays of ids, read by ranges of bytes: rows (path_idx, path, chunk_start, ids, follows).
 
-    Options: ``files`` (JSON), ``width``, ``chunk`` (ids a row). A task reads its own range and one id more, ``follows``,
-    which is null at a stream's end. Filters on ``path_idx`` and ``chunk_start`` choose the ranges that are read at all.
+    Options: ``files`` (JSON), ``width``, ``chunk`` (ids a row), ``task`` (ids a task: it reads so many ranges one after
+    another, else one). Of a range one id more is read, ``follows``, which is
+    null at a stream's end. Filters on ``path_idx`` and ``chunk_start`` choose the ranges that are read at all.
     """
 
     @classmethod
@@ -123,10 +130,7 @@ class _Ranges(_Pruned):
         low, high = self.bounds["chunk_start"]
         return super().meets(k, start, end) and low <= start <= high and start in self.chosen.get("chunk_start", {start})
 
-    def read(self, partition):
-        if partition is None:  # no range is left
-            return
-        k, start, end = partition.value
+    def read_range(self, k: int, start: int, end: int):
         stream = self.streams[k]
         ids = stream.read(start, end + 1).astype(np.int64)
         after = int(ids[end - start]) if len(ids) > end - start else None
@@ -137,7 +141,7 @@ class _Ranges(_Pruned):
 class TokenDocuments(DataSource):
     """Documents of streams of ids: rows (path_idx, start, end, ids, mask), each made by the task in whose range it starts.
 
-    A task reads on past its range until its last document ends, so documents need no shuffle, however ranges cut them.
+    A range is read on past its end until its last document ends, so documents need no shuffle, however ranges cut them.
     Options as above, and ``masks`` (files of a byte an id), ``end``, ``begin``, ``close``, ``most`` and ``strategy``.
     """
 
@@ -171,10 +175,7 @@ class _Documents(_Pruned):
             at = at[(after == self.begin) & ((at < len(ids)) | (base + len(ids) == total))]
         return base + at
 
-    def read(self, partition):
-        if partition is None:
-            return
-        k, low, high = partition.value
+    def read_range(self, k: int, low: int, high: int):
         stream = self.streams[k]
         more = self.begin is not None  # one id more than is looked at
         base = max(low - 1, 0)
@@ -255,12 +256,12 @@ def permuted_rows(files: DataFrame, path: str, seed: int) -> DataFrame:
     return sorted_sums(files.withColumns({"_key": F.sha2(F.concat_ws(":", F.lit(str(seed)), path), 256), "_one": F.lit(1).cast("long")}), [], ["_key", path], {"place": "_one"}).withColumn("place", F.col("place") - 1).drop("_key", "_one")
 
 
-def token_ranges(spark: SparkSession, files: list, width: str, chunk: int = CHUNK) -> DataFrame:
+def token_ranges(spark: SparkSession, files: list, width: str, chunk: int = CHUNK, task: int | None = None) -> DataFrame:
     """Rows (path_idx, path, chunk_start, ids, follows) of streams of ids or, with ``bool``, of masks (0 or 1).
 
-    Only the ranges that filters on ``path_idx`` and ``chunk_start`` leave become tasks.
+    Only the ranges that filters on ``path_idx`` and ``chunk_start`` leave are read, each by a task or as many as hold ``task`` ids.
     """
-    return _read(spark, TokenRanges, {"files": json.dumps(files), "width": width, "chunk": chunk})
+    return _read(spark, TokenRanges, {"files": json.dumps(files), "width": width, "chunk": chunk, "task": task})
 
 
 def token_slices(spark: SparkSession, files: list, width: str, start: int, end: int, chunk: int = CHUNK) -> DataFrame:
@@ -277,13 +278,13 @@ def token_slice(spark: SparkSession, path: str, size: int, width: str, start: in
     return cut.agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "ids")))["ids"]).alias("ids"))  # the slice is one row
 
 
-def token_documents(spark: SparkSession, files: list, width: str, end: int, begin: int | None = None, close: bool = True, most: int | None = None, strategy: str = "truncate", masks: list | None = None, chunk: int = CHUNK) -> DataFrame:
+def token_documents(spark: SparkSession, files: list, width: str, end: int, begin: int | None = None, close: bool = True, most: int | None = None, strategy: str = "truncate", masks: list | None = None, chunk: int = CHUNK, task: int | None = None) -> DataFrame:
     """Documents (path_idx, start, end, n, ids, mask) of streams of ids, with label masks (0 or 1) if files of them are given.
 
     Ends are those tokens, or with ``begin`` those that a begin token follows; with ``close`` a stream's tail is a document.
     Longer documents are cut to ``most``, or split. Nothing is shuffled: each document is made where it starts.
     """
-    options = {"files": json.dumps(files), "width": width, "chunk": chunk, "end": end, "begin": begin, "close": str(close).lower(), "most": most, "strategy": strategy, "masks": masks and json.dumps(masks)}
+    options = {"files": json.dumps(files), "width": width, "chunk": chunk, "task": task, "end": end, "begin": begin, "close": str(close).lower(), "most": most, "strategy": strategy, "masks": masks and json.dumps(masks)}
     return _read(spark, TokenDocuments, options).withColumn("n", F.col("end") - F.col("start"))
 
 

@@ -62,6 +62,16 @@ def test_filters_choose_the_ranges_that_are_read(spark, tmp_path):
     assert shards.token_slice(spark, *files[0], "u4", 998, 5000).first().ids == [998, 999]
 
 
+def test_a_task_reads_many_ranges(spark, tmp_path):
+    np.arange(1000, dtype=np.uint32).tofile(tmp_path / "0.npy")
+    files = shards.listed(spark, str(tmp_path))
+    ranges = shards.token_ranges(spark, files, "u4", 10, task=80)
+    assert ranges.rdd.getNumPartitions() == 13 and ranges.where("chunk_start >= 900").rdd.getNumPartitions() == 2
+    assert sorted((r.chunk_start, r.ids, r.follows) for r in ranges.collect()) == [(i, [*range(i, i + 10)], i + 10 if i < 990 else None) for i in range(0, 1000, 10)]
+    got = shards.token_documents(spark, files, "u4", 500, chunk=10, task=80).collect()
+    assert sorted((r.start, r.end) for r in got) == [(0, 501), (501, 1000)]
+
+
 def brute(ids, end, begin, close, most, strategy):
     ends = [i + 1 for i, x in enumerate(ids) if x == end and (begin is None or i + 1 == len(ids) or ids[i + 1] == begin)]
     ends += [len(ids)] if close and ids and (not ends or ends[-1] != len(ids)) else []
