@@ -181,7 +181,7 @@ ends AS (SELECT doc_id, CASE WHEN len(e) > 0 AND e[-1] = n THEN e ELSE list_appe
 lens AS (SELECT doc_id, i - 1 AS piece, e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END AS length FROM ends, unnest(range(1, len(e) + 1)) AS u(i))
 SELECT doc_id AS "row", piece::INT AS piece, length::INT AS length, sum(length) OVER (ORDER BY doc_id, piece ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM lens""")
 def c8_cumulative_lengths(spark, sf):
-    rows = docs(spark, sf).select("doc_id", "ids")
+    rows = docs(spark, sf).select("doc_id", "n", "ids")
     return documents.cumulative_lengths(rows.withColumn("doc_lens", documents.lengths(F.col("ids"), 32)), "doc_id")
 
 
