@@ -112,8 +112,15 @@ def utf8(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def release() -> None:
-    """Give freed memory back to the system, as Spark keeps idle Python workers for later stages."""
+#: What a worker remembers from task to task, each with a method ``forget``.
+REMEMBERING: list = []
+
+
+def release(own=None) -> None:
+    """Give memory back to the system, as Spark keeps idle Python workers for later stages; what others than ``own`` remember goes, too."""
+    for held in REMEMBERING:
+        if held is not own:
+            held.forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError, TypeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)

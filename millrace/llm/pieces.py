@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import release, slices
+from millrace.llm.common import REMEMBERING, release, slices
 
 MARK = "▁"
-#: Units whose ids, and whose counts, a worker remembers; at the bound the memory starts anew.
-REMEMBER, COUNTED = 120_000, 1_000_000
+#: Units whose ids, and whose counts, a worker remembers. At the bound counts start anew; of ids, those that were needed
+#: since half as many were new stay.
+REMEMBER, COUNTED = 300_000, 1_000_000
 _UNIT = re.compile(" *[^ ]+| +$")
 
 
@@ -178,18 +179,18 @@ class Encoder:
     def __init__(self, path: str):
         self.merger = Merger(Vocabulary(path))
         self.coded: dict[str, str] = {}
+        #: Ids of units that were last needed before as many others were new.
+        self.earlier: dict[str, str] = {}
         #: Decoded text of the units that don't come back as a space and themselves.
         self.odd: dict[str, str] = {}
         #: Units on which the agenda and the library differed; the library's ids hold.
         self.differing: set[str] = set()
 
     def learn(self, units: set[str]) -> None:
-        if len(self.coded) + len(units) > REMEMBER:
-            self.forget()
         units = list(units)
         library, encode, decode = self.merger.v.library, self.merger.encode, self.merger.decode
         # a unit is a text of its own to the library, which puts the first mark before it; the empty unit's mark stands alone
-        for unit, known in zip(units, library.encode(units, num_threads=1)):
+        for unit, known in zip(units, library.encode(units, num_threads=1) if units else []):
             if not self.merger.v.plain:  # a whole text
                 self.coded[unit], self.odd[unit] = ",".join(map(str, known)), " " + library.decode(known)
                 continue
@@ -202,9 +203,17 @@ class Encoder:
                 self.odd[unit] = text
 
     def forget(self) -> None:
-        for known in (self.coded, self.odd, self.differing):
+        for known in (self.coded, self.earlier, self.odd, self.differing):
             known.clear()
 
+    def age(self, n: int) -> None:
+        """Make room for so many more units."""
+        if len(self.coded) + n <= REMEMBER // 2:
+            return
+        self.earlier, self.coded = self.coded, {}
+        self.odd = {u: text for u, text in self.odd.items() if u in self.earlier}
+        self.differing &= self.earlier.keys()
+
     def differ(self, units: list[str]) -> int:
         """Units, repeats included, whose ids are the library's and not the agenda's."""
         return sum(map(self.differing.__contains__, units)) if self.differing else 0
@@ -213,10 +222,11 @@ class Encoder:
         """Units of each text; ``coded`` then has the ids of each, joined by commas, and ``text`` decodes them."""
         each = [self.merger.v.units(t) if self.merger.v.plain else [t] if t else [] for t in texts]
         seen = set().union(*each)
-        if new := {u for u in seen if u not in self.coded}:
-            self.learn(new)
-            if missing := {u for u in seen if u not in self.coded}:  # the memory was cleared meanwhile
-                self.learn(missing)
+        self.age(len(seen.difference(self.coded)))
+        if missing := seen.difference(self.coded):
+            for u in missing.intersection(self.earlier):
+                self.coded[u] = self.earlier[u]
+            self.learn(missing.difference(self.coded))
         return each
 
     def text(self, units: list[str]) -> str:
@@ -233,6 +243,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        REMEMBERING.append(_encoders[path])
     return _encoders[path]
 
 
@@ -296,8 +307,7 @@ def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFra
             for k, f in enumerate(added):
                 columns.append(pa.array([r[k] for r in rows], _ARROW[f.dataType.simpleString()]))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
-        code.forget()  # a worker that goes on with other stages doesn't keep them
-        release()
+        release(code)  # remembered for its next task here; tasks of other stages drop it
 
     return docs.mapInArrow(run, schema)
 

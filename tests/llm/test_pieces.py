@@ -4,7 +4,7 @@ import random
 import public_tokenizers
 import sentencepiece
 
-from millrace.llm import pieces
+from millrace.llm import common, pieces
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", None, " ", "  a  b ", "▁x ▁▁y", "a\nb\tc  ", "\x00 a", "日本語 😀 é é", "<s> </s> <unk> <0x41>", "​ x", "a" * 5000, "ﬁ ½ Ａ", "�", "a　b", "\u0085 q", "the The THE", "x" * 47 + "y", "😀" * 60]
@@ -125,3 +125,26 @@ def test_repeated_rows_long_texts_and_clashing_columns(spark):
     assert pieces.digests(df.limit(0), MODEL).count() == pieces.token_counts(df.limit(0), MODEL).count() == 0
     counts = pieces.token_counts(df, MODEL).orderBy("doc_id").collect()
     assert counts[1] == counts[2] and counts[0].n_chars == len(long)
+
+
+def test_frequent_units_are_learned_once(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBER", 40)
+    code = pieces.Encoder(MODEL)
+    learned, encode = [], code.merger.encode
+    monkeypatch.setattr(code.merger, "encode", lambda unit: learned.append(unit) or encode(unit))
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for k in range(60):
+        t = "the of\nx and " + " ".join(f"w{k}q{j}" for j in range(8))
+        (units,) = code.encode([t])
+        assert ",".join(code.coded[u] for u in units) == ",".join(map(str, library.encode(t))) and code.text(units) == t
+        assert len(code.coded) + len(code.earlier) <= 40 and len(code.odd) <= 40
+    assert [learned.count(u) for u in ("the", "of\nx", "and")] == [1, 1, 1]
+
+
+def test_units_are_remembered_until_another_stage_runs():
+    code = pieces.encoder(MODEL)
+    code.encode(["some units"])
+    common.release(code)
+    assert "units" in code.coded
+    common.release()
+    assert not code.coded and not code.earlier
