@@ -11,13 +11,14 @@ Rows of shingles that no other node lists go after one shuffle.
 
 Nodes that meet in a shingle's bucket and aren't ruled out by their sizes and places are verified on their whole sets.
 One leader of each bucket is tested against everybody in it first, and leaves it. Then small buckets test the pairs that
-no link connects yet; in large ones twice as many leaders are tested each round, until all that remain in a bucket are in
-one component; leaders come from components with few members there, so that members of one large component needn't be
-tested against each other. Buckets that stay large hold sets that aren't similar. As soon as a round of leaders costs as
-much, they are dealt anew by a second shared shingle: sets that are similar enough share two of the first n - ceil(0.8 n) + 2, then three, four (``DEEPEST``). A row
-whose further shingles are as many as its bucket's rows is tested against the bucket instead, so no row costs more than
-that, and most cost the length of their prefix in place of the size of their bucket. Buckets named by four shingles that
-stay large have more leaders tested, twice as many each round.
+no link connects yet; in large ones two leaders are tested, which come from components with few members there. What
+remains in a large bucket is tested in blocks of ``WIDE`` rows: a task holds two blocks and compares bitmaps of the sets,
+whose distance is at most the number of shingles that only one of two sets has. So a pair is a row only if its bitmaps
+don't rule it out, and it is verified on whole sets like any other.
+
+Very large buckets, where comparing bitmaps costs more than making rows, are dealt anew by a second shared shingle: sets
+that are similar enough share two of the first n - ceil(0.8 n) + 2, then three, four (``DEEPEST``). A row whose further
+shingles are as many as its bucket's rows is tested against the bucket instead.
 
 Texts of fewer words have one shingle of all their words; null and empty texts have none and are equal to each other.
 Repeated rows and ties keep the row of the smallest id, null ids last; columns besides those named are kept, whatever
@@ -50,8 +51,10 @@ OF, PARTS = 4, 5
 SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Buckets up to this size test all pairs after their first round.
 SMALL = 16
-#: Buckets are dealt by one more shingle when a round of leaders would make as many rows, times this.
-PATIENCE = 1.0
+#: Buckets are dealt by one more shingle when that makes no more rows than pairs of bitmaps to compare, times this.
+PATIENCE = 1 / 500
+#: Rows of a block of a large bucket, pairs of bitmap words compared at once, and most bits of a bitmap.
+WIDE, WORDS_AT_ONCE, BITS = 2048, 1 << 20, 4096
 #: Shingles that name a bucket at most: two sets of similarity 0.8 or more that have fewer than four in common are equal.
 DEEPEST = 4
 #: Level (four times the logarithm of its documents) from which on a slot's shingles are dealt to many tasks.
@@ -311,12 +314,81 @@ def further(rows: DataFrame, sets: DataFrame, shared: Broadcast, depth: int) ->
     return sets.join(own, "node").select("node", "shingles", "own").mapInArrow(grouped(run), "token long, node long, n int, pos int")
 
 
-def cheaper(large: DataFrame, rest: Column, leaders: int) -> bool:
-    """Whether dealing buckets by one more shingle makes no more rows than testing so many leaders of each."""
-    costs = large.agg(*(F.sum(F.least(c, "size")) for c in (rest, F.lit(leaders)))).first()
+def cheaper(large: DataFrame, rest: Column) -> bool:
+    """Whether dealing buckets by one more shingle costs no more than comparing all bitmaps in each."""
+    costs = large.agg(F.sum(F.least(rest, "size")), F.sum("size")).first()
     return costs[0] is not None and costs[0] <= PATIENCE * costs[1]
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A set as words of bits, each the parity of its shingles there; twice as many bits as shingles at least, up to ``BITS``.
+
+    Folding a bitmap gives that of half as many bits. Two bitmaps differ in no more bits than their sets in shingles.
+    """
+    bits = min(BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    places = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((places & 1).astype(np.uint8)).view(np.uint64)
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """Rows (node, bits) of sets (node, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [bitmap(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "bits"])
+        release()
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, bits binary")
+
+
+def near_bitmaps(rows: pa.Table, depth: int) -> pa.Table:
+    """Pairs (a, b) of a block's rows, or of two blocks' rows, that have other roots and aren't ruled out; at most one of each."""
+    x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+    part, node, root = (rows.column(c).to_numpy() for c in ("part", "node", "root"))
+    n, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
+    held = rows.column("bits").to_pylist()
+    wide = np.array([len(h) // 8 for h in held])
+    words = {w: np.array([np.frombuffer(h, np.uint64) if len(h) == 8 * w else np.zeros(w, np.uint64) for h in held]) for w in np.unique(wide).tolist()}
+    found = []
+    for w in words:
+        for v in (w, 2 * w):
+            if v not in words:
+                continue
+            left, right = np.flatnonzero((wide == w) & (part == x)), np.flatnonzero((wide == v) & (part == y))
+            turns = [(left, right)]
+            if v != w and x != y:
+                turns.append((np.flatnonzero((wide == w) & (part == y)), np.flatnonzero((wide == v) & (part == x))))
+            for some, others in turns:
+                if not len(some) or not len(others):
+                    continue
+                one = words[w][some]
+                two = words[v][others]
+                two = two if v == w else two[:, :w] ^ two[:, w:]
+                step = max(1, WORDS_AT_ONCE // (len(others) * w))
+                for low in range(0, len(some), step):
+                    i = some[low : low + step, None]
+                    apart = np.bitwise_count(one[low : low + step, None] ^ two[None]).sum(2, dtype=np.int64)
+                    both = n[i] + n[others]
+                    bound = np.minimum(n[i] - pos[i], (n - pos)[others]) + (depth - 1)
+                    near = (apart * (OF + PARTS) <= both) & (bound * (OF + PARTS) >= both * OF) & (root[i] != root[others])
+                    if x == y and v == w:
+                        near &= i < others
+                    at, to = np.nonzero(near)
+                    found.append((some[low + at], others[to]))
+    a, b = (node[np.concatenate([f[k] for f in found])] if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def block_pairs(large: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """Pairs (a, b) of nodes of the same bucket that bitmaps and places don't rule out; buckets are gone through block by block."""
+    parts = F.ceil(F.col("size") / WIDE).cast("int")
+    maps = bitmaps(sets.join(large.select("node").distinct(), "node", "left_semi"))
+    cut = large.select("token", "node", "n", "pos", "root", parts.alias("_parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")).join(maps, "node")
+    dealt = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("x", F.least("part", "_other")).withColumn("y", F.greatest("part", "_other"))
+    return dealt.drop("_parts", "_other").groupBy("token", "x", "y").applyInArrow(lambda t: near_bitmaps(t, depth), "a long, b long")
+
+
 def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
     """Rows (node, root) for every node of ``nodes`` (node, row, fp) that is linked to another and isn't its root.
 
@@ -330,7 +402,8 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
     shared = spark.sparkContext.broadcast(levels(prints, text, words).tobytes())
     live = write(postings(prints, shared, text, words), "live", compression="zstd")
     met = RowLists(live.select("node").distinct().join(nodes, "node").select(F.col("row").alias("_row")))
-    sets = materialise(shingle_sets(prints, met, text, words), "sets")
+    whole: list[str] = []
+    sets = materialise(shingle_sets(prints, met, text, words), "sets", written=whole)
     known = write(verified(write(ball_pairs(nodes.select("node", "fp")), "balls"), sets), "links")
     held: list[str] = []
     roots, leaders, small, depth = materialise(connect(known, held), "roots", written=held), 1, 0, 1
@@ -347,9 +420,12 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
             break
         few = named.where(F.col("size") <= small).select("token", "node", "n", "pos", "root")
         large = named.where(F.col("size") > small)
-        deal = 1 < leaders and depth < DEEPEST and cheaper(large, follow + depth, leaders)
+        last = leaders > 2
+        deal = 1 < leaders and depth < DEEPEST and cheaper(large, follow + depth)
         if deal:
             chosen = large.where(follow + depth >= F.col("size")).select("token", "node", "n", "pos", "root")
+        elif last:
+            chosen = large.limit(0).select("token", "node", "n", "pos", "root")
         else:
             part = F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")
             least = large.groupBy("token", part).agg(F.min(F.struct("own", "node", "n", "pos", "root")).alias("x"))
@@ -358,7 +434,8 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
         # the last shingle of those that name a bucket bounds what two sets can share from there on
         bound = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) + (depth - 1)
         pairs = first.join(named, "token").where((F.col("root") != F.col("_root")) & (bound * (OF + PARTS) >= (F.col("n") + F.col("_n")) * OF))
-        pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
+        pairs = (pairs.unionByName(block_pairs(large, sets, depth)) if last and not deal else pairs).distinct()
         found = write(verified(write(pairs, "pairs"), sets), "links")
         if not found.isEmpty():
             known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
@@ -367,13 +444,17 @@ def roots_of(prints: DataFrame, nodes: DataFrame, text: str, words: int) -> Data
         if deal:
             live = write(further(large.where(follow + depth < F.col("size")), sets, shared, depth), "live", compression="zstd")
             leaders, depth = 1, depth + 1
-        else:
+        elif not last:
             live = write(large.select("token", "node", "n", "pos").join(chosen.select("token", "node"), ["token", "node"], "left_anti"), "live")
             leaders *= 2
         small = SMALL
         for path in before:
             remove(spark, path)
+        if last and not deal:
+            break
     shared.destroy()
+    for path in [*paths, met.path, whole[0]]:
+        remove(spark, path)
     return roots
 
 

@@ -95,3 +95,44 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and sorted(r._row for r in kept.collect())[0] == 1
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 7]
     assert neardup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_bitmaps_rule_out_no_similar_pair(monkeypatch):
+    """Bitmaps, of different widths too, of blocks with all pairs compared: what is left holds every pair that is similar."""
+    monkeypatch.setattr(neardup, "WORDS_AT_ONCE", 100)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = []
+    for n in (14, 15, 16, 17, 30, 33, 120, 128, 129, 140, 250, 260):
+        for drop in (0, 1, 2, 4, 9):
+            keep = rng.random(n) >= drop / 40
+            sets.append(np.unique(np.append(base[:n][keep], rng.integers(0, 1 << 63, drop).astype(np.uint64))))
+    part = np.arange(len(sets)) % 2
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        own = [i for i in range(len(sets)) if part[i] in (x, y)]
+        rows = pa.table({"x": [x] * len(own), "y": [y] * len(own), "part": part[own], "node": own, "root": own, "n": [len(sets[i]) for i in own], "pos": [0] * len(own), "bits": [neardup.bitmap(sets[i]).tobytes() for i in own]})
+        got = neardup.near_bitmaps(rows, 1)
+        got = list(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+        want = {(i, j) for i in own for j in own if i < j and (part[i], part[j]) in ((x, y), (y, x)) and similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+        assert len(got) == len(set(got)) and want and want <= set(got)
+        assert len(got) < len(own) ** 2 / 5
+
+
+def test_large_buckets_of_sets_that_are_not_similar_make_few_rows(spark, monkeypatch):
+    """Texts of one template, each with other edits: no row of further shingles, no pair of sets that bitmaps rule out."""
+    made, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "further", None)
+    monkeypatch.setattr(neardup, "verified", lambda pairs, sets: made.append(pairs.count()) or verified(pairs, sets))
+    for name, n in (("SMALL", 2), ("WIDE", 16)):
+        monkeypatch.setattr(neardup, name, n)
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(120):
+        t = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 3, 6, 6, 6])):
+            t[k] = f"edit{rng.random()}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = kept(texts)
+    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == want and 20 < len(want) < 110
+    assert sum(made) < 120 * 119 / 2
