@@ -28,10 +28,15 @@ def concat_and_chunk(docs: DataFrame, size: int, by: list[str], order: str, ids:
     if most and most != size:
         totals = docs.groupBy(*by).agg((F.expr(f"sum(n) div {most}") * most).alias("_upto"))
         placed = placed.join(totals, by).where(F.col("start") < F.col("_upto")).withColumn("end", F.least("end", "_upto"))
-    pieces = placed.select(*by, "start", "end", ids, F.explode(F.expr(f"sequence(start div {size}, (end - 1) div {size})")).alias("instance"))
-    low, high = F.greatest("start", F.col("instance") * size), F.least("end", (F.col("instance") + 1) * size)
-    piece = F.slice(ids, (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
-    grouped = pieces.select(*by, "instance", F.struct(low.alias("at"), piece.alias("ids")).alias("piece")).groupBy(*by, "instance").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    numbers = F.expr(f"sequence(start div {size}, (end - 1) div {size})")
+
+    def cut(i: Column) -> Column:
+        low, high = F.greatest("start", i * size), F.least("end", (i + 1) * size)
+        return F.struct(i.alias("instance"), F.struct(low.alias("at"), F.slice(ids, (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("ids")).alias("piece"))
+
+    # windows are cut before they become rows, or each would carry its whole document
+    pieces = placed.select(*by, F.explode(F.transform(numbers, cut)).alias("_p")).select(*by, "_p.instance", "_p.piece")
+    grouped = pieces.groupBy(*by, "instance").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     return grouped.select(*by, "instance", F.flatten("pieces.ids").alias("input_ids")).where(F.size("input_ids") == size)
 
 
