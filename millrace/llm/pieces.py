@@ -68,16 +68,136 @@ class Vocabulary:
         return words if "" not in words else [u[1:] for u in _UNIT.findall(" " + text)]
 
 
+class Pairs:
+    """What neighbouring symbols make, and how soon, for arrays of pairs.
+
+    Symbols are ids of pieces, then characters of pieces that are none themselves, then one for every other character and
+    ``none``, which is no symbol. A pair's entry is the rank of its cost above ``RANK`` bits and the piece it makes below
+    ``PLACE`` bits; between them is room for the pair's place, so that the least of a unit's entries is the pair to merge.
+    """
+
+    PLACE, RANK = 20, 42
+    NEVER, EMPTY = 1 << 62, -1
+
+    def __init__(self, ids: dict[str, int], cost: dict[str, float], n: int):
+        symbols = ids | {c: n + k for k, c in enumerate(sorted(set().union(*ids) - ids.keys()))}
+        self.pieces, self.other, self.none = n, n + len(symbols) - len(ids), n + len(symbols) - len(ids) + 1
+        self.fits = self.none < 1 << self.PLACE
+        self.single = np.full(0x110000, self.other, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.single[ord(c)] = i
+        rank = {c: r for r, c in enumerate(sorted(set(cost.values())))}
+        made = {}
+        for p, i in ids.items():
+            for k in range(1, len(p)):
+                if (a := symbols.get(p[:k])) is not None and (b := symbols.get(p[k:])) is not None:
+                    made[a * (self.none + 1) + b] = rank[cost[p]] << self.RANK | i
+        # open addressing, an eighth full at most
+        self.bits = max(8 * len(made), 2).bit_length()
+        self.keys, self.entries = np.full(1 << self.bits, self.EMPTY, np.int64), np.full(1 << self.bits, self.NEVER, np.int64)
+        for key, slot in zip(made, self._slots(np.fromiter(made, np.int64, len(made))).tolist()):
+            while self.keys[slot] != self.EMPTY:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.entries[slot] = key, made[key]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def entry(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Entries of pairs, ``NEVER`` where they make no piece."""
+        keys = a * np.int64(self.none + 1) + b
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.entries[slots], self.NEVER)
+        left = np.flatnonzero((there != keys) & (there != self.EMPTY))
+        while left.size:
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slots[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.entries[slots[left[hit]]]
+            left = left[~hit & (there != self.EMPTY)]
+        return out
+
+
 class Merger:
     """Score-ordered agenda of adjacent symbol pairs: best score first, leftmost among equals."""
 
     #: Units of more symbols keep their agenda in a heap; below that, a list of each pair's cost is faster to search.
     LONG = 48
+    #: Units of about one length, so many at least and at most, are merged together, a pair of each at a time.
+    MANY, TOGETHER = 100, 10_000
+    WIDTHS = (6, 8, 10, 12, 16, 24, LONG)
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.cost = {p: -vocabulary.scores[i] for p, i in vocabulary.ids.items()}
-        self.plain = {i: p.replace(MARK, " ") for p, i in vocabulary.ids.items()}
+        #: Text of ids that decode to the same whatever is next to them.
+        self.plain = {i: p.replace(MARK, " ") for p, i in vocabulary.ids.items()} | {i: chr(b) for b, i in vocabulary.bytes.items() if b < 128}
+        self.pairs = Pairs(vocabulary.ids, self.cost, len(vocabulary.pieces))
+
+    def encode_all(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit."""
+        if len(units) < self.MANY or not self.pairs.fits:
+            return list(map(self.encode, units))
+        out: list = [None] * len(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        groups = np.searchsorted(self.WIDTHS, sizes)
+        for g in range(len(self.WIDTHS) + 1):
+            places = np.flatnonzero(groups == g)
+            if g == len(self.WIDTHS) or len(places) < self.MANY:
+                for i in places.tolist():
+                    out[i] = self.encode(units[i])
+                continue
+            wide = self.WIDTHS[g]
+            step = min(self.TOGETHER, (1 << Pairs.RANK - Pairs.PLACE) // (wide + 1))
+            for start in range(0, len(places), step):
+                some = places[start : start + step]
+                for i, ids in zip(some.tolist(), self._together([units[i] for i in some.tolist()], sizes[some], wide)):
+                    out[i] = ids
+        return out
+
+    def _together(self, units: list[str], sizes: np.ndarray, wide: int) -> list[list[int]]:
+        """Ids of units of so many symbols, their marks included, and ``wide`` at most.
+
+        Column by column a unit's symbols, and entries of their pairs at the left symbol's place. In every round each unit
+        merges its first pair, and the pairs on both sides of what that makes get new entries. The row below the last is
+        the neighbour of symbols at either end.
+        """
+        pairs, n = self.pairs, len(units)
+        characters = (MARK + MARK.join(units)).replace(" ", MARK)
+        symbols = np.full((n, wide + 1), pairs.none, np.int64)
+        symbols[np.arange(wide + 1) < sizes[:, None]] = pairs.single[np.frombuffer(characters.encode("utf-32-le"), np.uint32)]
+        symbols = symbols.T.ravel()
+        at = np.arange(wide * n)
+        after, before = np.arange(n, (wide + 2) * n), np.arange(-n, wide * n)
+        before[:n] += (wide + 1) * n
+        entries = np.full((wide + 1) * n, pairs.NEVER)
+        entries[: wide * n] = pairs.entry(symbols[: wide * n], symbols[n:]) + (at << pairs.PLACE)
+        rows = entries.reshape(wide + 1, n)[:wide]
+        while True:
+            first = rows.min(axis=0)
+            first = first[first < pairs.NEVER]
+            if not first.size:
+                break
+            left = (first >> pairs.PLACE) & ((1 << pairs.RANK - pairs.PLACE) - 1)
+            made = first & ((1 << pairs.PLACE) - 1)
+            right = after[left]
+            beyond, behind = after[right], before[left]
+            symbols[left], symbols[right], entries[right] = made, pairs.none, pairs.NEVER
+            after[left], before[beyond] = beyond, left
+            places = np.concatenate([left, behind])
+            entries[places] = pairs.entry(np.concatenate([made, symbols[behind]]), np.concatenate([symbols[beyond], made])) + (places << pairs.PLACE)
+        symbols = symbols.reshape(wide + 1, n).T
+        of, place = np.nonzero(symbols != pairs.none)
+        found = symbols[of, place]
+        ids, ends = found.tolist(), np.bincount(of, minlength=n).cumsum().tolist()
+        out = [ids[a:b] for a, b in itertools.pairwise([0, *ends])]
+        loose = np.flatnonzero(found >= pairs.pieces)[::-1]  # from the last on, so that places of those before hold
+        for i, k, j in zip(of[loose].tolist(), place[loose].tolist(), loose.tolist()):
+            j -= ends[i - 1] if i else 0
+            out[i][j : j + 1] = self._fallback([units[i][k - 1] if k else MARK])
+        return out
 
     def encode(self, unit: str) -> list[int]:
         symbols = [MARK, *unit.replace(" ", MARK)]
@@ -178,6 +298,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.merger = Merger(Vocabulary(path))
+        self.names = [str(i) for i in range(len(self.merger.v.pieces))]
         self.coded: dict[str, str] = {}
         #: Ids of units that were last needed before as many others were new.
         self.earlier: dict[str, str] = {}
@@ -188,17 +309,18 @@ class Encoder:
 
     def learn(self, units: set[str]) -> None:
         units = list(units)
-        library, encode, decode = self.merger.v.library, self.merger.encode, self.merger.decode
+        library, names, decode = self.merger.v.library, self.names, self.merger.decode
         # a unit is a text of its own to the library, which puts the first mark before it; the empty unit's mark stands alone
-        for unit, known in zip(units, library.encode(units, num_threads=1) if units else []):
-            if not self.merger.v.plain:  # a whole text
+        each = library.encode(units, num_threads=1) if units else []
+        if not self.merger.v.plain:  # whole texts
+            for unit, known in zip(units, each):
                 self.coded[unit], self.odd[unit] = ",".join(map(str, known)), " " + library.decode(known)
-                continue
-            ids = encode(unit)
+            return
+        for unit, known, ids in zip(units, each, self.merger.encode_all(units)):
             if unit and ids != known:
                 self.differing.add(unit)
                 ids = known
-            self.coded[unit] = ",".join(map(str, ids))
+            self.coded[unit] = ",".join([names[i] for i in ids])
             if (text := decode(ids)) != " " + unit:
                 self.odd[unit] = text
 
@@ -300,9 +422,7 @@ def _mapped(docs: DataFrame, model: str, text: str, added: list, row) -> DataFra
     def run(batches):
         code = encoder(model)
         for batch in itertools.chain.from_iterable(slices(b, text, 1 << 20) for b in batches):
-            rows: list[list] = []
-            for some in _some([t or "" for t in batch.column(place).to_pylist()]):
-                rows.extend(row(units, code) for units in code.encode(some))
+            rows = [row(units, code) for units in code.encode([t or "" for t in batch.column(place).to_pylist()])]
             columns = [batch.column(i) if i != place or drop is None else pa.nulls(batch.num_rows, pa.string()) for i in range(batch.num_columns)]
             for k, f in enumerate(added):
                 columns.append(pa.array([r[k] for r in rows], _ARROW[f.dataType.simpleString()]))

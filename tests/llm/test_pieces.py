@@ -1,5 +1,6 @@
 import hashlib
 import random
+import types
 
 import public_tokenizers
 import sentencepiece
@@ -148,3 +149,32 @@ def test_units_are_remembered_until_another_stage_runs():
     assert "units" in code.coded
     common.release()
     assert not code.coded and not code.earlier
+
+
+def test_many_units_are_merged_together(monkeypatch):
+    code = pieces.Encoder(MODEL)
+    rng = random.Random(2)
+    units = sorted({"".join(rng.choice("aeinorsth.,é\n▁ñ日😀") for _ in range(rng.randint(0, 60))).replace("▁", " ") for _ in range(3000)})
+    apart, encode = [], code.merger.encode
+    want = list(map(encode, units))
+    monkeypatch.setattr(code.merger, "encode", lambda unit: apart.append(unit) or encode(unit))
+    monkeypatch.setattr(code.merger, "MANY", 1, raising=False)
+    monkeypatch.setattr(code.merger, "TOGETHER", 150, raising=False)
+    code.learn(set(units))
+    assert all(len(u) >= code.merger.LONG for u in apart) and not code.differing
+    assert [code.coded[u] for u in units] == [",".join(map(str, ids)) for ids in want]
+    library = code.merger.v.library
+    assert [[int(i) for i in code.coded[u].split(",")] for u in units if u] == library.encode([u for u in units if u])
+    assert all(code.odd.get(u, " " + u) == " " + library.decode([int(i) for i in code.coded[u].split(",")]) for u in units)
+
+
+def test_equal_scores_and_characters_that_are_no_pieces():
+    some = ["<unk>", "▁", "a", "b", "ab", "ba", "aba", "bc", "abc", "▁a", "▁ab", "cc", "bcc"]
+    ids = {p: i for i, p in enumerate(some) if i}
+    rng = random.Random(3)
+    for raw in ({}, {b: 100 + b for b in range(256)}):
+        for _ in range(20):
+            scores = [float(-rng.randint(0, 4)) for _ in some]
+            merger = pieces.Merger(types.SimpleNamespace(ids=ids, scores=scores, pieces=some, bytes=raw, unknown=0))
+            units = ["".join(rng.choice("aabbc é") for _ in range(rng.randint(0, 14))) for _ in range(1000)]
+            assert merger.encode_all(units) == list(map(merger.encode, units))
