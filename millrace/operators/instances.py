@@ -158,12 +158,23 @@ def labelled(rows: DataFrame, metadata: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(metadata, on, "left")
 
 
-def numbered(sizes: DataFrame, by: list[str], n: str = "n", name: str = "instance", block: int = BLOCK) -> DataFrame:
-    """A row (by, instance) for each number below ``n`` of each source; numbers are made by blocks, which tasks share."""
+def numbered(sizes: DataFrame, by: list[str], n: str = "n", name: str = "instance", block: int = BLOCK, index: str | None = None) -> DataFrame:
+    """A row (by, instance) for each number below ``n`` of each source; numbers are made by blocks, which tasks share.
+
+    With ``index``, adds it as ``dense_index`` does, nulls last, from the sizes alone: the planner takes numbers to be as
+    small as their blocks, so a join right after them might send them all through the driver.
+    """
     parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     step = F.lit(block).cast("long")
-    blocks = sizes.where(F.col(n) > 0).select(*by, n, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, step)).alias("_low")).repartition(parts, *by, "_low")
-    return blocks.select(*by, F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + block, F.col(n)) - 1)).alias(name))
+    known = sizes.where(F.col(n) > 0).select(*by, n)
+    if index:
+        before = Window.orderBy(*[F.col(c).asc_nulls_last() for c in by]).rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+        known = known.withColumn("_base", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    blocks = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, step)).alias("_low")).repartition(parts, *by, "_low")
+    own = F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + block, F.col(n)) - 1)).alias(name)
+    if not index:
+        return blocks.select(*by, own)
+    return blocks.select(*by, "_base", own).withColumn(index, F.col("_base") + F.col(name)).drop("_base")
 
 
 def dense_index(df: DataFrame, by: list[str], instance: str) -> DataFrame:

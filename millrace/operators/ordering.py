@@ -11,13 +11,14 @@ from millrace.operators.sums import global_position, hash_order
 def shuffled(df: DataFrame, index: str, seed: int, epoch: int, chunk: int = 1) -> DataFrame:
     """Adds ``position``: a shuffle of a dense index in which runs of ``chunk`` stay together.
 
-    Chunks are ordered by a hash, so the order depends neither on partitions nor on the length of instances.
+    Chunks are ordered by a hash, so the order depends neither on partitions nor on the length of instances. Rows and their
+    chunks both grow with the input, so neither is broadcast, however small the planner takes them to be.
     """
     if chunk == 1:
         return global_position(df.withColumn("_key", hash_order(seed, epoch, F.col(index))), "_key", index).drop("_key")
     units = df.select(F.expr(f"`{index}` div {chunk}").alias("_unit")).distinct()
     placed = global_position(units.withColumn("_key", hash_order(seed, epoch, F.col("_unit"))), "_key", "_unit", "_place").drop("_key")
-    joined = df.withColumn("_unit", F.expr(f"`{index}` div {chunk}")).join(placed, "_unit")
+    joined = df.withColumn("_unit", F.expr(f"`{index}` div {chunk}")).join(placed.hint("merge"), "_unit")
     return joined.withColumn("position", F.col("_place") * chunk + F.col(index) % chunk).drop("_unit", "_place")
 
 

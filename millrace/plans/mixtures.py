@@ -110,9 +110,9 @@ CHUNKS = """, sized AS (SELECT source, sum(n)::BIGINT // 64 AS n FROM docs GROUP
 inst AS (SELECT source, i AS instance, row_number() OVER (PARTITION BY source ORDER BY md5('5:1:' || source || ':' || i), i) - 1 AS position FROM sized, unnest(range(0, n)) AS u(i))"""
 
 
-def instance_rows(spark, sf):
+def instance_rows(spark, sf, index=None):
     sizes = sized(spark, sf).groupBy("source").agg(F.expr("sum(n) div 64").alias("n")).where("n > 0")
-    return instances.numbered(sizes, ["source"]), sizes
+    return instances.numbered(sizes, ["source"], index=index), sizes
 
 
 @query(f"""{TOK}{CHUNKS}, want AS (SELECT source, n, floor(3000.0::DOUBLE * n / sum(n) OVER ())::BIGINT AS w FROM sized), chunked AS (SELECT source, n, w - w % 4 AS w FROM want)
@@ -151,26 +151,24 @@ SELECT source, instance, part, "index" FROM split WHERE "index" < size - size %
 
 @query(f"{TOK}{CHUNKS}, dense AS (SELECT source, instance, row_number() OVER (ORDER BY source, instance) - 1 AS position FROM inst)" + SPLIT.format("dense"))
 def g6_split_instances(spark, sf):
-    rows, _ = instance_rows(spark, sf)
-    placed = instances.dense_index(rows, ["source"], "instance").withColumnRenamed("index", "position")
-    return sampling.split_instances(placed, rows.agg(F.count("*")).scalar(), 0.75, 64, 256).select("source", "instance", "part", "index")
+    placed, sizes = instance_rows(spark, sf, "position")
+    return sampling.split_instances(placed, sizes.agg(F.sum("n")).scalar(), 0.75, 64, 256).select("source", "instance", "part", "index")
 
 
 @query(f"""{TOK}{CHUNKS}, dense AS (SELECT source, instance, row_number() OVER (ORDER BY source, instance) - 1 AS i FROM inst),
 unit AS (SELECT u, row_number() OVER (ORDER BY md5('4:1:' || u), u) - 1 AS place FROM (SELECT DISTINCT i // 4 AS u FROM dense WHERE i < (SELECT count(*) // 4 * 4 FROM dense))),
 moved AS (SELECT source, instance, place * 4 + i % 4 AS position FROM dense JOIN unit ON i // 4 = u)""" + SPLIT.format("moved"))
 def g7_random_split(spark, sf):
-    rows, _ = instance_rows(spark, sf)
-    dense = instances.dense_index(rows, ["source"], "instance")
-    whole = dense.withColumn("n", dense.agg(F.count("*")).scalar()).where("index < n - n % 4").drop("n")
+    dense, sizes = instance_rows(spark, sf, "index")
+    total = sizes.agg(F.sum("n")).scalar()
+    whole = dense.withColumn("n", total).where("index < n - n % 4").drop("n")
     placed = ordering.shuffled(whole, "index", 4, 1, chunk=4).drop("index")
-    return sampling.split_instances(placed, placed.agg(F.count("*")).scalar(), 0.75, 64, 256).select("source", "instance", "part", "index")
+    return sampling.split_instances(placed, total - total % 4, 0.75, 64, 256).select("source", "instance", "part", "index")
 
 
 @query(f"""{TOK}{CHUNKS}, dense AS (SELECT source, instance, row_number() OVER (ORDER BY source, instance) - 1 AS i FROM inst) SELECT source, instance, i - 100 AS "index" FROM dense WHERE i >= 100 AND i < 1100""")
 def g4_slice_instances(spark, sf):
-    rows, _ = instance_rows(spark, sf)
-    placed = instances.dense_index(rows, ["source"], "instance").withColumnRenamed("index", "position")
+    placed, _ = instance_rows(spark, sf, "position")
     return sampling.slice_instances(placed, 100, 1103, 4).select("source", "instance", "index")
 
 

@@ -6,7 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import documents, instances
+from millrace.operators import documents, instances, ordering
+from millrace.plans import mixtures
+from millrace.plans.base import ORACLES
 
 
 def plan_of(df):
@@ -40,6 +42,38 @@ def test_instances_of_one_source_are_numbered_by_many_tasks(spark):
     assert rows.where("source = 'a'").select("task").distinct().count() > 1
 
 
+def test_numbers_of_a_shuffle_are_not_broadcast(spark):
+    """Their plan starts from few blocks; only the table of buckets is sent to all, 4,096 rows at most."""
+    sizes = spark.createDataFrame([("a", 200_003)], "source string, n long")
+    placed = ordering.shuffled(instances.numbered(sizes, ["source"]), "instance", 4, 1, chunk=4)
+    assert placed.select("position").distinct().count() == 200_003
+    rows = placed.collect()
+    assert all(r.position % 4 == r.instance % 4 for r in rows) and len({r.instance // 4: r.position // 4 for r in rows}) == 50_001
+    assert "BroadcastHashJoin [_unit" not in plan_of(placed).split("Initial Plan")[0]
+
+
+def test_sources_are_numbered_one_after_another_without_a_join(spark):
+    sizes = spark.createDataFrame([("b", 3), ("a", 25), (None, 2), ("c", 0), ("d", 1)], "source string, n long")
+    rows = instances.numbered(sizes, ["source"], block=10, index="index")
+    want = [(s, i) for s, n in (("a", 25), ("b", 3), ("d", 1), (None, 2)) for i in range(n)]
+    assert [(r["source"], r["instance"], r["index"]) for r in rows.orderBy("index").collect()] == [(*x, k) for k, x in enumerate(want)]
+    assert "Join" not in plan_of(rows)
+
+
+def test_instances_of_a_null_source_are_split_and_sliced_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    texts = [(k, "x" * (37 * k % 900), None if k % 3 == 0 else f"s{k % 3}", "en", 0) for k in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("g4_slice_instances", "g6_split_instances", "g7_random_split"):
+        found = getattr(mixtures, name)(spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in found.columns)} FROM ({ORACLES[name]})").fetchall()
+        key = lambda r: (r[0] or "", *r[1:])
+        assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key) and any(r[0] is None for r in want), name
+
+
 def test_lengths_of_pieces_need_no_tokens(spark):
     docs = documents.tokenized(spark.createDataFrame([(1, "x" * 9)], "doc_id long, text string"))
     cut = instances.pieces(docs, 4, "fragment")
